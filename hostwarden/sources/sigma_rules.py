@@ -63,6 +63,9 @@ SHIPPED_RULES: tuple[tuple[str, str, str, str, dict], ...] = (
 )
 
 
+_RULE_COLUMNS = [part.split()[0] for part in schema.RULES_DDL.split(", ")]
+
+
 def shipped_rules() -> list[dict]:
     """The shipped rules as plain dicts."""
     return [
@@ -143,7 +146,6 @@ def read_rules(spark: SparkSession, *dirs: str) -> DataFrame:
 
 
 def _parse_batches(batches):
-    names = [f.name for f in schema.struct(schema.RULES_DDL).fields]
     for batch in batches:
         rows = []
         for name, body in zip(batch["file"], batch["body"]):
@@ -152,7 +154,7 @@ def _parse_batches(batches):
                 print(f"rule file skipped: {name}")
             else:
                 rows.append({**rule, "file": name})
-        yield pd.DataFrame(rows, columns=names)
+        yield pd.DataFrame(rows, columns=_RULE_COLUMNS)
 
 
 def rules_list(rules: DataFrame) -> list[dict]:
