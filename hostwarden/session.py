@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Wide rule projections: methods past 8000 bytes are never JIT-compiled, so split them instead of fusing.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
@@ -54,9 +57,13 @@ def shared_dir(spark: SparkSession) -> str:
     return fallback
 
 
-def materialize(df):
-    """Cut lineage through a reliable checkpoint in the shared folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+def stage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write an intermediate result to the shared folder and read it back.
+
+    This cuts the lineage, survives the loss of executors, and lets several consumers each read
+    only the columns they need.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -8,8 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from hostwarden.session import configure, stage
+
 BASE_US = 1704067200000000
 TIME_DIVISOR = 720
+# One host; written over a column because a bare literal would be folded out of the partition keys.
+HOST_EXPR = "concat('h', cast({} % 1 as string)) as host_id"
 
 # fixed values: vocabulary of the derived telemetry
 PROCESS_NAMES = (
@@ -64,7 +68,7 @@ def shape_telemetry(raw: DataFrame, time_divisor: int = TIME_DIVISOR) -> DataFra
         f"case when kind = 'file_modified' then {_pick(FILE_PATHS, 'k % 6')} end as path",
     )
     return wide.selectExpr(
-        "'h0' as host_id", "seq", "ts", "source", "kind",
+        HOST_EXPR.format("event_id"), "seq", "ts", "source", "kind",
         "case kind when 'new_process' then concat('proc:', pid, ':', name) "
         "when 'spawn_loop' then concat('proc:spawn:', pid) "
         "when 'port_scan' then concat('net:scan:', pid) "
@@ -108,7 +112,7 @@ def _scan(sec: int) -> str:
 def process_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One scan per 60 s; the last row per (scan, pid) wins."""
     rows = keyed(raw_events(spark, sf_dir)).where("event_type = 'signup'").selectExpr(
-        "'h0' as host_id", f"{_scan(60)} as scan_ts", "event_id as seq", "cast(user_id + 1 as int) as pid",
+        HOST_EXPR.format("event_id"), f"{_scan(60)} as scan_ts", "event_id as seq", "cast(user_id + 1 as int) as pid",
         f"{_pick(PROCESS_NAMES, 'k % 12')} as name",
         f"concat({_pick(EXE_PREFIXES, 'event_id % 5')}, {_pick(PROCESS_NAMES, 'k % 12')}) as exe",
         "timestamp_micros(us) as created", "cast(1 + event_id % 5 as int) as ppid",
@@ -122,7 +126,7 @@ def process_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 def connection_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One scan per 60 s, one row per observed connection, three busy processes."""
     return keyed(raw_events(spark, sf_dir)).where("event_type in ('click', 'purchase')").selectExpr(
-        "'h0' as host_id", f"{_scan(60)} as scan_ts", "event_id as seq", "cast(user_id % 3 + 1 as int) as pid",
+        HOST_EXPR.format("event_id"), f"{_scan(60)} as scan_ts", "event_id as seq", "cast(user_id % 3 + 1 as int) as pid",
         "case when k % 10 < 7 then 'ESTABLISHED' when k % 10 < 9 then 'SYN_SENT' else 'LISTEN' end as status",
         "cast(40000 + event_id % 2 as int) as local_port",
         f"if(k = 7, '127.0.0.1', concat({_pick(ADDR_PREFIXES, 'event_id % 4')}, cast(k % 2 as string))) as remote_addr",
@@ -133,7 +137,7 @@ def connection_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 def file_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One scan per 60 s; the last row per (scan, path) wins."""
     rows = keyed(raw_events(spark, sf_dir)).where("event_type = 'view'").selectExpr(
-        "'h0' as host_id", f"{_scan(60)} as scan_ts", "event_id as seq",
+        HOST_EXPR.format("event_id"), f"{_scan(60)} as scan_ts", "event_id as seq",
         f"{_pick(FILE_PATHS, 'k % 6')} as path", "k", "us",
     )
     best = F.max_by(F.struct("seq", "k", "us"), "seq").alias("r")
@@ -147,7 +151,7 @@ def file_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 def resource_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One scan per 10 s; the last row per (scan, pid) wins; four workers plus a shared name."""
     rows = keyed(raw_events(spark, sf_dir)).where("event_type = 'error'").selectExpr(
-        "'h0' as host_id", f"{_scan(10)} as scan_ts", "event_id as seq", "cast(user_id % 5 + 1 as int) as pid",
+        HOST_EXPR.format("event_id"), f"{_scan(10)} as scan_ts", "event_id as seq", "cast(user_id % 5 + 1 as int) as pid",
         "k",
     )
     best = F.max_by(F.struct("seq", "k"), "seq").alias("r")
@@ -220,3 +224,26 @@ def feedback(events: DataFrame) -> DataFrame:
         "when 'file_modified' then 'critical_file_modified' when 'cpu_abuse' then 'cpu_abuse' else kind end as rule_name",
         "seq % 30 = 0 as false_positive", "ts",
     )
+
+
+_INGESTED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def ingested(spark: SparkSession, sf_dir: str, table: str = "telemetry") -> DataFrame:
+    """A derived table, written once per session and folder, then read like any stored table.
+
+    The raw file is a single unsplittable row group at test scale; spreading it before the write
+    gives later reads as many splits as there are cores.
+    """
+    configure(spark)
+    key = (spark.sparkContext.applicationId, sf_dir, table)
+    if key not in _INGESTED:
+        maker = {
+            "telemetry": telemetry, "process_snapshots": process_snapshots, "connection_snapshots": connection_snapshots,
+            "file_snapshots": file_snapshots, "resource_samples": resource_samples,
+        }[table]
+        df = maker(spark, sf_dir)
+        if table == "telemetry" and len(df.inputFiles()) < spark.sparkContext.defaultParallelism:
+            df = shape_telemetry(raw_events(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism))
+        _INGESTED[key] = stage(df, table)
+    return _INGESTED[key]
