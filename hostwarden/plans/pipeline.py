@@ -93,5 +93,7 @@ def total_score() -> Column:
 
 def train_model(events: DataFrame, cfg: Config = Config()) -> DataFrame | None:
     """Fit the anomaly model on a baseline range of events; None below the minimum number of rows."""
-    features = anomaly_features.extract(heuristics.gate(heuristics.score(events)), cfg.anomaly.window_sec)
-    return isolation_forest.fit(features, cfg.anomaly)
+    baseline = write_stage(heuristics.gate(heuristics.score(events)), "baseline")
+    features = write_stage(anomaly_features.extract(baseline, cfg.anomaly.window_sec).select("host_id", "seq", *FEATURES), "features")
+    model = isolation_forest.fit(features, cfg.anomaly)
+    return None if model is None else write_stage(model, "model")
