@@ -80,7 +80,8 @@ def track(
 
     def blocked_at(row_us: Column, row_seq: Column) -> Column:
         at = F.struct(row_us.alias("us"), row_seq.alias("seq"))
-        return F.coalesce(at >= F.struct(F.col("block.us").alias("us"), F.col("block.seq").alias("seq")), F.lit(False))
+        from_here = at >= F.struct(F.col("block.us").alias("us"), F.col("block.seq").alias("seq"))
+        return F.col("block").isNotNull() & from_here
 
     rows = rows.withColumns({
         "blocked": blocked_at(F.col("us"), F.col("seq")),
