@@ -1,0 +1,52 @@
+"""Keyed streaming state: one JSON document per key, updated row by row in event order."""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from hostwarden.schema import struct
+
+# (key, rows of this batch in event order, memory or None) -> (output rows, memory or None to forget the key)
+Step = Callable[[tuple, list[dict], dict | None], tuple[list[dict], dict | None]]
+# (key, memory, watermark in microseconds) -> same
+OnTime = Callable[[tuple, dict, int], tuple[list[dict], dict | None]]
+
+
+def keyed(
+    df: DataFrame, keys: list[str], step: Step, out_ddl: str, order: tuple[str, ...] = ("us", "seq"),
+    on_time: OnTime | None = None, wake_at: Callable[[dict], int | None] | None = None,
+) -> DataFrame:
+    """Run ``step`` per key and micro-batch.
+
+    With ``on_time`` the key wakes up once the watermark passes ``wake_at(memory)`` (microseconds); the
+    stream must carry a watermark. Rows already behind the watermark are dropped by Spark and counted in
+    the operator's metrics.
+    """
+    names = [f.name for f in struct(out_ddl).fields]
+    sort_by = list(order)
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        memory = json.loads(state.get[0]) if state.exists else None
+        if state.hasTimedOut:
+            out, memory = on_time(key, memory, state.getCurrentWatermarkMs() * 1000)
+        else:
+            rows = pd.concat(list(batches)).sort_values(sort_by)
+            records = rows.astype(object).where(rows.notna(), None).to_dict("records")
+            out, memory = step(key, records, memory)
+        if memory is None:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((json.dumps(memory),))
+            due = wake_at(memory) if wake_at is not None else None
+            if due is not None:
+                state.setTimeoutTimestamp(max(due // 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=names)
+
+    timeout = GroupStateTimeout.NoTimeout if on_time is None else GroupStateTimeout.EventTimeTimeout
+    return df.groupBy(*keys).applyInPandasWithState(run, out_ddl, "memory string", "append", timeout)
