@@ -156,16 +156,16 @@ add(
         "FROM (SELECT DISTINCT pid, remote_addr, us FROM ge)) WHERE rn <= 20) WHERE n >= 20 GROUP BY pid, remote_addr", _BUSY,
     ),
 )
-_BUSY_SQL = ",".join([LIVE, SOURCES, BEACONS, PAT])
+BEACON_SQL = with_ev(
+    "SELECT seq, pid, CASE WHEN patterns LIKE '%beaconing%' THEN 1 ELSE 0 END AS hit, CASE WHEN patterns LIKE '%ssh_brute_force%' THEN 1 ELSE 0 END AS ssh FROM corr",
+    _BUSY, LIVE, SOURCES, BEACONS, PAT,
+)
 add(
     "p6_beaconing",
     lambda spark, sf: C.correlate(busy(spark, sf)).select(
         "seq", "pid", F.array_contains("patterns", "beaconing").cast("int").alias("hit"), F.array_contains("patterns", "ssh_brute_force").cast("int").alias("ssh")
     ),
-    with_ev(
-        "SELECT seq, pid, CASE WHEN patterns LIKE '%beaconing%' THEN 1 ELSE 0 END AS hit, CASE WHEN patterns LIKE '%ssh_brute_force%' THEN 1 ELSE 0 END AS ssh FROM corr",
-        _BUSY, _BUSY_SQL,
-    ),
+    BEACON_SQL,
 )
 for _id, _name in (
     ("p1", "reverse_shell"), ("p2", "data_exfiltration"), ("p3", "persistence"), ("p4", "lateral_movement"), ("p5", "crypto_miner"), ("p7", "runaway_fork"), ("p8", "ssh_brute_force"),

@@ -188,7 +188,6 @@ add("m9_new_connections", lambda spark, sf: N.counted(cs(spark, sf)).where("is_n
 add("m10_counter_periods", lambda spark, sf: N.periods(cs(spark, sf)).select(us("scan_ts"), "period_id"), sql("SELECT scan_us AS us, period_id FROM per", NET))
 add("m11_connection_count", lambda spark, sf: N.counted(cs(spark, sf)).select("seq", "conn_count"), sql("SELECT seq, conn_count FROM cnt", NET))
 add("m12_distinct_ports", lambda spark, sf: N.counted(cs(spark, sf)).select("seq", "port_count"), sql("SELECT seq, port_count FROM cnt", NET))
-_NCOLS = ("seq", us("ts"), "pid", "entity_id", "message")
 _NSQL = "seq, scan_us AS us, pid, entity_id, message"
 for _id, _kind in (("m13", "port_scan"), ("m14", "suspicious_port"), ("m15", "high_conn_rate"), ("m16", "new_outbound")):
     add(

@@ -28,18 +28,24 @@ def piped(select: str, *ctes: str) -> str:
     return with_scored(select, CORR, TABLES, R0, *ctes)
 
 
-_COLS = ("seq", "multiplier", "related_count", F.concat_ws("|", "patterns").alias("patterns"), F.concat_ws("|", "sigma_rules").alias("sigma_rules"), "severity", "severity_label")
+def _cols() -> list:
+    return [
+        "seq", "multiplier", "related_count", F.concat_ws("|", "patterns").alias("patterns"),
+        F.concat_ws("|", "sigma_rules").alias("sigma_rules"), "severity", "severity_label",
+    ]
+
+
 add(
     "r0_score_events",
     lambda spark, sf: scored_events(spark, sf, with_model=False).select(
-        *_COLS, r6("intel_bonus", "intel_bonus"), r6("sigma_bonus", "sigma_bonus"), r6("score", "score")
+        *_cols(), r6("intel_bonus", "intel_bonus"), r6("sigma_bonus", "sigma_bonus"), r6("score", "score")
     ),
     piped(
         "SELECT seq, CAST(multiplier AS DOUBLE) AS multiplier, related_count, patterns, sigma_rules, severity, severity_label, CAST(intel_bonus AS DOUBLE) AS intel_bonus, "
         "CAST(sigma_bonus AS DOUBLE) AS sigma_bonus, round(score, 6) AS score FROM r0"
     ),
 )
-add("r0_with_anomaly", lambda spark, sf: scored_events(spark, sf).select(*_COLS, r6("anomaly_score", "anomaly_score"), r6("score", "score")))
+add("r0_with_anomaly", lambda spark, sf: scored_events(spark, sf).select(*_cols(), r6("anomaly_score", "anomaly_score"), r6("score", "score")))
 
 
 @query("r0_ungated", with_scored("SELECT seq, CAST(CASE WHEN source = 'process' AND name = 'whoami' THEN 1 ELSE 0 END AS INTEGER) AS enumeration, heuristic_score FROM hs WHERE source = 'process'"))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hostwarden.catalog.base import add, ev, query, r6, us, with_ev, with_scored
-from hostwarden.catalog.correlating import CORR, FEEDBACK
+from hostwarden.catalog.correlating import BEACON_SQL, CORR, FEEDBACK
 from hostwarden.catalog.detection import SIGMA_BONUS_SQL
 from hostwarden.catalog.enrichment import INTEL_BONUS_SQL, INTEL_JOIN, TABLES
 from hostwarden.catalog.flagship import intel_tables
@@ -107,7 +107,7 @@ def _busy_stream(spark, sf):
     return table_stream(busy(spark, sf))
 
 
-@query("t6_beacons")
+@query("t6_beacons", BEACON_SQL)
 def _beacons(spark, sf):
     out = drained(S.correlate(_busy_stream(spark, sf)))
     return out.select("seq", "pid", F.array_contains("patterns", "beaconing").cast("int").alias("hit"), F.array_contains("patterns", "ssh_brute_force").cast("int").alias("ssh"))
