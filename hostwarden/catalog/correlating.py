@@ -209,7 +209,8 @@ def _prune(spark, sf):
     return G.prune_edges(G.same_pid_edges(events), live).select("from_id", "to_id").distinct()
 
 
-_STARTS = "entity_id LIKE 'proc:spawn:%'"
+# The walk starts from one entity, as a report request does: the first spawning process by name.
+_STARTS = "entity_id = (SELECT min(entity_id) FROM ge WHERE entity_id LIKE 'proc:spawn:%')"
 
 
 @query("c14_related_to", with_scored(
@@ -222,7 +223,7 @@ _STARTS = "entity_id LIKE 'proc:spawn:%'"
 ))
 def _related_to(spark, sf):
     events = scored(spark, sf)
-    starts = events.where(F.col("entity_id").startswith("proc:spawn:")).select("host_id", "entity_id").distinct()
+    starts = events.where(F.col("entity_id").startswith("proc:spawn:")).groupBy("host_id").agg(F.min("entity_id").alias("entity_id"))
     return G.related_to(G.same_pid_edges(events), G.nodes(events, "heuristic_score"), starts).select("start_id", "entity_id", "hop")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from hostwarden.config import CorrelatorConfig
 from hostwarden.operators.correlation import has_pid, related_pairs
+from hostwarden.session import stage
 
 NODE_KEY = ["host_id", "entity_id"]
 
@@ -62,18 +63,23 @@ def related_to(edges: DataFrame, node_table: DataFrame, starts: DataFrame, hops:
     """Entities within ``hops`` undirected steps of each start (``host_id, entity_id``), with their distance.
 
     Entities without a node are walked through but not returned. ``temporal`` edges are accepted like
-    any other. Each hop joins the new frontier to the distinct neighbour pairs.
+    any other. Each hop joins the new frontier to the distinct neighbour pairs; both are staged, because
+    the next hop reads them twice.
     """
     pairs = edges.select("host_id", F.col("from_id").alias("a"), F.col("to_id").alias("b"))
-    both = pairs.unionByName(pairs.select("host_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    visited = starts.select("host_id", F.col("entity_id").alias("start_id"), "entity_id", F.lit(0).alias("hop"))
+    both = stage(
+        pairs.unionByName(pairs.select("host_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "neighbours"
+    )
+    visited = stage(
+        starts.select("host_id", F.col("entity_id").alias("start_id"), "entity_id", F.lit(0).alias("hop")), "starts"
+    )
     frontier = visited
     for hop in range(1, hops + 1):
         step = frontier.select("host_id", "start_id", F.col("entity_id").alias("a")).join(both, ["host_id", "a"])
-        frontier = (
+        frontier = stage(
             step.select("host_id", "start_id", F.col("b").alias("entity_id")).distinct()
             .join(visited, ["host_id", "start_id", "entity_id"], "left_anti")
-            .withColumn("hop", F.lit(hop))
+            .withColumn("hop", F.lit(hop)), "frontier",
         )
         visited = visited.unionByName(frontier)
     return visited.where(F.col("hop") > 0).join(node_table.select(*NODE_KEY), NODE_KEY, "left_semi")

@@ -11,6 +11,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hostwarden.functions import expr as X
+from hostwarden.session import stage
 
 # fixed values: countries that add risk
 HIGH_RISK_COUNTRIES = ("KP", "IR", "RU", "CN", "SY", "CU", "VE")
@@ -18,23 +19,37 @@ V4_PREFIX = "00000000000000000000ffff"
 _HEX_UP, _HEX_DOWN = "0123456789abcdef", "fedcba9876543210"
 
 
+def _let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it in ``body``."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ip_key(ip: Column) -> Column:
     """An address as 32 hex digits that sort like the address; IPv4 in its mapped IPv6 form; null when invalid."""
     octet = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-    parts = F.split(ip, r"\.")
-    v4 = F.concat(F.lit(V4_PREFIX), *[F.lpad(F.lower(F.hex(parts[i].cast("int"))), 2, "0") for i in range(4)])
-    halves = F.split(F.lower(ip), "::")
-    def groups(text: Column) -> Column:
-        return F.filter(F.split(text, ":"), lambda g: g != "")
+    v4 = F.concat(F.lit(V4_PREFIX), F.array_join(
+        F.transform(F.split(ip, r"\."), lambda p: F.lpad(F.lower(F.hex(p.cast("int"))), 2, "0")), ""
+    ))
 
-    left, right = groups(halves[0]), F.when(F.size(halves) > 1, groups(F.get(halves, F.lit(1)))).otherwise(F.array())
-    missing = 8 - F.size(left) - F.size(right)
-    pad = F.transform(left, lambda g: F.lpad(g, 4, "0")), F.transform(right, lambda g: F.lpad(g, 4, "0"))
-    v6 = F.concat(F.concat_ws("", pad[0]), F.repeat(F.lit("0000"), F.greatest(missing, F.lit(0))), F.concat_ws("", pad[1]))
-    well_formed = F.when(F.size(halves) == 1, missing == 0).otherwise((F.size(halves) == 2) & (missing >= 1))
+    def groups(text: Column) -> Column:
+        """Colon-separated groups, each padded to four digits."""
+        return F.transform(F.filter(F.split(text, ":"), lambda g: g != ""), lambda g: F.lpad(g, 4, "0"))
+
+    def assemble(p: Column) -> Column:
+        missing = 8 - F.size(p["left"]) - F.size(p["right"])
+        fits = F.when(p["halves"] == 1, missing == 0).otherwise((p["halves"] == 2) & (missing >= 1))
+        zeros = F.repeat(F.lit("0000"), F.greatest(missing, F.lit(0)))
+        return F.when(fits, F.concat(F.array_join(p["left"], ""), zeros, F.array_join(p["right"], "")))
+
+    v6 = _let(F.split(F.lower(ip), "::"), lambda h: _let(
+        F.struct(
+            groups(h[0]).alias("left"), groups(F.coalesce(F.get(h, F.lit(1)), F.lit(""))).alias("right"), F.size(h).alias("halves")
+        ),
+        assemble,
+    ))
     return (
         F.when(ip.rlike(rf"^{octet}(\.{octet}){{3}}$"), v4)
-        .when(ip.rlike(r"^(?=.*:)[0-9A-Fa-f:]+$") & ~ip.rlike(r"[0-9A-Fa-f]{5}|:::") & well_formed, v6)
+        .when(ip.rlike(r"^(?=.*:)(?!.*:::)(?!.*[0-9A-Fa-f]{5})[0-9A-Fa-f:]+$"), v6)
     )
 
 
@@ -56,19 +71,19 @@ def geo_lookup(addresses: DataFrame, ranges: DataFrame) -> DataFrame:
     """Narrowest range containing each address (``ip``).
 
     Every range is filed under the hex prefix its two ends share; an address probes one prefix per
-    length in use (at most 33). An equi-join, with no range exploded into pieces.
+    length in use (at most 33). An equi-join, with no range exploded into pieces. The prepared range table
+    is staged: it is reference data, read once here and joined per query.
     """
     keyed = ranges.select(
         ip_key(F.col("ip_from")).alias("lo"), ip_key(F.col("ip_to")).alias("hi"), "country_code", "country", "city"
-    ).where(F.col("lo").isNotNull() & F.col("hi").isNotNull())
-    shared = F.get(F.filter(
-        F.sequence(F.lit(32), F.lit(0), F.lit(-1)), lambda i: F.substring(F.col("lo"), F.lit(1), i) == F.substring(F.col("hi"), F.lit(1), i)
-    ), F.lit(0))
-    keyed = keyed.withColumn("plen", shared).withColumn("prefix", F.substring(F.col("lo"), F.lit(1), F.col("plen")))
-    lengths = sorted(row[0] for row in keyed.select("plen").distinct().collect())
+    )
+    # Longest common prefix: the greedy group that the second address also starts with.
+    keyed = keyed.withColumn("prefix", F.regexp_extract(F.concat("lo", F.lit("-"), "hi"), r"^([0-9a-f]*)[0-9a-f]*-\1", 1))
+    keyed = stage(keyed.withColumn("plen", F.length("prefix")), "ranges")
+    lengths = sorted(row[0] for row in keyed.where("plen is not null").select("plen").distinct().collect())
     if not lengths:
         lengths = [32]
-    probes = addresses.select("ip", ip_key(F.col("ip")).alias("k")).where(F.col("k").isNotNull()).select(
+    probes = addresses.select("ip", ip_key(F.col("ip")).alias("k")).select(
         "ip", "k", F.explode(F.array(*[F.lit(n) for n in lengths])).alias("plen")
     ).withColumn("prefix", F.substring(F.col("k"), F.lit(1), F.col("plen")))
     hits = probes.join(keyed, ["plen", "prefix"]).where(F.col("k").between(F.col("lo"), F.col("hi")))
