@@ -102,6 +102,7 @@ def shape_telemetry(raw: DataFrame, time_divisor: int = TIME_DIVISOR) -> DataFra
 
 
 def telemetry(spark: SparkSession, sf_dir: str, time_divisor: int = TIME_DIVISOR) -> DataFrame:
+    configure(spark)
     return shape_telemetry(raw_events(spark, sf_dir), time_divisor)
 
 
