@@ -68,13 +68,18 @@ def _first_uses(net: DataFrame, slices: DataFrame, column: str, width: int) -> D
     return firsts.select(*key, "session", scan.int_div(F.col("at._us"), width).alias("_slice"), "at")
 
 
-def process_activity(events: DataFrame, window_sec: int = 300) -> DataFrame:
-    """Add ``conn_per_min, unique_ips, unique_ports_f, avg_interval``."""
+def process_activity(events: DataFrame, window_sec: int = 300, rows: DataFrame | None = None) -> DataFrame:
+    """Add ``conn_per_min, unique_ips, unique_ports_f, avg_interval`` to ``rows`` (default: the events themselves).
+
+    ``rows`` may be the same events with more columns; the session tables are always built from ``events``.
+    """
     width = window_sec * SEC
     key = ["host_id", "_pid", "_slice"]
     us = X.micros("ts")
-    base = events.withColumns({"_us": us, "_pid": F.coalesce("pid", F.lit(0)), "_slice": scan.int_div(us, width)})
-    net = base.where(F.col("source") == "network").select(*key, "_us", "seq", "remote_addr", "remote_port")
+    keyed = {"_us": us, "_pid": F.coalesce("pid", F.lit(0)), "_slice": scan.int_div(us, width)}
+    payload = events if rows is None else rows
+    base = payload.withColumns(keyed)
+    net = events.withColumns(keyed).where(F.col("source") == "network").select(*key, "_us", "seq", "remote_addr", "remote_port")
     slices = _slices(net, width)
     ips, ports = (_first_uses(net, slices, c, width) for c in ("remote_addr", "remote_port"))
 
@@ -94,7 +99,7 @@ def process_activity(events: DataFrame, window_sec: int = 300) -> DataFrame:
     is_net = (F.col("source") == "network").cast("int")
     event_rows = base.select(
         *key, F.col("_us").alias("t"), F.col("seq").alias("s"), F.lit(1).alias("sub"), is_net.alias("d_n"),
-        zero.alias("d_ip"), zero.alias("d_port"), zero.alias("d_exp"), F.struct(*events.columns).alias("_row"),
+        zero.alias("d_ip"), zero.alias("d_port"), zero.alias("d_exp"), F.struct(*payload.columns).alias("_row"),
     )
     leaving = net.select(
         "host_id", "_pid", (F.col("_slice") + 1).alias("_slice"), (F.col("_us") + width).alias("t"),
@@ -108,13 +113,13 @@ def process_activity(events: DataFrame, window_sec: int = 300) -> DataFrame:
             F.lit(ip).alias("d_ip"), F.lit(port).alias("d_port"), zero.alias("d_exp"),
         )
 
-    rows = event_rows
+    moves = event_rows
     for part in (leaving, markers(ips, 1, 0), markers(ports, 0, 1)):
-        rows = rows.unionByName(part, allowMissingColumns=True)
+        moves = moves.unionByName(part, allowMissingColumns=True)
     upto = Window.partitionBy(*key).orderBy("t", "s", "sub").rowsBetween(Window.unboundedPreceding, 0)
     onward = Window.partitionBy(*key).orderBy(F.desc("t"), F.desc("s"), F.desc("sub")).rowsBetween(Window.unboundedPreceding, 0)
     own_time = F.when(F.col("d_n") == 1, F.col("t"))
-    counted = rows.select(
+    counted = moves.select(
         *key, "t", "_row",
         *[F.sum(c).over(upto).alias(f"r{c}") for c in ("d_n", "d_ip", "d_port", "d_exp")],
         F.min(own_time).over(upto).alias("own_first"), F.max(own_time).over(upto).alias("own_last"),
@@ -146,7 +151,13 @@ def process_activity(events: DataFrame, window_sec: int = 300) -> DataFrame:
     )
 
 
+def features(events: DataFrame, window_sec: int = 300) -> DataFrame:
+    """The six features of every event, keyed by (host_id, seq). Only the columns they need travel."""
+    narrow = events.select("host_id", "seq", "ts", "source", "pid", "remote_addr", "remote_port")
+    both = process_activity(narrow, window_sec, host_rates(narrow, window_sec))
+    return both.select("host_id", "seq", *FEATURES)
+
+
 def extract(events: DataFrame, window_sec: int = 300) -> DataFrame:
     """Add all six features, in ``schema.FEATURES`` order."""
-    both = process_activity(host_rates(events, window_sec), window_sec)
-    return both.select(*events.columns, *FEATURES)
+    return events.join(features(events, window_sec), ["host_id", "seq"]).select(*events.columns, *FEATURES)

@@ -49,11 +49,8 @@ def _keyed(events: DataFrame, cfg: CorrelatorConfig) -> DataFrame:
 
 def source_count(events: DataFrame, cfg: CorrelatorConfig = CorrelatorConfig()) -> DataFrame:
     """Sources seen under (host, pid) in the slices before each slice and not yet pruned, as a bit mask."""
-    bit = F.lit(OTHER_SOURCE_BIT)
-    for name, value in SOURCE_BITS.items():
-        bit = F.when(F.col("source") == name, value).otherwise(bit)
     back = cfg.retention_sec // cfg.prune_every_sec
-    seen = _keyed(events, cfg).groupBy("host_id", "pid", "_slice").agg(F.bit_or(bit).alias("mask"))
+    seen = _keyed(events, cfg).groupBy("host_id", "pid", "_slice").agg(F.bit_or(_source_bit()).alias("mask"))
     return (
         seen.select("host_id", "pid", "mask", F.explode(F.array(*[F.col("_slice") + i for i in range(1, back + 1)])).alias("_slice"))
         .groupBy("host_id", "pid", "_slice").agg(F.bit_or("mask").alias("_carry_mask"))
@@ -115,28 +112,36 @@ def _with_beacons(events: DataFrame, cfg: CorrelatorConfig) -> DataFrame:
     return flagged.unionByName(plain, allowMissingColumns=True)
 
 
+def _source_bit() -> Column:
+    bit = F.lit(OTHER_SOURCE_BIT)
+    for name, value in SOURCE_BITS.items():
+        bit = F.when(F.col("source") == name, value).otherwise(bit)
+    return bit
+
+
 def live_counts(
     events: DataFrame, cfg: CorrelatorConfig, patterns: Sequence[Pattern]
 ) -> tuple[DataFrame, list[str]]:
-    """Each event with a pid, with the number of live nodes per counter (itself included) and its source mask."""
+    """Per event with a pid: the number of live nodes per counter (itself included) and the sources seen.
+
+    Only keys, times and node flags travel through the shuffle; the result is keyed by (host, seq).
+    """
     width, window = _slice_us(cfg), cfg.time_window_sec * SEC
     flags = node_flags(patterns)
     names = list(flags)
-    base = _with_beacons(events, cfg)
-    cols = base.columns
-    shaped = base.select(
-        "host_id", "pid", "seq", "_us", "_slice", "entity_id", "remote_addr", "source", "beacon_now", "beacon_next",
+    narrow = events.where(has_pid()).select(
+        "host_id", "seq", "ts", "pid", "entity_id", "source", "remote_addr",
         *[c.cast("int").alias(f"_f_{n}") for n, c in flags.items()],
-        F.struct(*cols).alias("_row"),
     )
+    base = _with_beacons(narrow, cfg)
     # A row belongs to its own slice, and to the next one when it may still be live there.
     next_slice = F.when(
         int_div(F.col("_us") + window - 1, width) > F.col("_slice"), F.col("_slice") + 1
     )
-    placed = shaped.select(
-        "*", F.explode(F.array_compact(F.array(F.col("_slice"), next_slice))).alias("_at")
-    ).withColumn("_own", F.col("_at") == F.col("_slice"))
-    placed = placed.withColumn("_row", F.when(F.col("_own"), F.col("_row"))).drop("_slice")
+    placed = base.select(
+        "host_id", "pid", "seq", "_us", "entity_id", "remote_addr", "beacon_now", "beacon_next", _source_bit().alias("_bit"),
+        "_slice", *[f"_f_{n}" for n in names], F.explode(F.array_compact(F.array(F.col("_slice"), next_slice))).alias("_at"),
+    ).withColumn("_own", F.col("_at") == F.col("_slice")).drop("_slice")
     placed = placed.repartition("host_id", "pid", "_at")
     per_entity = Window.partitionBy("host_id", "pid", "_at", "entity_id").orderBy("_us", "seq")
     per_addr = Window.partitionBy("host_id", "pid", "_at", "remote_addr").orderBy("_us", "seq")
@@ -167,28 +172,25 @@ def live_counts(
         F.when(F.col("_beacon") == 1, step(ending("_next_addr"), 0, 0, -1)),
     ))
     moves = placed.select(
-        "host_id", "pid", "_at", "_own", "_row", "_beacon", *[f"_f_{n}" for n in names], F.explode(steps).alias("_m")
-    ).where(int_div(F.col("_m.t"), width) <= F.col("_at"))
-    moves = moves.withColumn("_row", F.when(F.col("_m.sub") == 1, F.col("_row")))
-    order = Window.partitionBy("host_id", "pid", "_at").orderBy("_m.t", "_m.s", "_m.sub").rowsBetween(
-        Window.unboundedPreceding, 0
-    )
-    mask = F.lit(OTHER_SOURCE_BIT)
-    for name, value in SOURCE_BITS.items():
-        mask = F.when(F.col("_row.source") == name, value).otherwise(mask)
+        "host_id", "pid", "_at", "seq", "_own", "_bit", F.coalesce("_beacon", F.lit(0)).alias("_beacon"),
+        *[f"_f_{n}" for n in names], F.inline(steps),
+    ).where(int_div(F.col("t"), width) <= F.col("_at"))
+    is_own = F.col("_own") & (F.col("sub") == 1)
+    order = Window.partitionBy("host_id", "pid", "_at").orderBy("t", "s", "sub").rowsBetween(Window.unboundedPreceding, 0)
     counted = moves.select(
-        "host_id", "pid", "_at", "_row",
-        *[F.sum(F.col(f"_f_{n}") * F.col("_m.node")).over(order).alias(f"_n_{n}") for n in names],
-        F.sum(F.coalesce(F.col("_beacon"), F.lit(0)) * F.col("_m.beacon")).over(order).alias(f"_n_{BEACON}"),
-        F.sum(F.col("_m.node")).over(order).alias("_n_nodes"),
-        F.bit_or(F.when(F.col("_row").isNotNull(), mask)).over(order).alias("_mask"),
-    ).where(F.col("_row").isNotNull())
-    carry = source_count(events, cfg).withColumnRenamed("_slice", "_at")
+        "host_id", "pid", "_at", "seq", is_own.alias("_is_own"),
+        *[F.sum(F.col(f"_f_{n}") * F.col("node")).over(order).alias(f"_n_{n}") for n in names],
+        F.sum(F.col("_beacon") * F.col("beacon")).over(order).alias(f"_n_{BEACON}"),
+        F.sum("node").over(order).alias("_n_nodes"),
+        F.bit_or(F.when(is_own, F.col("_bit"))).over(order).alias("_mask"),
+    ).where("_is_own")
+    carry = source_count(narrow, cfg).withColumnRenamed("_slice", "_at")
     joined = counted.join(carry, ["host_id", "pid", "_at"], "left")
     counters = [f"_n_{n}" for n in (*names, BEACON, "nodes")]
     out = joined.select(
-        "_row.*", *counters, F.bit_count(F.col("_mask").bitwiseOR(F.coalesce("_carry_mask", F.lit(0)))).alias("source_count")
-    ).drop("_us", "_slice", "beacon_now", "beacon_next")
+        "host_id", "seq", *counters,
+        F.bit_count(F.col("_mask").bitwiseOR(F.coalesce("_carry_mask", F.lit(0)))).alias("source_count"),
+    )
     return out, counters
 
 
@@ -204,23 +206,32 @@ def correlate(
     Events without a pid skip the stage; they are split off before the shuffle because they would
     otherwise all share one key. Their multiplier is null.
     """
+    found = correlations(events, cfg, patterns)
+    joined = events.join(found, ["host_id", "seq"], "left")
+    return joined.select(
+        *events.columns,
+        F.coalesce("source_count", F.lit(0)).alias("source_count"),
+        "multiplier",
+        F.coalesce("related_count", F.lit(0)).alias("related_count"),
+        F.coalesce("patterns", F.array().cast("array<string>")).alias("patterns"),
+        F.coalesce("pattern_bonus", F.lit(0.0)).alias("pattern_bonus"),
+    )
+
+
+def correlations(
+    events: DataFrame, cfg: CorrelatorConfig = CorrelatorConfig(), patterns: Sequence[Pattern] = DEFAULT_PATTERNS
+) -> DataFrame:
+    """The correlation columns of the events with a pid, keyed by (host_id, seq)."""
     counted, counters = live_counts(events, cfg, patterns)
     live = {c.removeprefix("_n_"): F.col(c) for c in counters}
     hits = [(p, p.test(live)) for p in patterns]
-    matched = counted.select(
-        *events.columns,
-        "source_count",
+    return counted.select(
+        "host_id", "seq", "source_count",
         multiplier(F.col("source_count"), cfg).alias("multiplier"),
         (F.col("_n_nodes") - 1).cast("int").alias("related_count"),
         F.array_compact(F.array(*[F.when(t, p.name) for p, t in hits])).alias("patterns"),
         reduce(add, [F.when(t, p.bonus).otherwise(0.0) for p, t in hits], F.lit(0.0)).alias("pattern_bonus"),
     )
-    skipped = events.where(~has_pid()).select(
-        *events.columns, F.lit(0).alias("source_count"), F.lit(None).cast("double").alias("multiplier"),
-        F.lit(0).alias("related_count"), F.array().cast("array<string>").alias("patterns"),
-        F.lit(0.0).alias("pattern_bonus"),
-    )
-    return matched.unionByName(skipped)
 
 
 def related_pairs(events: DataFrame, cfg: CorrelatorConfig = CorrelatorConfig()) -> DataFrame:

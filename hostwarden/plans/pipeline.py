@@ -54,7 +54,7 @@ def score_events(
         scored = heuristics.score(events, heuristic_rules)
     if gate:
         scored = heuristics.gate(scored)
-    scored = keep(scored, "heuristic")
+    scored = gated = keep(scored, "heuristic")
 
     if cfg.correlator.enabled:
         scored = correlation.correlate(scored, cfg.correlator, patterns)
@@ -67,9 +67,9 @@ def score_events(
         })
 
     if cfg.anomaly.enabled and model is not None:
-        scored = keep(scored, "before_anomaly")
-        scored = anomaly_features.extract(scored, cfg.anomaly.window_sec)
-        scored = isolation_forest.score(scored, model, cfg.anomaly).drop(*FEATURES)
+        # Both stages are keyed by (host, seq), so the wide rows are shuffled once for both joins.
+        points = isolation_forest.score(anomaly_features.features(gated, cfg.anomaly.window_sec), model, cfg.anomaly)
+        scored = scored.join(points.select("host_id", "seq", "anomaly_score"), ["host_id", "seq"])
     else:
         scored = scored.withColumn("anomaly_score", F.lit(0.0))
     scored = scored.withColumn("anomaly_bonus", isolation_forest.bonus(F.col("anomaly_score")))
@@ -94,6 +94,6 @@ def total_score() -> Column:
 def train_model(events: DataFrame, cfg: Config = Config()) -> DataFrame | None:
     """Fit the anomaly model on a baseline range of events; None below the minimum number of rows."""
     baseline = write_stage(heuristics.gate(heuristics.score(events)), "baseline")
-    features = write_stage(anomaly_features.extract(baseline, cfg.anomaly.window_sec).select("host_id", "seq", *FEATURES), "features")
+    features = write_stage(anomaly_features.features(baseline, cfg.anomaly.window_sec), "features")
     model = isolation_forest.fit(features, cfg.anomaly)
     return None if model is None else write_stage(model, "model")
