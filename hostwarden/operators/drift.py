@@ -68,16 +68,17 @@ def checks(
     spans = means.groupBy("host_id").agg(F.min("check_no").alias("lo"), F.max("check_no").alias("hi"))
     grid = spans.select("host_id", F.explode(F.sequence("lo", "hi")).alias("check_no"))
     upto = Window.partitionBy("host_id").orderBy("check_no").rowsBetween(Window.unboundedPreceding, 0)
-    # Labels given before a host's first check count from that check on.
-    placed = spans.crossJoin(labels).select(
-        "host_id", F.greatest("check_no", "lo").alias("check_no"), "n", "f"
-    ).groupBy("host_id", "check_no").agg(F.sum("n").alias("n"), F.sum("f").alias("f"))
-    joined = grid.join(means, ["host_id", "check_no"], "left").join(placed, ["host_id", "check_no"], "left")
+    # Labels are not tied to a host: one running total over the check times (a row per check interval).
+    over_time = Window.partitionBy(F.lit(0)).orderBy("check_no").rowsBetween(Window.unboundedPreceding, 0)
+    zero = F.lit(0).cast("bigint")
+    totals = labels.unionByName(
+        grid.select("check_no", zero.alias("n"), zero.alias("f")).distinct()
+    ).groupBy("check_no").agg(F.sum("n").alias("n"), F.sum("f").alias("f")).select(
+        "check_no", F.sum("n").over(over_time).alias("labels"), F.sum("f").over(over_time).alias("fps")
+    )
+    joined = grid.join(means, ["host_id", "check_no"], "left").join(totals, "check_no")
     filled = joined.select(
-        "host_id", "check_no",
-        F.last("recent_mean", ignorenulls=True).over(upto).alias("recent_mean"),
-        F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("labels"),
-        F.coalesce(F.sum("f").over(upto), F.lit(0)).alias("fps"),
+        "host_id", "check_no", F.last("recent_mean", ignorenulls=True).over(upto).alias("recent_mean"), "labels", "fps",
     ).crossJoin(base.select("base_mean", "base_std"))
     shift = F.abs(F.col("recent_mean") - F.col("base_mean"))
     return filled.select(

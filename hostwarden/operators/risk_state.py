@@ -178,40 +178,32 @@ def with_incarnation(tracked: DataFrame) -> DataFrame:
 
 
 def snapshot(tracked: DataFrame, as_of_us: int, th: Thresholds = Thresholds()) -> DataFrame:
-    """Entities as of a time: decayed to it, evicted ones left out."""
-    seen = tracked.where(F.col("us") <= as_of_us)
-    born = F.max(F.when(F.col("fresh"), F.struct("us", "seq", "source"))).alias("born")
-    last = F.max_by(
-        F.struct("us", "score", "state", "before_state"), F.struct("us", "seq")
-    ).alias("last")
-    # Aggregate per chunk first: a fresh start inside the chunk resets the counts.
-    live = seen.groupBy(*KEY).agg(born, last)
-    counts = _counts_since_birth(seen)
-    now = F.lit(as_of_us)
-    lines = tick(now, th) - tick(F.col("last.us"), th)
-    joined = live.join(counts, KEY).withColumn("was_blocked", F.col("last.state") == 4)
-    joined = joined.where(F.col("was_blocked") | ~evicted(F.col("last.score"), F.col("last.us"), now, th))
-    score = F.when(F.col("was_blocked"), F.col("last.score")).otherwise(
-        F.greatest(F.col("last.score") - lines * th.decay_per_tick, F.lit(0.0))
-    )
-    return joined.select(
-        *KEY, F.col("born.source").alias("source"), score.alias("score"),
-        F.when(F.col("was_blocked"), 4).otherwise(X.classify_state(score, th)).alias("state"),
-        F.col("born.us").alias("first_seen_us"), F.col("last.us").alias("last_event_us"), "event_count",
-    ).withColumn("state_label", X.state_label(F.col("state")))
-
-
-def _counts_since_birth(seen: DataFrame) -> DataFrame:
-    """Events of each entity since its last fresh start, from (entity, birth) groups counted map-side.
+    """Entities as of a time: decayed to it, evicted ones left out.
 
-    Every fresh start numbers a new group; the group of a row is the number of fresh starts up to it.
+    Fresh starts number an entity's incarnations; each is aggregated map-side, and the newest one is kept.
     """
+    seen = tracked.where(F.col("us") <= as_of_us).select(*KEY, "chunk", "us", "seq", "source", "score", "state", "fresh")
     numbered = scan.running(
-        seen.select(*KEY, "chunk", "us", "seq", "fresh"), KEY, ["us", "seq"], "chunk",
-        sums={"incarnation": F.col("fresh").cast("int")},
+        seen, KEY, ["us", "seq"], "chunk", sums={"incarnation": F.col("fresh").cast("int")},
     )
-    per = numbered.groupBy(*KEY, "incarnation").agg(F.count(F.lit(1)).alias("event_count"))
-    return per.groupBy(*KEY).agg(F.max_by("event_count", "incarnation").alias("event_count"))
+    order = F.struct("us", "seq")
+    per = numbered.groupBy(*KEY, "incarnation").agg(
+        F.count(F.lit(1)).alias("event_count"), F.min("us").alias("first_seen_us"), F.min_by("source", order).alias("source"),
+        F.max_by(F.struct("us", "score", "state"), order).alias("last"),
+    )
+    newest = per.groupBy(*KEY).agg(
+        F.max_by(F.struct("event_count", "first_seen_us", "source", "last"), "incarnation").alias("e")
+    ).select(*KEY, "e.*")
+    now, blocked = F.lit(as_of_us), F.col("last.state") == 4
+    lines = tick(now, th) - tick(F.col("last.us"), th)
+    present = newest.where(blocked | ~evicted(F.col("last.score"), F.col("last.us"), now, th))
+    score = F.when(blocked, F.col("last.score")).otherwise(
+        F.greatest(F.col("last.score") - lines * th.decay_per_tick, F.lit(0.0))
+    )
+    return present.select(
+        *KEY, "source", score.alias("score"), F.when(blocked, 4).otherwise(X.classify_state(score, th)).alias("state"),
+        "first_seen_us", F.col("last.us").alias("last_event_us"), "event_count",
+    ).withColumn("state_label", X.state_label(F.col("state")))
 
 
 def merge_details(scored: DataFrame, tracked: DataFrame, columns: list[str]) -> DataFrame:
