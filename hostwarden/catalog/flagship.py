@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from hostwarden.catalog.base import ev
 from hostwarden.operators import threat_intel as I
-from hostwarden.plans.pipeline import Intel, score_events, train_model
+from hostwarden.plans.scoring import Intel, score_events, train_model
 from hostwarden.session import stage
 from hostwarden.sources import sample_tables as T
 

@@ -52,7 +52,7 @@ add("r0_with_anomaly", lambda spark, sf: scored_events(spark, sf).select(*_cols(
 def _ungated(spark, sf):
     """Without the gate, the rules also see events that have no heuristic points."""
     from hostwarden.config import Config, CorrelatorConfig
-    from hostwarden.plans.pipeline import score_events
+    from hostwarden.plans.scoring import score_events
 
     out = score_events(ev(spark, sf), Config(correlator=CorrelatorConfig(enabled=False)), gate=False, staged=False)
     hit = F.array_contains("sigma_rules", "System Enumeration Tools")

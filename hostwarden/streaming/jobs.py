@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from hostwarden.config import AnomalyConfig
 from hostwarden.operators import drift, heuristics, isolation_forest, sigma, threat_intel
-from hostwarden.plans.pipeline import Intel
+from hostwarden.plans.scoring import Intel
 from hostwarden.schema import MODEL_NODE_DDL
 from hostwarden.sources.sigma_rules import shipped_rules
 
