@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from hostwarden.functions import expr as X
 from hostwarden.operators import scan
 from hostwarden.schema import FEATURES
+from hostwarden.session import stage
 
 SEC = 1_000_000
 HOST_CHUNK_SEC = 10
@@ -80,7 +81,8 @@ def process_activity(events: DataFrame, window_sec: int = 300, rows: DataFrame |
     payload = events if rows is None else rows
     base = payload.withColumns(keyed)
     net = events.withColumns(keyed).where(F.col("source") == "network").select(*key, "_us", "seq", "remote_addr", "remote_port")
-    slices = _slices(net, width)
+    # Small next to the events (a row per pid and slice), and read four times.
+    slices = stage(_slices(net, width), "slices")
     ips, ports = (_first_uses(net, slices, c, width) for c in ("remote_addr", "remote_port"))
 
     totals = slices
