@@ -24,6 +24,8 @@ from hostwarden.llm.textbytes import lists, mix, salted, shingle_sets, text_slic
 from hostwarden.session import stage
 
 _BUCKETS = 1 << 20
+#: Postings carry this part of a shingle's hash: another shingle with the same part costs a candidate, never a link.
+_POSTING = np.uint64((1 << 48) - 1)
 
 
 def _counts(docs: DataFrame, n: int) -> np.ndarray:
@@ -51,7 +53,7 @@ def _orders(tokens: np.ndarray, counts: np.ndarray) -> list[tuple[np.ndarray, ..
 
 
 _SETS = "doc_id long, n_shingles int, k1 long, k2 long, prefix array<long>"
-_FACTS = "node long, k1 long, size int, tokens array<long>, second array<long>, third array<long>"
+_FACTS = "node long, tokens array<long>, second array<long>, third array<long>"
 
 
 def _set_rows(counts, n: int, percent: int):
@@ -72,7 +74,7 @@ def _set_rows(counts, n: int, percent: int):
                 prefix, length = prefix[~np.repeat(alone, length)], np.where(alone, 0, length)
                 yield pa.RecordBatch.from_arrays([
                     batch["doc_id"][piece.first : piece.last], pa.array(sizes.astype(np.int32)), pa.array(sums[0], mask=sizes == 0), pa.array(sums[1], mask=sizes == 0),
-                    lists(prefix.view(np.int64), length, pa.int64()),
+                    lists((prefix & _POSTING).view(np.int64), length, pa.int64()),
                 ], ["doc_id", "n_shingles", "k1", "k2", "prefix"])
 
     return rows
@@ -88,13 +90,18 @@ def _fact_rows(counts, wanted: bytes, n: int, percent: int):
                 sizes = np.bincount(docs, minlength=piece.last - piece.first)
                 _, second, third = _orders(tokens, counts.value)
                 more = [_prefixes(docs, tokens, sizes, percent, keys) for keys in (second, third)]
-                ends = np.cumsum(sizes)
-                running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(salted(tokens, 4), dtype=np.uint64)])
-                k1 = mix(running[ends] - running[ends - sizes] + sizes.astype(np.uint64)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([
-                    batch["doc_id"][piece.first : piece.last], pa.array(k1), pa.array(sizes.astype(np.int32)),
-                    *(lists(v.view(np.int64), k, pa.int64()) for v, k in ((tokens, sizes), *more)),
-                ], ["node", "k1", "size", "tokens", "second", "third"])
+                    batch["doc_id"][piece.first : piece.last], *(lists(v.view(np.int64), k, pa.int64()) for v, k in ((tokens, sizes), *more)),
+                ], ["node", "tokens", "second", "third"])
+
+    return rows
+
+
+def _wanted_rows(wanted):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = unpacked_bits(wanted.value)
+        for batch in batches:
+            yield batch.filter(pa.array(maybe_in(flags, batch["node"].to_numpy(zero_copy_only=False))))
 
     return rows
 
@@ -124,8 +131,9 @@ def similarity_classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
         .agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix")), "jaccard-nodes",
     )
     postings = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
-    first = postings.groupBy("token").agg(F.count(F.lit(1)).alias("texts"), F.min(F.struct("pos", "node", "n")).alias("hub")).where("texts > 1")
-    shared = stage(postings.join(stage(first.select("token", "hub"), "jaccard-hubs"), "token"), "jaccard-shared")
+    repeated = postings.groupBy("token").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
+    shared = stage(postings.join(stage(repeated.select("token"), "jaccard-repeated"), "token"), "jaccard-shared")
+    hubs = stage(shared.groupBy("token").agg(F.min(F.struct("pos", "node", "n")).alias("hub")), "jaccard-hubs")
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = stage(pairs.distinct(), "jaccard-pairs")
@@ -134,20 +142,21 @@ def similarity_classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
         wanted = spark.sparkContext.broadcast(packed_bits(bit_table(ids, "id")))
         facts = stage(known.mapInArrow(_fact_rows(counts, wanted, n, percent), _FACTS), "jaccard-facts")
-        sides = [facts.select(F.col("node").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("tokens", "second", "third"))) for s in "ab"]
-        narrow = [s.drop(f"tokens_{x}") for s, x in zip(sides, "ab")]
+        narrow = [facts.select(F.col("node").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("second", "third"))) for s in "ab"]
         filtered = pairs.join(narrow[0], "a").join(narrow[1], "b").where(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b"))
         kept = stage(filtered.select("a", "b").distinct(), "jaccard-filtered")
-        both = kept.join(sides[0].select("a", "tokens_a"), "a").join(sides[1].select("b", "tokens_b"), "b")
+        left = spark.sparkContext.broadcast(packed_bits(bit_table(kept.select(F.explode(F.array("a", "b")).alias("id")), "id")))
+        sets = facts.select("node", "tokens").mapInArrow(_wanted_rows(left), "node long, tokens array<long>")
+        both = kept.join(sets.toDF("a", "tokens_a"), "a").join(sets.toDF("b", "tokens_b"), "b")
         common = F.size(F.array_intersect("tokens_a", "tokens_b"))
         union = F.size("tokens_a") + F.size("tokens_b")
         return stage(both.where((100 + percent) * common >= percent * union).select("a", "b"), "jaccard-links")
 
-    hub_pairs = shared.alias("x").where((F.col("node") != F.col("hub.node")) & _possible("x", "hub", percent))
+    hub_pairs = shared.join(hubs, "token").alias("x").where((F.col("node") != F.col("hub.node")) & _possible("x", "hub", percent))
     links = verified(hub_pairs.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")))
 
     classes = connected(links, "jaccard-hub")
-    placed = stage(shared.drop("hub").join(classes, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component"), "jaccard-placed")
+    placed = stage(shared.join(classes, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component"), "jaccard-placed")
     sizes = placed.groupBy("token", "class").agg(F.count(F.lit(1)).alias("k"))
     mixed = sizes.groupBy("token").agg(F.max(F.struct("k", "class")).alias("most"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
     open_rows = stage(placed.join(stage(mixed.select("token", F.col("most.class").alias("main")), "jaccard-mixed"), "token"), "jaccard-open")
