@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hostwarden.llm import decontamination, language_id, ngram_jaccard, packing, substring_dedup
+from hostwarden.llm import decontamination, embedding_dedup, importance, language_id, licenses, ngram_jaccard, packing, substring_dedup, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -56,3 +56,39 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlaps of documents with benchmark items."""
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels that are not held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    labelled = docs.select("doc_id", "text").join(labels.select("doc_id", "toxic").where(~toxicity.held_out()), "doc_id")
+    scored = toxicity.score(docs, toxicity.train(labelled))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", "hits", "words")
+
+
+@query()
+def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and conversion records of every page."""
+    return warc.derivatives(warc.responses(table(spark, sf_dir, "pages")))
+
+
+@query(embedding_dedup.SQL)
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of vectors that link at a cosine of 0.9."""
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), 0.9)
+
+
+@query()
+def op8_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents resampled towards those labelled good, but for the held-out labels."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    good = labels.where((F.col("quality") == 1) & ~toxicity.held_out()).select("doc_id", F.lit(True).alias("target"))
+    return importance.resample(docs, importance.train(docs.select("doc_id", "text").join(good, "doc_id", "left")))
+
+
+@query()
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in all documents."""
+    docs = table(spark, sf_dir, "documents")
+    return licenses.scan(docs, licenses.train(docs))
