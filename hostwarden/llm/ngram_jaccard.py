@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from hostwarden.llm.support import bit_table, connected, maybe_in, packed_bits, prepare, summed_table, unpacked_bits
 from hostwarden.llm.textbytes import lists, mix, salted, shingle_sets, text_slices
-from hostwarden.session import stage
+from hostwarden.session import release, stage
 
 _BUCKETS = 1 << 20
 #: Postings carry this part of a shingle's hash: another shingle with the same part costs a candidate, never a link.
@@ -150,7 +150,9 @@ def similarity_classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
         both = kept.join(sets.toDF("a", "tokens_a"), "a").join(sets.toDF("b", "tokens_b"), "b")
         common = F.size(F.array_intersect("tokens_a", "tokens_b"))
         union = F.size("tokens_a") + F.size("tokens_b")
-        return stage(both.where((100 + percent) * common >= percent * union).select("a", "b"), "jaccard-links")
+        links = stage(both.where((100 + percent) * common >= percent * union).select("a", "b"), "jaccard-links")
+        release(facts, pairs, kept)
+        return links
 
     hub_pairs = shared.join(hubs, "token").alias("x").where((F.col("node") != F.col("hub.node")) & _possible("x", "hub", percent))
     links = verified(hub_pairs.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")))
@@ -159,16 +161,19 @@ def similarity_classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     placed = stage(shared.join(classes, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component"), "jaccard-placed")
     sizes = placed.groupBy("token", "class").agg(F.count(F.lit(1)).alias("k"))
     mixed = sizes.groupBy("token").agg(F.max(F.struct("k", "class")).alias("most"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    release(shared, hubs)
     open_rows = stage(placed.join(stage(mixed.select("token", F.col("most.class").alias("main")), "jaccard-mixed"), "token"), "jaccard-open")
     x, y = open_rows.where(F.col("class") != F.col("main")).alias("x"), open_rows.alias("y")
     apart = (F.col("x.class") != F.col("y.class")) & ((F.col("y.class") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
     rest = x.join(y, (F.col("x.token") == F.col("y.token")) & apart & _possible("x", "y", percent))
     more = verified(rest.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")))
 
+    release(placed, open_rows)
     ids = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).where("low <> high")
     same = rows.join(ids, "doc_id").join(nodes.select("k1", "k2", "node"), ["k1", "k2"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     classes = connected(links.unionByName(more).unionByName(same), "jaccard-all")
     of_set = stage(nodes.join(classes, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component")), "jaccard-of-set")
+    release(nodes)
     return rows.join(of_set, ["k1", "k2"], "left").select(
         "doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"),
     ).withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
