@@ -92,26 +92,28 @@ def paragraphs(piece: Slice, w) -> Paragraphs:
     return Paragraphs(w.doc[first], first, np.minimum(first + LONGEST, end[of]))
 
 
-def _feature_ends(w, p: Paragraphs) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For n = 1, 2, 3: cells of all n-grams in word order, and the range of them that each paragraph holds."""
-    out = []
-    for n in (1, 2, 3):
-        same = np.zeros(len(w.hash), np.int8)
-        _, h = ngrams(w.hash, same, n)
-        cells = (salted(h, n) & np.uint64(_CELLS - 1)).astype(np.int64)
-        out.append((cells, np.minimum(p.start, len(cells)), np.clip(p.end - n + 1, np.minimum(p.start, len(cells)), len(cells))))
-    return out
+def _cells(hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cell of every word n-gram, and whether it counts: not where the same one stood up to three words before."""
+    _, h = ngrams(hashes, np.zeros(len(hashes), np.int8), n)
+    new = np.ones(len(h), bool)
+    for back in (1, 2, 3):
+        new[back:] &= h[back:] != h[:-back]
+    return (salted(h, n) & np.uint64(_CELLS - 1)).astype(np.int64), new
 
 
 def scores(piece: Slice, w, p: Paragraphs, model: Model) -> np.ndarray:
     """Probability of every class for every paragraph; n-grams weigh one over the root of their number."""
     z = np.zeros((len(p.start), len(model.bias)))
     size = np.zeros(len(p.start))
-    for cells, lo, hi in _feature_ends(w, p):
+    for n in (1, 2, 3):
+        cells, new = _cells(w.hash, n)
+        lo = np.minimum(p.start, len(cells))
+        hi = np.clip(p.end - n + 1, lo, len(cells))
         running = np.zeros((len(cells) + 1, z.shape[1]), np.float64)
-        np.cumsum(model.weights[cells], axis=0, out=running[1:])
+        np.cumsum(model.weights[cells] * new[:, None], axis=0, out=running[1:])
+        count = np.concatenate([[0], np.cumsum(new)])
         z += running[hi] - running[lo]
-        size += hi - lo
+        size += count[hi] - count[lo]
     z = (model.bias + z / np.sqrt(np.maximum(size, 1))[:, None]) / model.temperature
     z -= z.max(axis=1, keepdims=True)
     e = np.exp(z)
@@ -125,15 +127,14 @@ def _rows_of(texts: list[str]) -> list[np.ndarray]:
         w = words(piece, solid=_SOLID)
         for d in range(piece.last - piece.first):
             own = w.hash[slice(*np.searchsorted(w.doc, [d, d + 1]))]
-            cells = [(salted(ngrams(own, np.zeros(len(own), np.int8), n)[1], n) & np.uint64(_CELLS - 1)).astype(np.int64) for n in (1, 2, 3)]
-            out.append(np.concatenate(cells))
+            out.append(np.concatenate([cells[new] for cells, new in (_cells(own, n) for n in (1, 2, 3))]))
     return out
 
 
 def _varied(rng: np.random.Generator, sentence: str, filler: list[str]) -> str:
     """A wording with a few words lost or changed, and other words around it."""
     own = [x for x in sentence.split() if rng.random() > 0.04]
-    around = [filler[k] for k in rng.integers(0, len(filler), rng.integers(0, 12))] if filler else []
+    around = [filler[k] for k in rng.integers(0, len(filler), rng.integers(0, 12) if rng.random() < 0.5 else rng.integers(12, LONGEST))] if filler else []
     cut = int(rng.integers(0, len(around) + 1))
     return " ".join([*around[:cut], *own, *around[cut:]])
 
