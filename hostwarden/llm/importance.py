@@ -21,6 +21,8 @@ from hostwarden.session import stage
 _CELLS = 1 << 13
 #: Share of the rows that the sample keeps.
 SHARE = 0.85
+#: About this many target documents are counted at most.
+MAX_TARGET = 100_000
 
 
 @dataclass(frozen=True)
@@ -35,18 +37,26 @@ def _cells(piece: Slice) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([w.doc, w.doc[at]]), (hashes >> np.uint64(51)).astype(np.int64)
 
 
-def train(rows: DataFrame) -> Model:
-    """From ``rows(text, target)``: counts of all texts, and of those whose ``target`` is true."""
-    prepare(rows.sparkSession)
+def train(docs: DataFrame, target: DataFrame, max_target: int = MAX_TARGET) -> Model:
+    """From ``docs(doc_id, text)``: counts of all texts, and of those whose id is in ``target(doc_id)``.
+
+    Of more than about ``max_target`` ids a share is used, chosen by a hash, so that the driver and each task hold a
+    list of bounded size and no text has to meet its label in a shuffle.
+    """
+    prepare(docs.sparkSession)
+    ids = target.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
+    share = min(1.0, max_target / max(1, ids.count()))
+    chosen = ids.where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    listed = docs.sparkSession.sparkContext.broadcast(np.sort(chosen.toArrow()["doc_id"].to_numpy()))
 
     def accumulate(batch: pa.RecordBatch, table: np.ndarray) -> None:
-        target = batch["target"].fill_null(False).to_numpy(zero_copy_only=False)
+        target = np.isin(batch["doc_id"].fill_null(-1).to_numpy(), listed.value) & batch["doc_id"].is_valid().to_numpy(zero_copy_only=False)
         for piece in text_slices(batch["text"]):
             doc, cell = _cells(piece)
             table[0] += np.bincount(cell, minlength=_CELLS)
             table[1] += np.bincount(cell[target[piece.first + doc]], minlength=_CELLS)
 
-    counts = summed_table(rows.select(F.col("text").cast("string").alias("text"), F.col("target").cast("boolean").alias("target")), accumulate, (2, _CELLS)).astype(float)
+    counts = summed_table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), accumulate, (2, _CELLS)).astype(float)
     raw = (counts[0] + 1) / (counts[0].sum() + _CELLS)
     # Smoothed towards the raw model by about ten n-grams a cell, fewer where the target is a small part.
     pseudo = 10 * _CELLS * counts[1].sum() / max(1.0, counts[0].sum())

@@ -83,8 +83,8 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents resampled towards those labelled good, but for the held-out labels."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    good = labels.where((F.col("quality") == 1) & ~toxicity.held_out()).select("doc_id", F.lit(True).alias("target"))
-    return importance.resample(docs, importance.train(docs.select("doc_id", "text").join(good, "doc_id", "left")))
+    good = labels.where((F.col("quality") == 1) & ~toxicity.held_out()).select("doc_id")
+    return importance.resample(docs, importance.train(docs, good))
 
 
 @query()

@@ -80,7 +80,7 @@ def test_priors_decide_what_text_leaves_open(spark):
 
 def test_importance_model_and_top_k(spark, texts):
     docs = texts([(k, ("good words here and more " if k % 2 else "junk $$$ ### @@@ ") * 20) for k in range(100)] + [(200, None), (201, ""), (300, "good words"), (300, "good words")])
-    model = importance.train(docs.withColumn("target", (F.col("doc_id") % 2 == 1) & (F.col("doc_id") < 60)))
+    model = importance.train(docs, docs.where("doc_id % 2 = 1 AND doc_id < 60"))
     got = importance.resample(docs, model, 0.5).collect()
     keys = sorted((round(r["key"] * 1e6) for r in got), reverse=True)
     last = keys[-(-len(keys) // 2) - 1]
