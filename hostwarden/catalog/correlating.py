@@ -148,12 +148,12 @@ add(
     "c10_beacon_test",
     lambda spark, sf: busy(spark, sf).groupBy("pid", "remote_addr").agg(
         F.max_by(F.lit(1), "ts").alias("one"), F.array_sort(F.collect_set(X.micros("ts"))).alias("t")
-    ).select("pid", "remote_addr", F.size("t").alias("n"), C.is_regular(F.slice("t", -20, 20)).cast("int").alias("beacon")).where("n >= 20"),
+    ).select("pid", "remote_addr", F.size("t").alias("n"), C.is_regular(F.slice("t", -20, 20)).cast("int").alias("beacon")).where("n >= 5"),
     with_ev(
         "SELECT pid, remote_addr, max(n) AS n, CASE WHEN avg(gap) >= 1 AND stddev_pop(gap) < avg(gap) * 0.15 THEN 1 ELSE 0 END AS beacon FROM "
         "(SELECT *, (us - lag(us) OVER (PARTITION BY pid, remote_addr ORDER BY us)) / 1000000.0 AS gap FROM "
         "(SELECT pid, remote_addr, us, count(*) OVER (PARTITION BY pid, remote_addr) AS n, row_number() OVER (PARTITION BY pid, remote_addr ORDER BY us DESC) AS rn "
-        "FROM (SELECT DISTINCT pid, remote_addr, us FROM ge)) WHERE rn <= 20) WHERE n >= 20 GROUP BY pid, remote_addr", _BUSY,
+        "FROM (SELECT DISTINCT pid, remote_addr, us FROM ge)) WHERE rn <= 20) WHERE n >= 5 GROUP BY pid, remote_addr", _BUSY,
     ),
 )
 BEACON_SQL = with_ev(

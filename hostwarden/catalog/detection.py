@@ -82,10 +82,10 @@ add(
 )
 add(
     "f1_entropy_text",
-    lambda spark, sf: spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source").distinct().select(
-        "doc_id", r6(X.entropy(F.col("source")), "entropy")
+    lambda spark, sf: spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").distinct().select(
+        "doc_id", r6(X.entropy(F.col("text")), "entropy")
     ),
-    f"SELECT doc_id, round({ENTROPY.format(col='d.source')}, 6) AS entropy FROM (SELECT DISTINCT doc_id, source FROM documents) d",
+    f"SELECT doc_id, round({ENTROPY.format(col='d.text')}, 6) AS entropy FROM (SELECT DISTINCT doc_id, text FROM documents) d",
 )
 add(
     "f2_name_match",
