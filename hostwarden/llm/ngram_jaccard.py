@@ -171,7 +171,8 @@ def similarity_classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     release(placed, open_rows)
     ids = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).where("low <> high")
     same = rows.join(ids, "doc_id").join(nodes.select("k1", "k2", "node"), ["k1", "k2"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    classes = connected(links.unionByName(more).unionByName(same), "jaccard-all")
+    found = classes.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    classes = connected(found.unionByName(more).unionByName(same), "jaccard-all")
     of_set = stage(nodes.join(classes, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component")), "jaccard-of-set")
     release(nodes)
     return rows.join(of_set, ["k1", "k2"], "left").select(

@@ -99,20 +99,56 @@ def unpacked_bits(blob: bytes) -> np.ndarray:
     return np.unpackbits(np.frombuffer(blob, np.uint8)).view(bool)
 
 
-def connected(links: DataFrame, name: str = "links") -> DataFrame:
+def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """These links with every class as a star: each other node next to the smallest one."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while (root[x] != root[y]).any():
+        low = np.minimum(root[x], root[y])
+        np.minimum.at(root, root[x], low)
+        np.minimum.at(root, root[y], low)
+        while (root[root] != root).any():
+            root = root[root]
+    moved = root != np.arange(len(nodes))
+    return nodes[moved], nodes[root[moved]]
+
+
+def _star_rows(most: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def joined() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in _stars(table["a"].to_numpy(), table["b"].to_numpy())], ["a", "b"])
+
+        for batch in batches:
+            held.append(batch)
+            if sum(map(len, held)) >= 2 * most:
+                yield joined()
+        if held:
+            yield joined()
+
+    return rows
+
+
+def connected(links: DataFrame, name: str = "links", most: int = 1 << 18) -> DataFrame:
     """Classes of an undirected graph: ``links(a, b)`` of longs to ``(node, component)``, the smallest node of its class.
 
-    Every round each node joins the neighbour of lowest random rank, and the graph shrinks by a constant factor, so
-    rounds grow with the logarithm of the longest chain. Links stay on the executors; each round is a written table.
-    Nulls and self-links are ignored.
+    Every round each task first turns its part of the links, about ``most`` of them, into stars. Then each node joins
+    its neighbour of lowest rank, by id and at random in turn, and the graph shrinks by a constant factor, so rounds
+    grow with the logarithm of the longest chain. Links stay on the executors; each round is a written table. Nulls
+    and self-links are ignored.
     """
 
     def rank(column: str, turn: int):
-        return F.struct(F.xxhash64(F.lit(turn), column).alias("r"), F.col(column).alias("id"))
+        return F.struct((F.xxhash64(F.lit(turn), column) if turn % 2 else F.lit(0).cast("long")).alias("r"), F.col(column).alias("id"))
 
     edges = stage(links.select("a", "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
     labels, turn = None, 0
-    while not edges.isEmpty():
+    while left := edges.count():
+        edges = stage(edges.coalesce(1 + left // most).mapInArrow(_star_rows(most), "a long, b long"), f"{name}-stars")
         both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionAll(edges.select(F.col("b").alias("node"), F.col("a").alias("other")))
         best = both.groupBy("node").agg(F.min(rank("other", turn)).alias("m"))
         own = rank("node", turn)

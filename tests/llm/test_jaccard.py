@@ -1,6 +1,7 @@
 import random
 
 from hostwarden.llm import ngram_jaccard
+from hostwarden.llm.support import connected
 from tests.llm.conftest import components, shingles
 
 
@@ -65,3 +66,16 @@ def test_one_of_each_keeps_all_columns(texts):
     rows = [(1, "a b c d e f"), (2, "a b c d e f"), (3, None), (None, "a b c d e f")]
     got = ngram_jaccard.one_of_each(texts(rows))
     assert got.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"] and sorted((r["doc_id"] for r in got.collect()), key=str) == [1, 3, None]
+
+
+def test_classes_of_chains_stars_and_random_links_in_small_parts(spark):
+    rng = random.Random(7)
+    chain = rng.sample(range(1000), 60)
+    star = [(2000, k) for k in range(2001, 2080)]
+    loose = [(rng.randrange(3000, 3200), rng.randrange(3000, 3200)) for _ in range(120)]
+    links = list(zip(chain, chain[1:])) + star + loose + [(chain[3], chain[3]), (star[5][1], 2000)]
+    want = components({i for pair in links for i in pair}, links)
+    rows = spark.createDataFrame(links + [(None, 5), (4001, None)], "a long, b long")
+    for most in (20, 1 << 18):
+        got = {r["node"]: r["component"] for r in connected(rows.repartition(6), "test-links", most).collect()}
+        assert got == {i: c for i, c in want.items() if i in got} and all(want[i] == i for i in want.keys() - got.keys())
