@@ -253,6 +253,21 @@ def _entity_ids(spark, sf):
     return out.groupBy("kind", "entity_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("r0_from_snapshots", sql(
+    "SELECT kind, entity_id, count(*) AS n, count(*) AS keys FROM (SELECT 'new_process' AS kind, 'proc:' || pid || ':' || name AS entity_id FROM pnew WHERE NOT (" + _TRUSTED + ") "
+    "UNION ALL SELECT 'spawn_loop', 'proc:spawn:' || ppid FROM sp WHERE spawn_count >= 10 UNION ALL SELECT kind, entity_id FROM nev UNION ALL SELECT 'file_modified', 'file:' || path FROM fmod "
+    f"UNION ALL SELECT 'rapid_changes', 'file:rapid' FROM (SELECT DISTINCT scan_us // {MIN} FROM fmod) "
+    "UNION ALL SELECT kind, CASE kind WHEN 'cpu_abuse' THEN 'resource:cpu:' ELSE 'resource:mem:' END || pid FROM rev) GROUP BY kind, entity_id", PS, _SPAWN, NET, FS, RS,
+))
+def _from_snapshots(spark, sf):
+    """Snapshots through all monitors and the ungated scoring plan: every event comes out once, under its own key."""
+    from hostwarden.plans.monitoring import monitored_events
+    from hostwarden.plans.scoring import score_events
+
+    scored = score_events(monitored_events(ps(spark, sf), cs(spark, sf), fs(spark, sf), rs(spark, sf)), gate=False)
+    return scored.groupBy("kind", "entity_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("host_id", "seq").alias("keys"))
+
+
 _PLAN = f"SELECT pid, seq, name, kind AS reason FROM ev WHERE kind IN ('cpu_abuse', 'memory_abuse', 'spawn_loop') AND pid > 0 AND name <> '' AND NOT ({_EXEMPT})"
 add(
     "k7_response_plan_renice",

@@ -143,3 +143,19 @@ def test_resource_guard_against_loop(spark, seed):
             alerts.pop((pid, "mem"), None)
         active = present
     assert got == sorted(want)
+
+
+def test_events_of_all_monitors_have_their_own_keys_and_are_scored_once(spark):
+    from hostwarden.plans.monitoring import monitored_events
+    from hostwarden.plans.scoring import score_events
+
+    rows = [("h", T0, 1, 1, "init", "/sbin/init", None, 0)] + [("h", T0 + 10 * SEC, 10 + k, 100 + k, f"c{k}", "/tmp/c", None, 1) for k in range(12)]
+    procs = stamped(spark, rows + [("h", T0 + 10 * SEC, 9, 1, "init", "/sbin/init", None, 0)], "host_id string, scan_ts bigint, seq bigint, pid int, name string, exe string, created timestamp, ppid int")
+    conns = stamped(spark, [("h", T0 + 10 * SEC, k, 100, "ESTABLISHED", 5000 + k, "198.51.100.7", 4000 + k) for k in range(25)], "host_id string, scan_ts bigint, seq bigint, pid int, status string, local_port int, remote_addr string, remote_port int")
+    files = stamped(spark, [("h", T0 + n * 10 * SEC, path, f"{n}", None, 5) for n in range(2) for path in ("/etc/passwd", "/etc/shadow")], "host_id string, scan_ts bigint, path string, hash string, mtime timestamp, size bigint")
+    events = monitored_events(procs, conns, files)
+    got = events.collect()
+    assert len({(r["host_id"], r["seq"]) for r in got}) == len(got) and {"new_process", "spawn_loop", "file_modified", "rapid_changes"} <= {r["kind"] for r in got}
+    assert [r["ts"] for r in sorted(got, key=lambda r: r["seq"])] == sorted(r["ts"] for r in got)
+    scored = score_events(events, gate=False).select("seq").collect()
+    assert sorted(r["seq"] for r in scored) == sorted(r["seq"] for r in got)
