@@ -47,6 +47,25 @@ def test_covers_every_repeated_window(texts):
             first.setdefault(x, i)
 
 
+def covered(texts, rows):
+    spans = {}
+    for r in substring_dedup.repeated_passages(texts(rows)).collect():
+        spans.setdefault((r["doc_id"], r["source_id"]), set()).update(range(r["start_word"], r["end_word"]))
+    return spans
+
+
+def test_fuzzy_passage_whose_runs_stand_in_earlier_texts(texts):
+    """Every equal run of 10 and 11 also stands in an earlier text that is no source; in the second case in very many."""
+    new = vocabulary(11)
+    for many in (1, 90):
+        passage = new(60)
+        changed = [f"other{k}" if k in (19, 39) else w for k, w in enumerate(passage)]
+        rows = [(100 * part + k, " ".join(new(40) + passage[20 * part : 20 * part + 19] + new(40))) for part in range(3) for k in range(1, many + 1)]
+        rows += [(1000, " ".join(new(30) + passage + new(30))), (1001, " ".join(new(20) + changed + new(20)))]
+        spans = covered(texts, rows)
+        assert set(spans) == {(1001, 1000)} and len(spans[1001, 1000] & set(range(20, 80))) >= 56
+
+
 def test_clean_texts_and_empty_tables(texts):
     new = vocabulary(3)
     line = " ".join(new(12))
