@@ -66,6 +66,23 @@ def test_fuzzy_passage_whose_runs_stand_in_earlier_texts(texts):
         assert set(spans) == {(1001, 1000)} and len(spans[1001, 1000] & set(range(20, 80))) >= 56
 
 
+def test_recall_of_substituted_passages(texts):
+    """Passages with one word in 20 to one word in 5 substituted, regularly and at random places."""
+    rng, new = random.Random(12), vocabulary(12)
+    rows, wanted = [], {}
+    for n in (40, 50, 60, 100):
+        for every in (5, 6, 8, 10, 20):
+            for regular in (True, False):
+                i, passage = len(rows), new(n)
+                at = set(range(every // 2, n, every)) if regular else set(rng.sample(range(n), n // every))
+                rows.append((i, " ".join(new(60) + passage + new(60))))
+                rows.append((i + 1, " ".join(new(60) + [f"x{k}" if k in at else w for k, w in enumerate(passage)] + new(60))))
+                wanted[i + 1, i] = n
+    spans = covered(texts, rows)
+    lost = [(pair, n) for pair, n in wanted.items() if len(spans.get(pair, set()) & set(range(60, 60 + n))) < 0.8 * n]
+    assert not lost and set(spans) == set(wanted), lost
+
+
 def test_clean_texts_and_empty_tables(texts):
     new = vocabulary(3)
     line = " ".join(new(12))
