@@ -141,3 +141,21 @@ def test_decontamination_keeps_other_rows(spark, texts):
     docs = texts([(1, " ".join(item)), (2, "fine"), (None, "fine")])
     found = decontamination.contaminated(docs, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"))
     assert sorted((r["doc_id"] for r in decontamination.clean(docs, found).collect()), key=str) == [2, None]
+
+
+def test_decontamination_tolerates_substitutions(spark, texts):
+    """Whole items with words substituted at any places, against the stated rule; an item with too many changed does not match."""
+    rng, new = random.Random(13), vocabulary(13)
+    rows, items, wanted = [], [], set()
+    cases = [(20, (4, 6, 14)), (6, (2,)), (10, (3, 7)), (20, range(2, 20, 3)), (12, (1, 5, 9)), (5, (2,))]
+    cases += [(n, rng.sample(range(n), c)) for n, c in ((20, 3), (18, 3), (16, 2), (24, 4), (24, 5), (30, 6), (13, 2), (8, 1), (17, 3)) for _ in range(20)]
+    for k, (n, changed) in enumerate(cases):
+        item = new(n)
+        items.append((k, " ".join(item), 0))
+        rows.append((k, " ".join(new(15) + [f"x{j}" if j in changed else w for j, w in enumerate(item)] + new(15))))
+        same = [j not in set(changed) for j in range(n)]
+        parts = [same[s:e] for s in range(n) for e in range(s + 1, n + 1)]
+        if any(sum(p) >= min(13, max(5, 0.8 * n)) and 4 * (len(p) - sum(p)) < len(p) for p in parts):
+            wanted.add((k, k))
+    assert len(wanted) > 150
+    assert {(doc, item) for doc, item, *_ in leaks(spark, texts, rows, items)} == wanted
