@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hostwarden.llm import decontamination, embedding_dedup, importance, language_id, licenses, ngram_jaccard, packing, substring_dedup, toxicity, warc
+from hostwarden.llm import decontamination, embedding_dedup, importance, language_id, licenses, ngram_jaccard, packing, substring_dedup, toxicity, warc, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -92,3 +92,9 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence notices in all documents."""
     docs = table(spark, sf_dir, "documents")
     return licenses.scan(docs, licenses.train(docs))
+
+
+@query()
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on its first 16 whitened components."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
