@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hostwarden.llm import decontamination, embedding_dedup, importance, language_id, licenses, ngram_jaccard, packing, substring_dedup, toxicity, warc, whitening
+from hostwarden.llm import conversation_repair, decontamination, embedding_dedup, importance, language_id, licenses, ngram_jaccard, packing, substring_dedup, toxicity, warc, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -94,6 +94,12 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(docs, licenses.train(docs))
 
 
+@query(conversation_repair.SQL)
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every damaged conversation."""
+    return conversation_repair.repair(table(spark, sf_dir, "conversations"))
+
+
 @query()
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector on its first 16 whitened components."""
