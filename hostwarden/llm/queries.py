@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hostwarden.llm import conversation_repair, decontamination, embedding_dedup, importance, language_id, licenses, ngram_jaccard, packing, substring_dedup, toxicity, warc, whitening
+from hostwarden.llm import conversation_repair, decontamination, embedding_dedup, importance, language_id, licenses, ngram_jaccard, packing, substring_dedup, suffix_dedup, toxicity, warc, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -100,6 +100,12 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair(table(spark, sf_dir, "conversations"))
 
 
+@query(suffix_dedup.SQL)
+def op12_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without its repeated strings of 400 bytes."""
+    return suffix_dedup.without_repeats(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector on its first 16 whitened components."""
