@@ -8,9 +8,11 @@ in equal groups. The passes, most significant digit first, drop every group of o
    about two positions in ``window`` stand for all. The bytes from there that each of its windows holds are the first digit.
 2. Within a group, the bytes of all neighbouring windows that name the position (a cell) are the next digit. A group
    whose cells are all equal is done: every window of it is repeated.
-3. Only where different cells meet are windows dealt singly, one of each different cell, by their remaining bytes.
+3. Where different cells meet, one of each different cell is cut by the offset of its windows into parts of ``part``. The
+   bytes that all windows of a part hold are the next digit, the bytes that any of them holds the one after it.
+4. Only where different parts meet are windows dealt singly, by the fewer than ``part`` bytes of them that are left.
 
-A digit is compared by 64 bits of hash on top of the digits before it, so an equal group has 128 equal bits. Groups are
+A digit is compared by 64 bits of hash on top of the digits before it (the last one by its bytes), so an equal group has 128 equal bits. Groups are
 only counted, never gathered, so a passage in a third of all texts is summed in the map tasks and its rows stay spread.
 """
 
@@ -30,6 +32,8 @@ from hostwarden.session import release, stage
 WIDTH = 400
 _GRAM = 8
 _BLOCK = 1 << 20
+#: Windows of so many neighbouring offsets are a part of a cell, fewer for narrow windows.
+PART = 32
 _U = np.uint64
 _LOW = _U((1 << 32) - 1)
 
@@ -52,13 +56,14 @@ def _named_positions(data: np.ndarray, window: int) -> np.ndarray:
 
 
 def cells(data: np.ndarray, first: np.ndarray, stop: np.ndarray, width: int, window: int) -> tuple[np.ndarray, ...]:
-    """Runs of window starts in ``[first, stop)`` that name the same position: start, number, hash of the sampled suffix
-    and hash of all bytes of the run's windows, and how often the run follows itself (in periodic text).
+    """Runs of window starts in ``[first, stop)`` that name the same position: start, number, how far the position is from
+    the start, hash of the sampled suffix and hash of all bytes of the run's windows, and how often the run follows itself
+    (in periodic text).
 
     The ranges are ascending and apart, and every window lies in ``data``.
     """
     if not len(first) or len(data) < width:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, _U, _U, np.int64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, _U, _U, np.int64))
     named = _named_positions(data, window)
     cuts = np.unique(np.concatenate([np.flatnonzero(named[1:] != named[:-1]) + 1, first, stop]))
     begin, end = cuts[:-1], cuts[1:]
@@ -72,7 +77,7 @@ def cells(data: np.ndarray, first: np.ndarray, stop: np.ndarray, width: int, win
     head = np.ones(n, bool)
     head[1:] = (suffix[1:] != suffix[:-1]) | (whole[1:] != whole[:-1]) | (begin[1:] != end[:-1])
     heads = np.flatnonzero(head)
-    return begin[heads], (end - begin)[heads], suffix[heads], whole[heads], np.diff(np.append(heads, n))
+    return begin[heads], (end - begin)[heads], (key - begin)[heads], suffix[heads], whole[heads], np.diff(np.append(heads, n))
 
 
 def _pieces(column: pa.Array, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -89,7 +94,7 @@ def _pieces(column: pa.Array, width: int) -> Iterator[tuple[np.ndarray, np.ndarr
             yield data, np.array([piece.first]), np.zeros(1, np.int64), np.array([len(data) - width + 1]), np.array([-lo])
 
 
-_CELLS = "d long, t long, start int, n int, times int, suffix long, cell long"
+_CELLS = "d long, t long, start int, n int, far int, times int, suffix long, cell long"
 
 
 def _cells_of(width: int, window: int):
@@ -97,44 +102,62 @@ def _cells_of(width: int, window: int):
         for batch in batches:
             d, t = (batch[c].to_numpy(zero_copy_only=False) for c in ("d", "t"))
             for data, row, first, stop, origin in _pieces(batch["text"], width):
-                begin, n, suffix, whole, times = cells(data, first, stop, width, window)
+                begin, n, far, suffix, whole, times = cells(data, first, stop, width, window)
                 own = np.searchsorted(first, begin, "right") - 1
-                columns = (d[row[own]], t[row[own]], (begin - origin[own]).astype(np.int32), n.astype(np.int32), times.astype(np.int32), suffix.view(np.int64), whole.view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["d", "t", "start", "n", "times", "suffix", "cell"])
+                columns = (d[row[own]], t[row[own]], (begin - origin[own]).astype(np.int32), n.astype(np.int32), far.astype(np.int32), times.astype(np.int32), suffix.view(np.int64), whole.view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["d", "t", "start", "n", "far", "times", "suffix", "cell"])
 
     return rows
 
 
-_WINDOWS = "d long, t long, start int, suffix long, cell long, rest long"
-
-
-def _windows_of(width: int):
-    """The windows of a text's cells one by one, with the hash of all their bytes."""
+def parts(data: np.ndarray, start: np.ndarray, n: np.ndarray, far: np.ndarray, width: int, part: int) -> tuple[np.ndarray, ...]:
+    """Cells of one text cut into parts by the offset of the named position in the window: number of the cell, least and
+    largest offset, hash of what the windows of these ``part`` offsets have in common, hash of all bytes of the part's own
+    windows, and the bytes of these before and after the common ones (ends of the byte strings, and the bytes)."""
+    place = start + far
+    least = far - n + 1
+    many = far // part - least // part + 1
+    cell = np.repeat(np.arange(len(start)), many)
+    number = np.arange(len(cell)) - np.repeat(np.cumsum(many) - many, many) + (least // part)[cell]
+    low, high = np.maximum(least[cell], number * part), np.minimum(far[cell], number * part + part - 1)
+    at = place[cell]
+    core, core_end = at - number * part, at - number * part + width - part + 1
+    hull, hull_end = at - high, at + width - low
+    # Blocks of the text, so that the hashes of a very long one need bounded memory.
+    order = np.argsort(hull, kind="stable")
+    hashes = np.zeros((2, len(cell)), _U)
+    for some in np.split(order, np.flatnonzero(np.diff(hull[order] // _BLOCK)) + 1):
+        if len(some):
+            base = int(hull[some].min())
+            piece = data[base : int(hull_end[some].max())]
+            hashes[0, some], hashes[1, some] = np.split(span_hashes(piece, np.concatenate([core[some], hull[some]]) - base, np.concatenate([core_end[some], hull_end[some]]) - base), 2)
+    begins = np.stack([hull, core_end], axis=1).ravel()
+    sizes = np.stack([core - hull, hull_end - core_end], axis=1).ravel()
+    edges = data[np.arange(sizes.sum()) + np.repeat(begins - (np.cumsum(sizes) - sizes), sizes)]
+    return cell, low, high, hashes[0], hashes[1], np.cumsum(sizes)[1::2], edges
+
+
+_PARTS = "d long, t long, place int, low int, high int, suffix long, cell long, core long, hull long, edges binary"
+
+
+def _parts_of(width: int, part: int):
+    """The parts of the listed cells of every text."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(len(batch)):
                 found = pa.RecordBatch.from_struct_array(batch["cells"][k].values)
-                start, n = (found[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "n"))
-                text = batch["text"].slice(k, 1)
-                data = next(iter(text_slices(text))).data
-                order = np.argsort(start, kind="stable")
-                for lo in range(0, len(order), 4096):
-                    part = order[lo : lo + 4096]
-                    which = np.repeat(part, n[part])
-                    begin = np.arange(len(which)) - np.repeat(np.cumsum(n[part]) - n[part], n[part]) + start[which]
-                    # Hashes of the stretch of the text that these cells lie in, in blocks.
-                    for cut in np.split(np.arange(len(begin)), np.flatnonzero(np.diff(begin // _BLOCK)) + 1):
-                        if not len(cut):
-                            continue
-                        low = int(begin[cut[0]])
-                        piece = data[low : int(begin[cut[-1]]) + width]
-                        rest = span_hashes(piece, begin[cut] - low, begin[cut] - low + width)
-                        of = which[cut]
-                        yield pa.RecordBatch.from_arrays([
-                            pa.array(np.full(len(cut), batch["d"][k].as_py(), np.int64)), pa.array(np.full(len(cut), batch["t"][k].as_py(), np.int64)), pa.array(begin[cut].astype(np.int32)),
-                            found["suffix"].take(pa.array(of)), found["cell"].take(pa.array(of)), pa.array(rest.view(np.int64)),
-                        ], ["d", "t", "start", "suffix", "cell", "rest"])
+                data = next(text_slices(batch["text"].slice(k, 1))).data
+                for lo in range(0, len(found), 4096):
+                    some = found.slice(lo, 4096)
+                    start, n, far = (some[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "n", "far"))
+                    cell, low, high, core, hull, ends, edges = parts(data, start, n, far, width, part)
+                    offsets = np.concatenate([[0], ends]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([
+                        *(pa.array(np.full(len(cell), batch[c][k].as_py(), np.int64)) for c in ("d", "t")), pa.array((start + far)[cell].astype(np.int32)), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)),
+                        some["suffix"].take(pa.array(cell)), some["cell"].take(pa.array(cell)), pa.array(core.view(np.int64)), pa.array(hull.view(np.int64)),
+                        pa.Array.from_buffers(pa.binary(), len(cell), [None, pa.py_buffer(offsets), pa.py_buffer(edges)]),
+                    ], ["d", "t", "place", "low", "high", "suffix", "cell", "core", "hull", "edges"])
 
     return rows
 
@@ -147,7 +170,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 def repeated_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """Starts of the windows of ``width`` bytes that start in two places, as runs ``d, t, start, n`` of texts of ``_texts(docs)``."""
-    window = min(width // 2 + 1, width - _GRAM + 1)
+    window, part = min(width // 2 + 1, width - _GRAM + 1), min(PART, width // 8)
     texts = _texts(docs).where(F.octet_length("text") >= width)
     sampled = stage(texts.select("d", "t", "text").mapInArrow(_cells_of(width, window), _CELLS), "suffix-cells")
     groups = sampled.groupBy("suffix").agg(F.sum("times").alias("members"), F.min("cell").alias("least"), F.max("cell").alias("most"))
@@ -156,15 +179,32 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     every = F.col("n") * F.col("times")
     alike = held.where("NOT mixed").select("d", "t", "start", every.alias("n"))
     mixed = held.where("mixed")
-    # One place stands for all equal cells; it is whole or not with them.
-    place = F.struct("d", "t", "start", "n")
+    # One place stands for all equal cells, as all of them are repeated.
+    place = F.struct("d", "t", "start", "n", "far")
     different = stage(mixed.groupBy("suffix", "cell").agg(F.sum("times").alias("members"), F.min(place).alias("place")), "suffix-different")
-    whole = mixed.join(different.where("members > 1").select("suffix", "cell"), ["suffix", "cell"], "left_semi").select("d", "t", "start", every.alias("n"))
-    wanted = different.select("suffix", "cell", "place.*").groupBy("d", "t").agg(F.collect_list(F.struct("start", "n", "suffix", "cell")).alias("cells"))
-    single = stage(texts.select("d", "t", "text").join(wanted, ["d", "t"]).mapInArrow(_windows_of(width), _WINDOWS), "suffix-windows")
-    repeated = single.groupBy("suffix", "rest").agg(F.min("cell").alias("least"), F.max("cell").alias("most")).where("least <> most").select("suffix", "rest")
-    parts = single.join(repeated, ["suffix", "rest"], "left_semi").join(different.where("members = 1").select("suffix", "cell"), ["suffix", "cell"], "left_semi")
-    return stage(alike.unionAll(whole).unionAll(parts.select("d", "t", "start", F.lit(1).alias("n"))), "suffix-runs")
+    copied = different.where("members > 1").select("suffix", "cell")
+    whole = mixed.join(copied, ["suffix", "cell"], "left_semi").select("d", "t", "start", every.alias("n"))
+    wanted = different.select("suffix", "cell", "place.*").groupBy("d", "t").agg(F.collect_list(F.struct("start", "n", "far", "suffix", "cell")).alias("cells"))
+    cut = stage(texts.select("d", "t", "text").join(wanted, ["d", "t"]).mapInArrow(_parts_of(width, part), _PARTS), "suffix-parts")
+    core, same = ["suffix", "core", "number"], ["suffix", "core", "number", "low", "high", "hull"]
+    cut = cut.withColumn("number", F.floor(F.col("low") / part).cast("int"))
+    shape = F.xxhash64("low", "high", "hull")
+    groups = cut.groupBy(*core).agg(F.count("*").alias("members"), F.min(shape).alias("least"), F.max(shape).alias("most"))
+    held = stage(cut.join(groups.where("members > 1").select(*core, (F.col("least") != F.col("most")).alias("mixed")), core), "suffix-held-parts")
+    run = [F.col("d"), F.col("t"), (F.col("place") - F.col("high")).alias("start"), (F.col("high") - F.col("low") + 1).alias("n")]
+    alike_parts = held.where("NOT mixed").select(*run)
+    mixed = held.where("mixed")
+    differing = stage(mixed.groupBy(*same).agg(F.count("*").alias("members"), F.min(F.struct("d", "t", "place", "edges")).alias("one")), "suffix-different-parts")
+    whole_parts = mixed.join(differing.where("members > 1").select(*same), same, "left_semi").select(*run)
+    # The bytes of a window that are not in the common ones: so many before them, the rest of part - 1 after them.
+    o, before = F.col("offset"), F.col("offset") - F.col("number") * part
+    left = F.substring("edges", F.col("high") - o + 1, before)
+    right = F.substring("edges", F.col("high") - F.col("number") * part + 1, F.lit(part - 1) - before)
+    single = differing.select(*same, "members", "one.*", F.explode(F.sequence("low", "high")).alias("offset")).select("suffix", "core", "offset", F.concat(left, right).alias("rest"), "members", "d", "t", "place")
+    window = ["suffix", "core", "offset", "rest"]
+    repeated = single.groupBy(*window).agg(F.count("*").alias("holders")).where("holders > 1").select(*window)
+    one_by_one = single.where("members = 1").join(repeated, window, "left_semi").select("d", "t", (F.col("place") - F.col("offset")).alias("start"), F.lit(1).alias("n"))
+    return stage(alike.unionAll(whole).unionAll(alike_parts).unionAll(whole_parts).unionAll(one_by_one), "suffix-runs")
 
 
 def covered(start: np.ndarray, n: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

@@ -69,7 +69,7 @@ def test_very_long_text_and_pieces(spark, texts, monkeypatch):
         import pyarrow as pa
 
         for b, row, first, stop, origin in suffix_dedup._pieces(pa.array([t for _, t in d]), 400):
-            for start, n, suffix, cell, times in zip(*suffix_dedup.cells(b, first, stop, 400, 201)):
+            for start, n, far, suffix, cell, times in zip(*suffix_dedup.cells(b, first, stop, 400, 201)):
                 yield start - origin[0] if len(origin) == 1 else start, n, times
 
     covered = sorted(x for start, n, times in pieced([rows[0]]) for x in range(start, start + n * times))
