@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from hostwarden.catalog.base import add, ev, r6, us, with_ev
@@ -39,20 +41,70 @@ gap AS (SELECT e.seq, (max(n.us) - min(n.us)) / 1000000.0 / (count(*) - 1) AS av
 rate AS (SELECT seq, count(*) FILTER (source = 'process') OVER w / 5.0 AS procs, count(*) FILTER (source = 'filesystem') OVER w / 5.0 AS files FROM ev WINDOW w AS (ORDER BY us RANGE BETWEEN {W - 1} PRECEDING AND CURRENT ROW)),
 feat AS (SELECT e.seq, e.us, coalesce(conns, 0) / 5.0 AS conn_per_min, coalesce(ips, 0)::DOUBLE AS unique_ips, coalesce(ports, 0)::DOUBLE AS unique_ports_f, coalesce(avg_interval, 0) AS avg_interval,
            procs AS proc_per_min, files AS file_mods_per_min FROM ev e LEFT JOIN act USING (seq) LEFT JOIN gap USING (seq) JOIN rate USING (seq))"""
+GATED_FEAT = re.sub(r"\b(nt0|nt|cur|act|gap|rate|feat)\b", r"g_\1", re.sub(r"\bev\b", "ge", FEAT))  # the same over events that pass the gate
 for _id, _col in zip(("a1", "a2", "a3", "a4", "a5", "a6"), A.FEATURES):
     add(f"{_id}_{_col}", lambda spark, sf, c=_col: features(spark, sf).select("seq", r6(F.col(c) + 1e-9, c)), with_ev(f"SELECT seq, round({_col} + 1e-9, 6) AS {_col} FROM feat", FEAT))
 _ALL = ", ".join(f"round({c} + 1e-9, 6) AS {c}" for c in A.FEATURES)  # the offset moves exact halves off the rounding edge
 add("a7_features", lambda spark, sf: features(spark, sf).select("seq", *[r6(F.col(c) + 1e-9, c) for c in A.FEATURES]), with_ev(f"SELECT seq, {_ALL} FROM feat", FEAT))
+
+
+def forest_sql(table: str, prefix: str = "") -> str:
+    """The forest over the features of ``table``, level by level, as tables ``smp``, ``nodes`` and ``paths`` (mean path of every row)."""
+    p = prefix
+    levels = [f"{p}m0 AS (SELECT tree_id, 0::BIGINT AS node_id, f FROM {p}smp)"]
+    for d in range(9):
+        levels.append(
+            f"{p}s{d} AS (SELECT *, low + share * (high - low) AS split, size > 1 AND low < high AND {d} < 8 AS cut FROM (SELECT tree_id, node_id, count(*) AS size, any_value(attr) AS attr, any_value(share) AS share, min(f[attr + 1]) AS low, max(f[attr + 1]) AS high "
+            f"FROM {p}m{d} JOIN {p}dice USING (tree_id, node_id) GROUP BY tree_id, node_id))"
+        )
+        levels.append(f"{p}m{d + 1} AS (SELECT tree_id, 2 * node_id + CASE WHEN f[attr + 1] < split THEN 1 ELSE 2 END AS node_id, f FROM {p}m{d} JOIN {p}s{d} USING (tree_id, node_id) WHERE cut)")
+    nodes = " UNION ALL ".join(
+        f"SELECT tree_id, node_id, CASE WHEN cut THEN attr ELSE -1 END AS attr, CASE WHEN cut THEN split ELSE 0 END AS split, CASE WHEN cut THEN 2 * node_id + 1 ELSE -1 END AS l, CASE WHEN cut THEN 2 * node_id + 2 ELSE -1 END AS r, size, {d} AS depth FROM {p}s{d}"
+        for d in range(9)
+    )
+    return f"""
+{p}vec AS (SELECT seq, us, [{", ".join(A.FEATURES)}] AS f FROM {table}),
+{p}drw AS (SELECT seq, f, CAST('0x' || substr(h, 1, 15) AS HUGEINT) AS a, CAST('0x' || substr(h, 17, 15) AS HUGEINT) AS b FROM (SELECT *, md5('{CFG.seed}:h0:' || seq) AS h FROM {p}vec)),
+{p}smp AS (SELECT t AS tree_id, seq, f FROM {p}drw, range({CFG.num_trees}) g(t) QUALIFY row_number() OVER (PARTITION BY t ORDER BY (a + t * b) % {1 << 60}, seq) <= {CFG.sample_size}),
+{p}dice AS (SELECT tree_id, node_id, CAST('0x' || substr(h, 1, 8) AS BIGINT) % 6 AS attr, CAST('0x' || substr(h, 9, 12) AS BIGINT) / {float(1 << 48)}::DOUBLE AS share
+  FROM (SELECT t AS tree_id, i AS node_id, md5('{CFG.seed}:' || t || ':' || i) AS h FROM range({CFG.num_trees}) g(t), range(511) k(i))),
+{", ".join(levels)},
+{p}nodes AS ({nodes}),
+{p}walk AS (SELECT seq, f, tree_id, 0::BIGINT AS node_id, false AS done FROM {p}vec, (SELECT DISTINCT tree_id FROM {p}nodes)
+  UNION ALL SELECT seq, f, w.tree_id, CASE WHEN attr < 0 THEN w.node_id WHEN f[attr + 1] < split THEN l ELSE r END, attr < 0 FROM {p}walk w JOIN {p}nodes n ON n.tree_id = w.tree_id AND n.node_id = w.node_id WHERE NOT done),
+{p}paths AS (SELECT seq, avg(depth + CASE WHEN size <= 1 THEN 0 WHEN size = 2 THEN 1 ELSE 2 * (ln(size - 1) + 0.5772156649) - 2 * (size - 1) / size::DOUBLE END) AS path
+  FROM {p}walk JOIN {p}nodes USING (tree_id, node_id) WHERE done GROUP BY seq),
+{p}anomaly AS (SELECT seq, path, pow(2.0, -path / {IF.path_constant(CFG.sample_size)!r}) AS anomaly_score FROM {p}paths)"""
+
+
+def forest(select: str, table: str = "feat", *ctes: str) -> str:
+    return with_ev(select, FEAT, *ctes, forest_sql(table)).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def nodes(model):
+    return model.select("tree_id", "node_id", "attr", r6(F.col("split") + 1e-9, "split"), "left", "right", "size", "depth")
+
+
+NODES_SQL = 'SELECT tree_id, node_id, attr, round(split + 1e-9, 6) AS split, l AS "left", r AS "right", size, depth FROM nodes'
+LAST = "lastf AS (SELECT * FROM feat ORDER BY us DESC, seq DESC LIMIT 1000)"
 add(
     "a8_subsample_sizes", lambda spark, sf: IF.subsamples(feature_table(spark, sf), CFG).groupBy("tree_id").agg(F.count(F.lit(1)).alias("n")),
     "SELECT t AS tree_id, least(256, (SELECT count(*) FROM events)) AS n FROM range(100) r(t)",
 )
+add("a8_subsample_rows", lambda spark, sf: IF.samples(feature_table(spark, sf), CFG).select("tree_id", "seq"), forest("SELECT tree_id, seq FROM smp"))
 add(
     "a9_tree_leaf_rows", lambda spark, sf: IF.fit(feature_table(spark, sf), CFG).where("attr = -1").groupBy("tree_id").agg(F.sum("size").alias("n")),
     "SELECT t AS tree_id, least(256, (SELECT count(*) FROM events)) AS n FROM range(100) r(t)",
 )
-add("a9_forest", lambda spark, sf: IF.fit(feature_table(spark, sf), CFG))
-add("a11_forest_score", lambda spark, sf: IF.score(feature_table(spark, sf), IF.fit(feature_table(spark, sf), CFG), CFG).select("seq", r6("anomaly_score", "anomaly_score")))
+add("a9_forest", lambda spark, sf: nodes(IF.fit(feature_table(spark, sf), CFG)), forest(NODES_SQL))
+add(
+    "a10_path_length", lambda spark, sf: IF.path_length(feature_table(spark, sf), IF.fit(feature_table(spark, sf), CFG), CFG).select("seq", r6("path_length", "path_length")),
+    forest("SELECT seq, round(path, 6) AS path_length FROM paths"),
+)
+add(
+    "a11_forest_score", lambda spark, sf: IF.score(feature_table(spark, sf), IF.fit(feature_table(spark, sf), CFG), CFG).select("seq", r6("anomaly_score", "anomaly_score")),
+    forest("SELECT seq, round(anomaly_score, 6) AS anomaly_score FROM anomaly"),
+)
 add(
     "a12_untrained_score", lambda spark, sf: IF.score(feature_table(spark, sf), IF.fit(feature_table(spark, sf), CFG, min_rows=10**12), CFG).select("seq", "anomaly_score"),
     "SELECT event_id AS seq, 0.0::DOUBLE AS anomaly_score FROM events",
@@ -67,6 +119,7 @@ add(
     lambda spark, sf: IF.fit(IF.retraining_rows(feature_table(spark, sf), 1000), CFG).where("attr = -1").groupBy("tree_id").agg(F.sum("size").alias("n")),
     "SELECT t AS tree_id, least(256, (SELECT count(*) FROM events)) AS n FROM range(100) r(t)",
 )
+add("a15_retrained_forest", lambda spark, sf: nodes(IF.fit(IF.retraining_rows(feature_table(spark, sf), 1000), CFG)), forest(NODES_SQL, "lastf", LAST))
 # A score that drifts with time, so that the drift tests have something to find.
 _T0 = 1704067200000000
 

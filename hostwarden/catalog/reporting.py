@@ -9,6 +9,7 @@ from hostwarden.catalog.correlating import CORR, scored
 from hostwarden.catalog.detection import RULES, SIGMA_BONUS_SQL, SIGMA_LIST_SQL
 from hostwarden.catalog.enrichment import INTEL_BONUS_SQL, INTEL_JOIN, TABLES
 from hostwarden.catalog.flagship import scored_events, scored_table
+from hostwarden.catalog.learning import GATED_FEAT, forest_sql
 from hostwarden.catalog.monitoring import PS, ps
 from hostwarden.catalog.state import LOOP, SNAP, snapshot
 from hostwarden.functions import expr as X
@@ -45,7 +46,17 @@ add(
         "CAST(sigma_bonus AS DOUBLE) AS sigma_bonus, round(score, 6) AS score FROM r0"
     ),
 )
-add("r0_with_anomaly", lambda spark, sf: scored_events(spark, sf).select(*_cols(), r6("anomaly_score", "anomaly_score"), r6("score", "score")))
+_BONUS_SQL = "CASE WHEN anomaly_score > 0.95 THEN 50.0 WHEN anomaly_score > 0.85 THEN 30.0 WHEN anomaly_score > 0.7 THEN 15.0 ELSE 0.0 END"
+R0_ANOMALY = f"""
+r0n AS (SELECT *, {SEVERITY_SQL.format(s='score')} AS severity, {SEVERITY_LABEL_SQL.format(s='score')} AS severity_label
+        FROM (SELECT r0a.*, anomaly_score, heuristic_score * multiplier + pattern_bonus + {_BONUS_SQL} + intel_bonus + sigma_bonus AS score FROM r0a JOIN g_anomaly USING (seq)))"""
+add(
+    "r0_with_anomaly", lambda spark, sf: scored_events(spark, sf).select(*_cols(), r6("anomaly_score", "anomaly_score"), r6("score", "score")),
+    with_scored_recursive(
+        "SELECT seq, CAST(multiplier AS DOUBLE) AS multiplier, related_count, patterns, sigma_rules, severity, severity_label, round(anomaly_score, 6) AS anomaly_score, round(score, 6) AS score FROM r0n",
+        CORR, TABLES, R0, GATED_FEAT, forest_sql("g_feat", "g_"), R0_ANOMALY,
+    ),
+)
 
 
 @query("r0_ungated", with_scored("SELECT seq, CAST(CASE WHEN source = 'process' AND name = 'whoami' THEN 1 ELSE 0 END AS INTEGER) AS enumeration, heuristic_score FROM hs WHERE source = 'process'"))

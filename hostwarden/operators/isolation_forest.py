@@ -1,71 +1,149 @@
-"""Isolation forest: each tree is built by one task from at most ``sample_size`` rows; scoring is vectorised."""
+"""Isolation forest: mergeable samples, trees of at most ``sample_size`` rows each, vectorised scoring.
+
+All chance comes from MD5 over text, which any engine can repeat: a row's digest gives two numbers ``a`` and ``b``, and tree
+``t`` draws ``(a + t b) mod 2^60`` for the row; a node's digest gives its attribute and the place of its split.
+"""
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
 from hostwarden.config import AnomalyConfig
 from hostwarden.schema import FEATURES, MODEL_NODE_DDL
 
 _LEAF = -1
+_DRAW_BITS = 60
+
+
+def _digest_number(digest: Column, first: int) -> Column:
+    """15 hexadecimal digits, from the given one on, as a number of 60 bits."""
+    return F.conv(F.substring(digest, first, 15), 16, 10).cast("bigint")
+
+
+def _least_of_each_tree(table: pa.Table, size: int, row_id: tuple[str, ...]) -> pa.Table:
+    """The ``size`` rows of least draw of every tree, by row id on ties."""
+    table = table.sort_by([(c, "ascending") for c in ("tree_id", "draw", *row_id)])
+    tree = table["tree_id"].to_numpy()
+    return table.filter(pa.array(np.arange(len(tree)) - np.searchsorted(tree, tree, "left") < size))
+
+
+def _bottom(size: int, row_id: tuple[str, ...], most: int):
+    """Merges samples: the least draws of samples are the least draws of all their rows."""
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            more = pa.Table.from_batches([batch])
+            held = more if held is None else pa.concat_tables([held, more])
+            if len(held) > 2 * most:
+                held = _least_of_each_tree(held, size, row_id)
+        if held is not None:
+            yield from _least_of_each_tree(held, size, row_id).combine_chunks().to_batches(10_000)
+
+    return merged
+
+
+def _draws(trees: int, size: int, row_id: tuple[str, ...]):
+    """A task's own sample: draws of a batch for all trees, below the largest draw that each tree's sample holds so far."""
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = np.arange(trees, dtype=np.uint64)
+        limit = np.full(trees, 1 << _DRAW_BITS, np.int64)
+        part = TaskContext.get().partitionId() % 64
+        held: list[pa.RecordBatch] = []
+
+        def reduced() -> None:
+            table = _least_of_each_tree(pa.Table.from_batches(held), size, row_id).combine_chunks()
+            tree, draw = table["tree_id"].to_numpy(), table["draw"].to_numpy()
+            full = np.flatnonzero(np.bincount(tree, minlength=trees) >= size)
+            limit[full] = draw[np.searchsorted(tree, full, "right") - 1]
+            held[:] = table.to_batches()
+
+        for batch in batches:
+            for lo in range(0, len(batch), 4096):
+                rows = batch.slice(lo, 4096)
+                a, b = (rows[c].to_numpy(zero_copy_only=False).astype(np.uint64) for c in ("_a", "_b"))
+                draw = ((a[:, None] + b[:, None] * numbers) & np.uint64((1 << _DRAW_BITS) - 1)).astype(np.int64)
+                bound = np.minimum(limit, np.partition(draw, size - 1, axis=0)[size - 1]) if len(rows) > size else limit
+                at, tree = np.nonzero(draw <= bound)
+                if not len(at):
+                    continue
+                kept = rows.take(pa.array(at))
+                columns = {"tree_id": pa.array(tree, pa.int32()), "part": pa.array(np.full(len(at), part), pa.int32()), "draw": pa.array(draw[at, tree])}
+                for name in rows.schema.names[2:]:
+                    columns[name] = kept[name]
+                held.append(pa.RecordBatch.from_pydict(columns))
+                if sum(map(len, held)) > 4 * trees * size:
+                    reduced()
+        if held:
+            reduced()
+            yield from held
+
+    return drawn
+
+
+def samples(
+    rows: DataFrame, cfg: AnomalyConfig = AnomalyConfig(), features: tuple[str, ...] = FEATURES, row_id: tuple[str, ...] = ("host_id", "seq"),
+) -> DataFrame:
+    """``tree_id, draw``, row id and features: for each tree the ``sample_size`` rows of least draw, all rows if there are fewer.
 
-
-def uniform(*parts: Column | str | int) -> Column:
-    """A reproducible number in [0, 1) from a hash of the parts."""
-    cols = [F.lit(p) if isinstance(p, int) else p for p in parts]
-    return F.pmod(F.xxhash64(*cols), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    Exact at any size: every task keeps the least draws of its own rows, which are merged in two steps, so no more than
+    ``64 * sample_size`` rows of a tree meet in a task. Row ids must be unique.
+    """
+    size, trees = cfg.sample_size, cfg.num_trees
+    digest = F.md5(F.concat_ws(":", F.lit(str(cfg.seed)), *[F.col(c).cast("string") for c in row_id]).cast("binary"))
+    keyed = rows.select(digest.alias("_h"), *row_id, *[F.col(c).cast("double").alias(c) for c in features])
+    keyed = keyed.select(_digest_number(F.col("_h"), 1).alias("_a"), _digest_number(F.col("_h"), 17).alias("_b"), *row_id, *features)
+    ddl = ", ".join(["tree_id int", "part int", "draw bigint", *[f"{f.name} {f.dataType.simpleString()}" for f in keyed.schema.fields[2:]]])
+    partial = keyed.mapInArrow(_draws(trees, size, row_id), ddl)
+    merge = _bottom(size, row_id, trees * size)
+    return partial.repartition("tree_id", "part").mapInArrow(merge, ddl).repartition("tree_id").mapInArrow(merge, ddl).drop("part")
 
 
 def subsamples(
-    rows: DataFrame, cfg: AnomalyConfig = AnomalyConfig(), features: tuple[str, ...] = FEATURES,
-    row_id: tuple[str, ...] = ("host_id", "seq"), n_rows: int | None = None,
+    rows: DataFrame, cfg: AnomalyConfig = AnomalyConfig(), features: tuple[str, ...] = FEATURES, row_id: tuple[str, ...] = ("host_id", "seq"),
 ) -> DataFrame:
-    """``tree_id`` and features: for each tree ``sample_size`` rows without replacement.
+    """``tree_id`` and features: for each tree ``sample_size`` rows without replacement."""
+    return samples(rows, cfg, features, row_id).select("tree_id", *features)
 
-    A hash thins the rows to a pool, then to about twice the sample per tree, before the exact top-k.
-    """
-    n = rows.count() if n_rows is None else n_rows
-    size = min(cfg.sample_size, n)
-    pool_size = max(cfg.num_trees * size, 4 * size, 1)
-    pool = rows if n <= pool_size * 2 else rows.where(uniform(cfg.seed, *row_id) < 2.0 * pool_size / n)
-    share = 1.0 if n <= 4 * size else 2.0 * size / min(n, 2 * pool_size)
-    draw = uniform(cfg.seed + 1, "tree_id", *row_id)
-    drawn = pool.select(
-        *row_id, *features, F.explode(F.sequence(F.lit(0), F.lit(cfg.num_trees - 1))).alias("tree_id")
-    ).withColumn("_draw", draw).where(F.col("_draw") < share)
-    rank = F.row_number().over(Window.partitionBy("tree_id").orderBy("_draw", *row_id))
-    return drawn.withColumn("_rank", rank).where(F.col("_rank") <= size).select("tree_id", *features)
+
+def node_draw(seed: int, tree_id: int, node_id: int, n_features: int) -> tuple[int, float]:
+    """Attribute of a node, and where between the least and the largest value it splits, in [0, 1)."""
+    digest = hashlib.md5(f"{seed}:{tree_id}:{node_id}".encode()).hexdigest()
+    return int(digest[:8], 16) % n_features, int(digest[8:20], 16) / float(1 << 48)
 
 
 def build_tree(tree_id: int, data: np.ndarray, max_depth: int, seed: int) -> pd.DataFrame:
-    """Random splits until a node has one row, is at full depth, or is constant in the drawn attribute."""
-    rng = np.random.default_rng([seed, tree_id])
-    nodes: list[list] = []
-    pending = [(np.arange(len(data)), 0, None)]
+    """Random splits until a node has one row, is at full depth, or is constant in the drawn attribute.
+
+    The children of node ``i`` are ``2 i + 1`` (below the split) and ``2 i + 2``.
+    """
+    nodes: list[tuple] = []
+    pending = [(np.arange(len(data)), 0, 0)]
     while pending:
-        members, depth, slot = pending.pop()
-        node_id = len(nodes)
-        if slot is not None:
-            nodes[slot[0]][slot[1]] = node_id
-        node = [tree_id, node_id, _LEAF, 0.0, _LEAF, _LEAF, len(members), depth]
-        nodes.append(node)
-        if len(members) <= 1 or depth >= max_depth:
-            continue
-        attr = int(rng.integers(data.shape[1]))
-        values = data[members, attr]
-        low, high = values.min(), values.max()
-        if low == high:
-            continue
-        cut = low + rng.random() * (high - low)
-        node[2], node[3] = attr, float(cut)
-        goes_left = values < cut
-        pending.append((members[~goes_left], depth + 1, (node_id, 5)))
-        pending.append((members[goes_left], depth + 1, (node_id, 4)))
+        members, depth, node_id = pending.pop()
+        if len(members) > 1 and depth < max_depth:
+            attr, share = node_draw(seed, tree_id, node_id, data.shape[1])
+            values = data[members, attr]
+            low, high = values.min(), values.max()
+            if low < high:
+                cut = low + share * (high - low)
+                left, right = 2 * node_id + 1, 2 * node_id + 2
+                nodes.append((tree_id, node_id, attr, float(cut), left, right, len(members), depth))
+                goes_left = values < cut
+                pending.append((members[~goes_left], depth + 1, right))
+                pending.append((members[goes_left], depth + 1, left))
+                continue
+        nodes.append((tree_id, node_id, _LEAF, 0.0, _LEAF, _LEAF, len(members), depth))
     return pd.DataFrame(nodes, columns=["tree_id", "node_id", "attr", "split", "left", "right", "size", "depth"])
 
 
@@ -74,8 +152,8 @@ def fit(
     row_id: tuple[str, ...] = ("host_id", "seq"), min_rows: int | None = None,
 ) -> DataFrame | None:
     """The model as a node table; None when there are too few rows to train on."""
-    n = rows.count()
-    if n < max(cfg.min_training_rows if min_rows is None else min_rows, 1):
+    needed = max(cfg.min_training_rows if min_rows is None else min_rows, 1)
+    if (rows.limit(needed).count() if needed < 1 << 31 else rows.count()) < needed:
         return None
     max_depth = math.ceil(math.log2(cfg.sample_size))
     seed, columns = cfg.seed, list(features)
@@ -83,8 +161,7 @@ def fit(
     def grow(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         return build_tree(int(key[0]), group[columns].to_numpy(dtype=float), max_depth, seed)
 
-    samples = subsamples(rows, cfg, features, row_id, n)
-    return samples.groupBy("tree_id").applyInPandas(grow, MODEL_NODE_DDL)
+    return subsamples(rows, cfg, features, row_id).groupBy("tree_id").applyInPandas(grow, MODEL_NODE_DDL)
 
 
 def path_constant(n: float) -> float:
@@ -97,59 +174,75 @@ def path_constant(n: float) -> float:
 
 
 def _pack(model: pd.DataFrame) -> dict[str, np.ndarray]:
-    """Trees in flat arrays with global child indices; a leaf points at itself and knows its path length."""
+    """Trees in flat arrays with global child positions; a leaf points at itself and knows its path length.
+
+    Node ids may be numbered in any way; the root of a tree is its least.
+    """
     model = model.sort_values(["tree_id", "node_id"]).reset_index(drop=True)
-    roots = model.index[model["node_id"] == 0].to_numpy()
-    offset = np.repeat(roots, np.diff(np.append(roots, len(model))))
     leaf = model["attr"].to_numpy() == _LEAF
     here = np.arange(len(model))
+    stride = int(model[["node_id", "left", "right"]].to_numpy().max()) + 1
+    tree = model["tree_id"].to_numpy(np.int64)
+    name = tree * stride + model["node_id"].to_numpy(np.int64)
+
+    def position(child: str) -> np.ndarray:
+        return np.where(leaf, here, np.searchsorted(name, tree * stride + model[child].to_numpy(np.int64)))
+
     return {
-        "roots": roots,
+        "roots": np.flatnonzero(np.append(True, tree[1:] != tree[:-1])),
         "attr": np.where(leaf, 0, model["attr"].to_numpy()),
         "split": model["split"].to_numpy(dtype=float),
-        "left": np.where(leaf, here, model["left"].to_numpy() + offset),
-        "right": np.where(leaf, here, model["right"].to_numpy() + offset),
+        "left": position("left"),
+        "right": position("right"),
         "length": np.where(leaf, model["depth"].to_numpy() + np.array([path_constant(s) for s in model["size"]]), 0.0),
         "depth": np.array([int(model["depth"].max())]),
     }
 
 
-def score_rows(points: np.ndarray, packed: dict[str, np.ndarray], sample_size: int) -> np.ndarray:
+def path_rows(points: np.ndarray, packed: dict[str, np.ndarray]) -> np.ndarray:
+    """Mean path length of every point over the trees."""
     at = np.broadcast_to(packed["roots"], (len(points), len(packed["roots"]))).copy()
     row = np.arange(len(points))[:, None]
     for _ in range(int(packed["depth"][0])):
         go_left = points[row, packed["attr"][at]] < packed["split"][at]
         at = np.where(go_left, packed["left"][at], packed["right"][at])
-    return np.power(2.0, -packed["length"][at].mean(axis=1) / path_constant(sample_size))
+    return packed["length"][at].mean(axis=1)
 
 
-def score(
-    rows: DataFrame, model: DataFrame | None, cfg: AnomalyConfig = AnomalyConfig(),
-    features: tuple[str, ...] = FEATURES, out: str = "anomaly_score",
+def path_length(
+    rows: DataFrame, model: DataFrame, cfg: AnomalyConfig = AnomalyConfig(), features: tuple[str, ...] = FEATURES, out: str = "path_length",
 ) -> DataFrame:
-    """Add the anomaly score in [0, 1]; 0 without a model.
+    """Add the mean depth at which the trees isolate a row, leaves corrected by their size; null for an empty model.
 
-    The model has at most ``num_trees * 2 * sample_size`` small rows, whatever the data size, so it
-    is broadcast.
+    The model has at most ``num_trees * 2 * sample_size`` small rows, whatever the data size, so it is broadcast.
     """
-    if model is None or path_constant(cfg.sample_size) == 0:
-        return rows.withColumn(out, F.lit(0.0))
     limit = cfg.num_trees * 2 * cfg.sample_size
     nodes = model.limit(limit + 1).toPandas()
     if len(nodes) > limit:
         raise ValueError("model is larger than num_trees * 2 * sample_size nodes")
     if nodes.empty:
-        return rows.withColumn(out, F.lit(0.0))
+        return rows.withColumn(out, F.lit(None).cast("double"))
     shared = rows.sparkSession.sparkContext.broadcast(_pack(nodes))
-    size = cfg.sample_size
 
     @pandas_udf("double")
-    def forest_score(point: pd.DataFrame) -> pd.Series:
+    def mean_path(point: pd.DataFrame) -> pd.Series:
         values, packed = point.to_numpy(dtype=float), shared.value
-        blocks = [score_rows(values[i : i + 4096], packed, size) for i in range(0, len(values), 4096)]
+        blocks = [path_rows(values[i : i + 4096], packed) for i in range(0, len(values), 4096)]
         return pd.Series(np.concatenate(blocks) if blocks else np.empty(0))
 
-    return rows.withColumn(out, forest_score(F.struct(*features)))
+    return rows.withColumn(out, mean_path(F.struct(*features)))
+
+
+def score(
+    rows: DataFrame, model: DataFrame | None, cfg: AnomalyConfig = AnomalyConfig(),
+    features: tuple[str, ...] = FEATURES, out: str = "anomaly_score",
+) -> DataFrame:
+    """Add the anomaly score in [0, 1]; 0 without a model."""
+    usual = path_constant(cfg.sample_size)
+    if model is None or usual == 0:
+        return rows.withColumn(out, F.lit(0.0))
+    deep = path_length(rows, model, cfg, features, "_path")
+    return deep.withColumn(out, F.coalesce(F.pow(F.lit(2.0), -F.col("_path") / F.lit(usual)), F.lit(0.0))).drop("_path")
 
 
 def bonus(score_col: Column) -> Column:

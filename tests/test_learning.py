@@ -1,8 +1,10 @@
 """Features, forest, drift and intel."""
 
+import hashlib
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,12 +93,66 @@ def test_score_on_a_given_tree(spark):
     assert got == pytest.approx({1: 2 ** (-1 / c(4)), 2: 2 ** (-(1 + c(3)) / c(4))})
 
 
-def test_subsample_is_reproducible_and_without_replacement(spark):
-    rows = spark.range(20000).select(F.lit("h").alias("host_id"), F.col("id").alias("seq"), F.col("id").cast("double").alias("x"))
-    cfg = AnomalyConfig(num_trees=4, sample_size=64)
-    a = sorted(map(tuple, IF.subsamples(rows, cfg, ("x",)).collect()))
-    b = sorted(map(tuple, IF.subsamples(rows.repartition(5), cfg, ("x",)).collect()))
-    assert a == b and len(a) == 256 and len(set(a)) == 256
+def plain_samples(rows, cfg):
+    """Every draw of every tree, sorted."""
+    out = set()
+    for tree in range(cfg.num_trees):
+        drawn = []
+        for row in rows:
+            h = hashlib.md5(f"{cfg.seed}:{row[0]}:{row[1]}".encode()).hexdigest()
+            drawn.append(((int(h[:15], 16) + tree * int(h[16:31], 16)) % (1 << 60), row))
+        out |= {(tree, draw, *row) for draw, row in sorted(drawn)[: cfg.sample_size]}
+    return out
+
+
+@pytest.mark.parametrize("n, size", [(20_000, 64), (300, 256), (100, 256), (0, 8)])
+def test_samples_are_the_least_draws_whatever_the_layout(spark, n, size):
+    """Also where a task's batches are smaller or larger than a sample, and where one host owns nearly all rows."""
+    cfg = AnomalyConfig(num_trees=4, sample_size=size)
+    rows = [("h" if i % 100 else f"k{i % 7}", i, float(i)) for i in range(n)]
+    df = spark.createDataFrame(rows, "host_id string, seq bigint, x double")
+    want = plain_samples(rows, cfg)
+    for parts in (1, 3, 40):
+        assert set(map(tuple, IF.samples(df.repartition(parts), cfg, ("x",)).collect())) == want
+    assert len(want) == 4 * min(n, size)
+
+
+def test_samples_of_trees_differ(spark):
+    rows = spark.range(5000).select(F.lit("h").alias("host_id"), F.col("id").alias("seq"), F.col("id").cast("double").alias("x"))
+    per_tree = IF.samples(rows, AnomalyConfig(num_trees=50, sample_size=100), ("x",)).groupBy("tree_id").agg(F.collect_set("seq").alias("s")).collect()
+    sets = [set(r["s"]) for r in per_tree]
+    shared = [len(a & b) for i, a in enumerate(sets) for b in sets[:i]]
+    # 100 of 5000 rows: two independent samples share two rows on average.
+    assert 1.5 < sum(shared) / len(shared) < 2.5 and max(shared) < 15
+    assert len(set().union(*sets)) > 3000
+
+
+def test_tree_numbering_and_packing():
+    """Children are 2 i + 1 and 2 i + 2; a model numbered in another way scores the same."""
+    rng = np.random.default_rng(3)
+    data = rng.normal(size=(200, 3))
+    trees = [IF.build_tree(t, data, 8, 42) for t in range(5)]
+    for tree in trees:
+        inner = tree[tree["attr"] >= 0]
+        assert (inner["left"] == 2 * inner["node_id"] + 1).all() and (inner["right"] == inner["left"] + 1).all()
+        assert set(inner["left"]) | set(inner["right"]) == set(tree["node_id"]) - {0}
+        assert tree[tree["attr"] < 0]["size"].sum() == 200 and tree["depth"].max() <= 8
+    model = pd.concat(trees)
+    dense = []
+    for tree in trees:
+        order = {n: k for k, n in enumerate(sorted(tree["node_id"]))} | {-1: -1}
+        dense.append(tree.assign(**{c: tree[c].map(order) for c in ("node_id", "left", "right")}))
+
+    def walk(point, tree):
+        nodes = {n: row for n, row in zip(tree["node_id"], tree.itertuples())}
+        at = nodes[0]
+        while at.attr >= 0:
+            at = nodes[at.left if point[at.attr] < at.split else at.right]
+        return at.depth + IF.path_constant(at.size)
+
+    want = [np.mean([walk(p, tree) for tree in trees]) for p in data]
+    for packed in (IF._pack(model), IF._pack(pd.concat(dense).sample(frac=1, random_state=1))):
+        assert np.allclose(IF.path_rows(data, packed), want)
 
 
 def test_drift(spark):
