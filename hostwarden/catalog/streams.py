@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from hostwarden.catalog.base import add, ev, query, r6, us, with_ev, with_scored
 from hostwarden.catalog.correlating import BEACON_SQL, CORR, FEEDBACK
@@ -12,35 +12,42 @@ from hostwarden.catalog.detection import SIGMA_BONUS_SQL
 from hostwarden.catalog.enrichment import INTEL_BONUS_SQL, INTEL_JOIN, TABLES
 from hostwarden.catalog.flagship import intel_tables
 from hostwarden.catalog.monitoring import FS, NET, PS, RS, _SPAWN, cs, fs, ps, rs, sql
-from hostwarden.catalog.learning import feature_table
+from hostwarden.catalog.learning import FEAT, _ALL, feature_table
 from hostwarden.catalog.state import TICKS, loop
 from hostwarden.operators import heuristics as H, process_monitor as P, resource_monitor as R
+from hostwarden.schema import FEATURES
 from hostwarden.session import configure, shared_dir
 from hostwarden.sources import sample_tables as T
 from hostwarden.streaming import jobs, operators as S
 
 
+#: Micro-batches of every stream below.
+SLICES = 4
+
+
 def _folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def raw_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    configure(spark)
-    return (
-        spark.readStream.schema(T.raw_events(spark, sf_dir).schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    )
+def sliced_stream(table: DataFrame, us: Column, slices: int = SLICES) -> DataFrame:
+    """A table as a file stream of ``slices`` micro-batches, cut by time: files are read in the order of their writing."""
+    spark = table.sparkSession
+    folder, files = _folder(spark, "stream-in"), spark.sparkContext.defaultParallelism
+    low, high = table.agg(F.min(us), F.max(us)).first()
+    at = F.least(F.floor((us - low) * slices / max(high - low, 1)), F.lit(slices - 1)) if low is not None else F.lit(0)
+    for k in range(slices):
+        table.where(at == k).repartition(files).write.mode("append").parquet(folder)
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 def telemetry_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.shape_telemetry(raw_stream(spark, sf_dir))
+    configure(spark)
+    return T.shape_telemetry(sliced_stream(T.raw_events(spark, sf_dir), F.unix_micros(F.col("ts").cast("timestamp"))))
 
 
-def table_stream(table: DataFrame) -> DataFrame:
-    """A stored table as a file stream."""
-    spark = table.sparkSession
-    folder = _folder(spark, "stream-in")
-    table.write.parquet(folder)
-    return spark.readStream.schema(table.schema).parquet(folder)
+def table_stream(table: DataFrame, by: str = "scan_ts") -> DataFrame:
+    """A stored table as a stream."""
+    return sliced_stream(table, F.col(by) if by == "us" else F.unix_micros(by))
 
 
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
@@ -84,7 +91,7 @@ add(
 add(
     "t3_spawn_counts",
     lambda spark, sf: drained(S.sliding_count(
-        table_stream(P.appeared(ps(spark, sf), ["pid"]).where("ppid > 0").select("host_id", "ppid", us("scan_ts"), "seq")), ["host_id", "ppid"], 60
+        table_stream(P.appeared(ps(spark, sf), ["pid"]).where("ppid > 0").select("host_id", "ppid", us("scan_ts"), "seq"), "us"), ["host_id", "ppid"], 60
     )).select("ppid", "seq", F.col("n").alias("spawn_count")),
     sql("SELECT ppid, seq, spawn_count FROM sp", PS, _SPAWN),
 )
@@ -101,10 +108,17 @@ add(
 )
 
 
+add(
+    "t3_features",
+    lambda spark, sf: drained(S.features(telemetry_stream(spark, sf))).select("seq", *[r6(F.col(c) + 1e-9, c) for c in FEATURES]),
+    with_ev(f"SELECT seq, {_ALL} FROM feat", FEAT),
+)
+
+
 def _busy_stream(spark, sf):
     from hostwarden.catalog.correlating import busy
 
-    return table_stream(busy(spark, sf))
+    return table_stream(busy(spark, sf), "ts")
 
 
 @query("t6_beacons", BEACON_SQL)
@@ -133,7 +147,7 @@ add(
 )
 add(
     "t8_cooldown",
-    lambda spark, sf: drained(S.cooldown(table_stream(R.candidates(rs(spark, sf)).select("host_id", "pid", "kind", "life", us("scan_ts"), "seq")))).select("seq", "us", "pid", "kind"),
+    lambda spark, sf: drained(S.cooldown(table_stream(R.candidates(rs(spark, sf)).select("host_id", "pid", "kind", "life", us("scan_ts"), "seq"), "us"))).select("seq", "us", "pid", "kind"),
     sql("SELECT seq, scan_us AS us, pid, kind FROM rev", RS),
 )
 add(
@@ -148,7 +162,7 @@ def _drift(spark, sf):
     store = jobs.ModelStore(spark, _folder(spark, "models"))
     scores = _folder(spark, "scores")
     handler = jobs.drift_handler(store, scores)
-    jobs.start_batches(table_stream(feature_table(spark, sf)), handler, _folder(spark, "stream-state")).awaitTermination()
+    jobs.start_batches(table_stream(feature_table(spark, sf), "ts"), handler, _folder(spark, "stream-state")).awaitTermination()
     return spark.read.parquet(scores).groupBy("version").agg(F.count(F.lit(1)).alias("rows"), F.lit(len(store.versions())).alias("versions"))
 
 

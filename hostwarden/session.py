@@ -17,6 +17,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Wide rule projections: methods past 8000 bytes are never JIT-compiled, so split them instead of fusing.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Typed streaming state (values, maps, timers) needs this store.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
