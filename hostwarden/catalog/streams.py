@@ -6,19 +6,22 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from hostwarden.catalog.base import add, ev, query, r6, us, with_ev, with_scored
-from hostwarden.catalog.correlating import BEACON_SQL, CORR, FEEDBACK
-from hostwarden.catalog.detection import SIGMA_BONUS_SQL
+from hostwarden.catalog.base import ORACLE, add, ev, query, r6, us, with_ev, with_scored, with_scored_recursive
+from hostwarden.catalog.correlating import BEACON_SQL, CORR, FEEDBACK, scored
+from hostwarden.catalog.detection import RULES, SIGMA_BONUS_SQL
 from hostwarden.catalog.enrichment import INTEL_BONUS_SQL, INTEL_JOIN, TABLES
 from hostwarden.catalog.flagship import intel_tables
 from hostwarden.catalog.monitoring import FS, NET, PS, RS, _SPAWN, cs, fs, ps, rs, sql
 from hostwarden.catalog.learning import FEAT, _ALL, feature_table
-from hostwarden.catalog.state import TICKS, loop
-from hostwarden.operators import heuristics as H, process_monitor as P, resource_monitor as R
+from hostwarden.catalog.reporting import R0
+from hostwarden.catalog.state import AS_OF, LOOP, TICKS, _snap_cols as snapshot_columns, loop
+from hostwarden.operators import heuristics as H, process_monitor as P, resource_monitor as RM
+from hostwarden.plans import live as L, reports as R
 from hostwarden.schema import FEATURES
-from hostwarden.session import configure, shared_dir
+from hostwarden.session import configure, shared_dir, stage
 from hostwarden.sources import sample_tables as T
 from hostwarden.streaming import jobs, operators as S
+from hostwarden.streaming.stateful import used
 
 
 #: Micro-batches of every stream below.
@@ -80,6 +83,83 @@ def _enriched(spark, sf):
     return spark.read.parquet(out).select("seq", "intel_bonus")
 
 
+_PIPED: dict[tuple[str, str], DataFrame] = {}
+
+
+def piped_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the whole pipeline as one stream writes, run once per session; the intel cache is filled by a stream before it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _PIPED:
+        intel = intel_tables(ev(spark, sf_dir))
+        cache = jobs.IntelCache(spark, _folder(spark, "intel-cache"))
+        jobs.start_batches(telemetry_stream(spark, sf_dir), jobs.fill_intel_cache(cache, lambda: intel), _folder(spark, "stream-state")).awaitTermination()
+        scored = jobs.score_stream(telemetry_stream(spark, sf_dir), resolved=stage(cache.resolved(), "resolved"), malware=intel.malware)
+        _PIPED[key] = drained(scored)
+    return _PIPED[key]
+
+
+add(
+    "t1_full_pipeline",
+    lambda spark, sf: used(piped_stream(spark, sf)).where("cause <> 'decay'").select(
+        "seq", "multiplier", "related_count", F.concat_ws("|", "patterns").alias("patterns"), F.concat_ws("|", "sigma_rules").alias("sigma_rules"),
+        "severity", "severity_label", r6("intel_bonus", "intel_bonus"), r6("sigma_bonus", "sigma_bonus"), r6("event_score", "score"),
+    ),
+    ORACLE["r0_score_events"],
+)
+# The state machine over the full scores.
+FULL_LOOP = LOOP.replace("heuristic_score AS x", "score AS x").replace("FROM ge)", "FROM r0)")
+add(
+    "t1_full_transitions",
+    lambda spark, sf: used(piped_stream(spark, sf)).where("cause <> 'none'").select("entity_id", "seq", "us", "from_state", "to_state", "cause", r6("score", "score")),
+    with_scored_recursive(
+        "SELECT entity_id, seq, us, before_state AS from_state, state AS to_state, 'event' AS cause, round(score, 6) AS score FROM st WHERE state <> before_state "
+        "UNION ALL SELECT s.entity_id, s.seq, s.us, s.from_state, s.to_state, 'decay', round(s.score, 6) FROM steps s JOIN st USING (entity_id, seq) WHERE s.from_state <> s.to_state "
+        "AND (st.next_us IS NOT NULL OR s.us // 30000000 <= ((SELECT max(us) FROM ev) // 1000 * 1000 - 60000000) // 30000000)", CORR, TABLES, R0, FULL_LOOP, TICKS,
+    ),
+)
+
+
+@query("k8_intel_cache_job", with_ev(
+    "SELECT ip, CAST(a.ip IS NOT NULL AS INTEGER) AS has_abuse, coalesce(g.country_code, '') AS country, lookups FROM (SELECT remote_addr AS ip, 1::BIGINT AS lookups FROM ev WHERE remote_addr <> '' GROUP BY remote_addr) s "
+    "LEFT JOIN (SELECT ip FROM abuse) a USING (ip) LEFT JOIN (SELECT ip, country_code FROM gl) g USING (ip)", TABLES,
+))
+def _intel_cache(spark, sf):
+    """Every address is looked up once: later batches find it in the cache."""
+    intel = intel_tables(ev(spark, sf))
+    cache = jobs.IntelCache(spark, _folder(spark, "intel-cache"))
+    jobs.start_batches(telemetry_stream(spark, sf), jobs.fill_intel_cache(cache, lambda: intel), _folder(spark, "stream-state")).awaitTermination()
+    counts = spark.read.parquet(cache.path).groupBy("ip").agg(F.count(F.lit(1)).alias("lookups"))
+    answers = cache.table().select("ip", F.col("abuseipdb").isNotNull().cast("int").alias("has_abuse"), F.coalesce("geoip.country_code", F.lit("")).alias("country"))
+    return answers.join(counts, "ip")
+
+
+_STATES: dict[tuple[str, str], str] = {}
+
+
+def risk_checkpoint(spark: SparkSession, sf_dir: str) -> str:
+    """The checkpoint of a risk stream over the events up to ``AS_OF``, run once per session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STATES:
+        _STATES[key] = _folder(spark, "risk-state")
+        until = H.gate(H.score(telemetry_stream(spark, sf_dir).where(F.unix_micros("ts") <= AS_OF)))
+        jobs.start_parquet(S.track_risk(until, score_col="heuristic_score"), _folder(spark, "stream-out"), _STATES[key]).awaitTermination()
+    return _STATES[key]
+
+
+def live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.entities(spark, risk_checkpoint(spark, sf_dir), AS_OF)
+
+
+add("r2_live_entities", lambda spark, sf: snapshot_columns(live(spark, sf)), ORACLE["e9_snapshot"])
+add("r3_live_threat_level", lambda spark, sf: R.threat_level(live(spark, sf)), ORACLE["r3_threat_level"])
+add("r4_live_active_threats", lambda spark, sf: R.active_threats(live(spark, sf)), ORACLE["r4_active_threats"])
+add(
+    "r5_live_status",
+    lambda spark, sf: R.status(scored(spark, sf), live(spark, sf), ps(spark, sf), len(RULES), started="2024-01-01 00:00:00", now="2024-01-01 01:02:03").select(
+        "uptime_seconds", "process_count", "files_watched", "total_events", "active_threats", "threat_level", "sigma_rules", F.col("learning").cast("int").alias("learning")
+    ),
+    ORACLE["r5_status"],
+)
 add(
     "t2_new_processes", lambda spark, sf: drained(S.appeared(table_stream(ps(spark, sf)), ["pid"])).select("seq", "us"),
     sql("SELECT seq, scan_us AS us FROM pnew", PS),
@@ -147,7 +227,7 @@ add(
 )
 add(
     "t8_cooldown",
-    lambda spark, sf: drained(S.cooldown(table_stream(R.candidates(rs(spark, sf)).select("host_id", "pid", "kind", "life", us("scan_ts"), "seq"), "us"))).select("seq", "us", "pid", "kind"),
+    lambda spark, sf: drained(S.cooldown(table_stream(RM.candidates(rs(spark, sf)).select("host_id", "pid", "kind", "life", us("scan_ts"), "seq"), "us"))).select("seq", "us", "pid", "kind"),
     sql("SELECT seq, scan_us AS us, pid, kind FROM rev", RS),
 )
 add(
@@ -173,6 +253,36 @@ add(
         "SELECT kind, us // 300000000 * 300000000 AS us, count(*) AS n FROM ev GROUP BY kind, us // 300000000 HAVING (us // 300000000 + 1) * 300000000 <= (SELECT max(us) FROM ev) // 1000 * 1000 - 60000000"
     ),
 )
+#: Every 50th event of the second and third batch comes with the last one instead, ten minutes or more behind.
+def late_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = T.raw_events(spark, sf_dir)
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    low, high = raw.agg(F.min(at), F.max(at)).first()
+    share = (at - low) / max(high - low, 1)
+    delayed = F.when((F.col("event_id") % 50 == 0) & share.between(0.25, 0.6), F.lit(0.99)).otherwise(share)
+    slices = [delayed < 0.25, (delayed >= 0.25) & (delayed < 0.5), (delayed >= 0.5) & (delayed < 0.75), delayed >= 0.75]
+    folder, files = _folder(spark, "stream-in"), spark.sparkContext.defaultParallelism
+    for part in slices:
+        raw.where(part).repartition(files).write.mode("append").parquet(folder)
+    return T.shape_telemetry(spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", files).parquet(folder))
+
+
+@query("t11_late_rows", with_ev(
+    "SELECT seq, us, CAST(us < mark AS INTEGER) AS late FROM dealt LEFT JOIN marks USING (batch)",
+    "sh AS (SELECT seq, us, (raw_us - min(raw_us) OVER ()) / (max(raw_us) OVER () - min(raw_us) OVER ())::DOUBLE AS share FROM ev)",
+    "dealt AS (SELECT seq, us, least(floor(CASE WHEN seq % 50 = 0 AND share BETWEEN 0.25 AND 0.6 THEN 0.99 ELSE share END * 4), 3) AS batch FROM sh)",
+    # The watermark of a batch: a minute before the newest event of all batches before it, in whole milliseconds.
+    "tops AS (SELECT batch, max(us) AS top FROM dealt GROUP BY batch)",
+    "marks AS (SELECT b.batch, coalesce((SELECT max(t.top) FROM tops t WHERE t.batch < b.batch) // 1000 * 1000 - 60000000, 0) AS mark FROM tops b)",
+))
+def _late(spark, sf):
+    """Every event is either used or in the late table, by the watermark of its micro-batch."""
+    out, behind = _folder(spark, "used"), _folder(spark, "late")
+    rows = S.gated(late_stream(spark, sf), [])
+    jobs.start_batches(rows, jobs.write_with_late(out, behind), _folder(spark, "stream-state")).awaitTermination()
+    return spark.read.parquet(out).select("seq", "us", F.lit(0).alias("late")).unionByName(spark.read.parquet(behind).select("seq", "us", F.lit(1).alias("late")))
+
+
 add(
     "t12_feedback_totals", lambda spark, sf: drained(S.feedback_totals(T.feedback(telemetry_stream(spark, sf))), "complete"),
     with_ev(

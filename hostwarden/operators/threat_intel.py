@@ -132,9 +132,16 @@ def enrich(
     malware: DataFrame | None = None, custom: Mapping[str, DataFrame] | None = None,
 ) -> DataFrame:
     """Add ``threat_intel`` (one nullable struct per provider) and ``intel_bonus``."""
-    custom = custom or {}
-    addresses = events.where(F.coalesce("remote_addr", F.lit("")) != "").select(F.col("remote_addr").alias("ip")).distinct()
-    table = lookup_table(addresses, abuse, geo, otx, custom)
+    return attach(events, lookup_table(distinct_addresses(events), abuse, geo, otx, custom), malware, tuple(custom or ()))
+
+
+def distinct_addresses(events: DataFrame) -> DataFrame:
+    """The remote addresses of these events, as ``ip``."""
+    return events.where(F.coalesce("remote_addr", F.lit("")) != "").select(F.col("remote_addr").alias("ip")).distinct()
+
+
+def attach(events: DataFrame, table: DataFrame, malware: DataFrame | None = None, custom: tuple[str, ...] = ()) -> DataFrame:
+    """As ``enrich``, from answers already looked up: ``table`` is a ``lookup_table``. Works on a stream as well."""
     keyed = events.withColumn("_ip", _spread(F.col("remote_addr"), F.col("seq")))
     joined = keyed.join(table.withColumnRenamed("ip", "_ip"), "_ip", "left")
     fields, bonus = [], F.lit(0.0)
@@ -142,20 +149,21 @@ def enrich(
     def points(flag: Column, value: float) -> Column:
         return F.when(F.coalesce(flag, F.lit(False)), value).otherwise(0.0)
 
-    if abuse is not None:
+    if "abuseipdb" in table.columns:
         valid = F.when(F.col("ts") < F.col("abuse_expires"), F.col("abuseipdb"))
         fields.append(valid.alias("abuseipdb"))
         bonus = bonus + points(valid["abuse_score"] > 50, 20.0)
-    if geo is not None:
+    if "geoip" in table.columns:
         fields.append(F.col("geoip"))
         bonus = bonus + points(F.col("geoip.high_risk_country"), 15.0)
-    if otx is not None:
+    if "otx" in table.columns:
         fields.append(F.when(F.col("ts") < F.col("otx_expires"), F.col("otx")).alias("otx"))
-    for name, source in custom.items():
+    for name in custom:
         fields.append(F.col(name))
-        if "abuse_score" in source.columns:
+        inner = table.schema[name].dataType.names
+        if "abuse_score" in inner:
             bonus = bonus + points(F.col(f"{name}.abuse_score") > 50, 20.0)
-        if "high_risk_country" in source.columns:
+        if "high_risk_country" in inner:
             bonus = bonus + points(F.col(f"{name}.high_risk_country"), 15.0)
     if malware is not None:
         known = malware.dropDuplicates(["sha256"]).select(

@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from hostwarden.config import AnomalyConfig
-from hostwarden.operators import drift, heuristics, isolation_forest, sigma, threat_intel
+from hostwarden.config import AnomalyConfig, Config, ThreatIntelConfig
+from hostwarden.operators import correlation, drift, heuristics, isolation_forest, sigma, threat_intel
 from hostwarden.plans.scoring import Intel
 from hostwarden.schema import MODEL_NODE_DDL
+from hostwarden.session import stage
 from hostwarden.sources.sigma_rules import shipped_rules
+from hostwarden.streaming import operators as S
+from hostwarden.streaming.stateful import late, used
 
 
 def score_stateless(events: DataFrame, rules: list[dict] | None = None, gate: bool = True) -> DataFrame:
@@ -54,6 +58,91 @@ def enrich_and_write(load_intel: Callable[[], Intel], path: str, rules: list[dic
     return handle
 
 
+class IntelCache:
+    """Answers of all providers per address, one folder a micro-batch; the newest answer of an address counts."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def table(self, now: datetime | None = None) -> DataFrame | None:
+        """The newest answer per address, without those that had expired at ``now``; None before the first batch."""
+        try:
+            rows = self.spark.read.parquet(self.path)
+        except AnalysisException:
+            return None
+        newest = rows.groupBy("ip").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "ip"]), F.struct("cached", "batch_id")).alias("r")).select("ip", "r.*")
+        return newest if now is None else newest.where(F.col("cache_expires") > F.lit(now).cast("timestamp"))
+
+    def resolved(self) -> DataFrame:
+        """As a ``threat_intel.lookup_table``, for ``attach``."""
+        return self.table().drop("cached", "cache_expires", "batch_id")
+
+
+def fill_intel_cache(cache: IntelCache, load_intel: Callable[[], Intel], cfg: ThreatIntelConfig = ThreatIntelConfig()) -> Callable[[DataFrame, int], None]:
+    """A micro-batch handler: look up the batch's addresses that the cache does not hold, or only expired, and add the answers.
+
+    Time is event time: an address is looked up again when it is seen more than the time to live after its last lookup.
+    A repeated micro-batch does not see its own first attempt and overwrites it.
+    """
+    ttl = F.expr(f"interval {cfg.cache_ttl_minutes} minutes")
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        seen = batch.where(F.coalesce("remote_addr", F.lit("")) != "").groupBy(F.col("remote_addr").alias("ip")).agg(F.min("ts").alias("first"), F.max("ts").alias("cached"))
+        held = cache.table()
+        if held is not None:
+            valid = held.where(F.col("batch_id") < batch_id).select("ip", "cache_expires")
+            seen = seen.join(valid, "ip", "left").where(F.col("cache_expires").isNull() | (F.col("cached") >= F.col("cache_expires"))).drop("cache_expires")
+        seen = stage(seen.select("ip", "cached"), "addresses")
+        intel = load_intel()
+        answers = threat_intel.lookup_table(seen.select("ip"), intel.abuse, intel.geo, intel.otx, intel.custom)
+        write_batch(answers.join(seen, "ip").withColumn("cache_expires", F.col("cached") + ttl), cache.path, batch_id)
+
+    return handle
+
+
+#: What travels with an event through the stateful operators of ``score_stream``.
+_SCORED = ("entity_id", "source", "kind", "heuristic_score", "intel_bonus", "sigma_rules", "sigma_bonus")
+_FULL = ("kind", "severity", "severity_label", "event_score", "multiplier", "related_count", "patterns", "sigma_rules", "intel_bonus", "sigma_bonus")
+
+
+def score_stream(
+    events: DataFrame, cfg: Config = Config(), rules: list[dict] | None = None, resolved: DataFrame | None = None, malware: DataFrame | None = None,
+    custom: tuple[str, ...] = (), delay: str = "1 minute",
+) -> DataFrame:
+    """The pipeline as one streaming query: heuristics, gate, intel, rules, correlation, severity, risk state.
+
+    Two stateful operators in a row, correlation per (host, pid) and risk per (host, entity); the first passes its
+    watermark on. One row per event that passes the gate, with its scores and its entity's state before and after (``cause`` none
+    or event), one row per state change by decay (``cause`` decay), and late rows with ``late`` set and no ``cause``.
+    ``resolved`` holds looked-up answers per address (``IntelCache.resolved``).
+    """
+    stream = heuristics.gate(heuristics.score(events.withWatermark("ts", delay)))
+    if resolved is not None:
+        stream = threat_intel.attach(stream, resolved, malware, custom)
+    else:
+        stream = stream.withColumn("intel_bonus", F.lit(0.0))
+    stream = sigma.evaluate(stream, shipped_rules() if rules is None else rules)
+    found = S.correlate(stream, cfg.correlator, payload=_SCORED, delay=None, event_time=True, keep_late=True, keep_alone=True)
+    both = found.withColumn("multiplier", F.when(F.col("pid").isNotNull(), correlation.multiplier(F.col("source_count"), cfg.correlator)))
+    total = correlation.effective_score(F.col("heuristic_score")) + F.col("intel_bonus") + F.col("sigma_bonus")
+    scored = heuristics.with_severity(both.withColumn("score", total)).withColumn("event_score", F.col("score"))
+    return S.track_risk(scored, cfg.thresholds, payload=_FULL, delay=None)
+
+
+def write_with_late(path: str, late_path: str) -> Callable[[DataFrame, int], None]:
+    """A micro-batch handler for an operator's output with ``late``: used rows and late rows to a table each."""
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.persist()
+        try:
+            write_batch(used(rows), path, batch_id)
+            write_batch(late(rows), late_path, batch_id)
+        finally:
+            rows.unpersist()
+
+    return handle
+
+
 class ModelStore:
     """Versioned model tables under one folder: ``version=N``. The newest version is the current model."""
 

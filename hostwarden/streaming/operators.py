@@ -90,6 +90,9 @@ class _Scans(Processor):
         memory.maps["seen"].put(item, us)
         return not known
 
+    def refused(self, row):
+        return None if row["tick"] else super().refused(row)
+
     def due(self, memory):
         return None if memory["clock"] is None else memory["clock"][0] + self.forget_us
 
@@ -97,8 +100,8 @@ class _Scans(Processor):
         out = []
         for row in rows:
             if not self.turn(row["us"], memory):
-                if not row["tick"]:
-                    out.append(self.refused(row))
+                if (late := self.refused(row)) is not None:
+                    out.append(late)
             elif not row["tick"]:
                 out += self.take(row, memory)
         return out
@@ -292,6 +295,8 @@ class _Correlate(Processor):
         self.flags, self.payload = flags, payload
 
     def step(self, key, rows, memory):
+        if key["pid"] < 0:
+            return [{c: row[c] for c in ("us", "seq", *self.payload)} for row in rows]
         nodes, beacons = memory.maps["nodes"], memory.maps["beacons"]
         by_time = OrderedDict(sorted(nodes.items(), key=lambda n: n[1][:2]))
         sources = Counter(n[2] for n in by_time.values())
@@ -366,18 +371,19 @@ class _Correlate(Processor):
 
 def correlate(
     events: DataFrame, cfg: CorrelatorConfig = CorrelatorConfig(), patterns: tuple[Pattern, ...] = DEFAULT_PATTERNS,
-    payload: tuple[str, ...] = (), delay: str | None = "1 minute", event_time: bool = False, keep_late: bool = False,
+    payload: tuple[str, ...] = (), delay: str | None = "1 minute", event_time: bool = False, keep_late: bool = False, keep_alone: bool = False,
 ) -> DataFrame:
     """Source count and live-node counts per event; pattern tests then run as Columns on the counts.
 
     ``payload`` columns travel along. With ``delay=None`` the stream has its watermark already; ``event_time`` adds ``ts`` for a further
-    stateful operator.
+    stateful operator. ``keep_alone`` passes events without a pid through, spread over keys of their own, with a null pid and no counts.
     """
     flags = node_flags(patterns)
     names = list(flags)
     stream = events if delay is None else events.withWatermark("ts", delay)
-    rows = stream.where(has_pid()).select(
-        "host_id", "pid", X.micros("ts").alias("us"), "seq", "entity_id", "source",
+    alone = -1 - F.pmod(F.xxhash64("seq"), F.lit(4 * BUCKETS)).cast("int")
+    rows = (stream if keep_alone else stream.where(has_pid())).select(
+        "host_id", F.when(has_pid(), F.col("pid")).otherwise(alone).alias("pid"), X.micros("ts").alias("us"), "seq", "entity_id", "source",
         F.when(F.col("source") == "network", F.coalesce("remote_addr", F.lit(""))).otherwise("").alias("addr"),
         F.array(*[c.cast("int") for c in flags.values()]).alias("flags") if names else F.array().cast("array<int>").alias("flags"),
         *[c for c in payload if c not in ("entity_id", "source")],
@@ -392,7 +398,7 @@ def correlate(
     for p, t in hits:
         bonus = bonus + F.when(t, p.bonus).otherwise(0.0)
     out = counted.select(
-        "host_id", "pid", "us", "seq", *payload, "source_count", "related_count",
+        "host_id", F.when(F.col("pid") >= 0, F.col("pid")).alias("pid"), "us", "seq", *payload, "source_count", F.coalesce("related_count", F.lit(0)).alias("related_count"),
         F.array_compact(F.array(*[F.when(t, p.name) for p, t in hits])).alias("patterns"), bonus.alias("pattern_bonus"), "late", *(["ts"] if event_time else []),
     )
     return _finished(out, keep_late)
@@ -473,7 +479,8 @@ def track_risk(
     An event-time timer wakes an idle entity for its next change or eviction. Blocked entities stay. Late rows carry ``late``.
     """
     stream = scored if delay is None else scored.withWatermark("ts", delay)
-    rows = stream.select("host_id", "entity_id", X.micros("ts").alias("us"), "seq", F.col(score_col).cast("double").alias("x"), "source", *[c for c in payload if c != "source"])
+    marked = [c for c in ("late",) if c in scored.columns]
+    rows = stream.select(*marked, "host_id", "entity_id", X.micros("ts").alias("us") if not marked else F.coalesce("us", X.micros("ts")).alias("us"), "seq", F.col(score_col).cast("double").alias("x"), "source", *[c for c in payload if c != "source"])
     types = dict(rows.dtypes)
     ddl = "host_id string, entity_id string, us bigint, seq bigint, from_state int, to_state int, score double, cause string"
     ddl += "".join(f", {c} {types[c]}" for c in payload)
@@ -580,7 +587,7 @@ class _HostRates(Processor):
 
     def refused(self, row):
         # A late row is reported by its own slice; its copy for the next one goes in silence.
-        return {**super().refused(row), "seq": row["seq"] if row["own"] else None}
+        return super().refused(row) if row["own"] else None
 
     def due(self, memory):
         # Rows of the slice and of the one before end with the slice.
@@ -648,16 +655,12 @@ def features(events: DataFrame, window_sec: int = 300, delay: str | None = "1 mi
     types = dict(rows.dtypes)
     ddl = "host_id string, slice bigint, us bigint, seq bigint, procs bigint, files bigint" + "".join(f", {c} {types[c]}" for c in payload)
     rated = with_state(rows, ["host_id", "slice"], _HostRates, ddl, event_time=True, window_us=width, payload=payload)
-    late = rated.where("late AND seq IS NOT NULL").select("host_id", "us", "seq")
-    ready = rated.where("NOT late").drop("late", "slice", "ts")
     out = with_state(
-        ready, ["host_id", "pid"], _Activity,
+        rated.drop("slice", "ts"), ["host_id", "pid"], _Activity,
         "host_id string, pid int, us bigint, seq bigint, conn_per_min double, unique_ips double, unique_ports_f double, avg_interval double, proc_per_min double, file_mods_per_min double",
         window_us=width,
     ).drop("pid")
-    if keep_late:
-        return out.unionByName(late.withColumn("late", F.lit(True)), allowMissingColumns=True)
-    return used(out)
+    return _finished(out, keep_late)
 
 
 # --- plain aggregates -----------------------------------------------------------------------------
@@ -686,17 +689,11 @@ def gated(events: DataFrame, columns: list[str], buckets: int = BUCKETS, delay:
     return with_state(rows, ["host_id", "bucket"], _Gate, ddl, event_time=True).drop("bucket")
 
 
-def windowed_kinds(events: DataFrame, width: str = "5 minutes", delay: str = "1 minute", keep_late: bool = False) -> DataFrame:
-    """Events per host, kind and tumbling window: ``host_id, kind, window_start, n``.
+def windowed_kinds(events: DataFrame, width: str = "5 minutes", delay: str = "1 minute") -> DataFrame:
+    """Events per host, kind and tumbling window; rows later than the watermark are dropped and counted by Spark.
 
-    Rows later than the watermark are dropped and counted by Spark. With ``keep_late`` they are rows of the result with ``late`` set, their ``seq`` and
-    time as ``window_start``, and ``n`` 1, from the same query, so the sum of ``n`` over closed windows and late rows is the number of rows in.
+    ``late(gated(events, []))``, as a query of its own with the same input and trigger, returns the dropped rows.
     """
-    if not keep_late:
-        return events.withWatermark("ts", delay).groupBy("host_id", "kind", F.window("ts", width)).agg(
-            F.count(F.lit(1)).alias("n")
-        ).select("host_id", "kind", F.col("window.start").alias("window_start"), "n")
-    rows = gated(events, ["kind"], delay=delay)
-    counts = rows.where("NOT late").groupBy("host_id", "kind", F.window("ts", width)).agg(F.count(F.lit(1)).alias("n"))
-    behind = rows.where("late").select("host_id", "kind", F.timestamp_micros("us").alias("window_start"), F.lit(1).cast("bigint").alias("n"), "seq", F.lit(True).alias("late"))
-    return counts.select("host_id", "kind", F.col("window.start").alias("window_start"), "n", F.lit(None).cast("bigint").alias("seq"), F.lit(False).alias("late")).unionByName(behind)
+    return events.withWatermark("ts", delay).groupBy("host_id", "kind", F.window("ts", width)).agg(
+        F.count(F.lit(1)).alias("n")
+    ).select("host_id", "kind", F.col("window.start").alias("window_start"), "n")

@@ -129,7 +129,8 @@ class Processor(StatefulProcessor):
         return iter(())
 
     # --- plumbing
-    def refused(self, row: dict) -> dict:
+    def refused(self, row: dict) -> dict | None:
+        """The late row as it is returned; None for rows that only an operator's own bookkeeping added."""
         return {**row, "late": True}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -156,7 +157,8 @@ class Processor(StatefulProcessor):
             row.update(key)
             if self.event_time:
                 row["ts"] = pd.Timestamp(max(row["us"], watermark), unit="us", tz="UTC")
-        return pd.DataFrame(rows, columns=self.names)
+        # Objects, so that what a row lacks is null in columns of any type.
+        return pd.DataFrame([[row.get(name) for name in self.names] for row in rows], columns=self.names, dtype=object)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs() * 1000
@@ -165,8 +167,9 @@ class Processor(StatefulProcessor):
         table = table.astype({c: "Int64" for c in self.whole if table[c].dtype.kind == "f"})
         records = table.astype(object).where(table.notna(), None).to_dict("records")
         named, memory = dict(zip(self.keys, key)), Memory(self.values, self.map_states)
-        out = [self.refused(row) for row in records if row["us"] < watermark]
-        out += self.step(named, [row for row in records if row["us"] >= watermark], memory)
+        behind = [row["us"] < watermark or bool(row.pop("late", False)) for row in records]
+        out = [late for row, b in zip(records, behind) if b and (late := self.refused(row)) is not None]
+        out += self.step(named, [row for row, b in zip(records, behind) if not b], memory)
         memory.save()
         self._arm(memory, watermark, self.alarm.get()[0] if self.alarm.exists() else None)
         yield self._frame(out, named, watermark)
@@ -189,7 +192,7 @@ def with_state(rows: DataFrame, keys: list[str], processor: type[Processor], out
     """Run a processor per key. ``rows`` carry ``us`` and come from a stream with a watermark, but without its column, so
     that Spark does not drop rows behind it before the processor sees them.
 
-    The result has the columns of ``out_ddl`` and ``late``; with ``event_time`` also ``ts``, for a further stateful operator: the
+    Rows that an earlier operator marked ``late`` stay so. The result has the columns of ``out_ddl`` and ``late``; with ``event_time`` also ``ts``, for a further stateful operator: the
     row's time, or the watermark for a late row.
     """
     ddl = out_ddl + ", late boolean" + (", ts timestamp" if event_time else "")

@@ -6,8 +6,11 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from hostwarden.operators import correlation as C, risk_state as E
+from hostwarden.operators import anomaly_features as A, correlation as C, network_monitor as N, risk_state as E
+from hostwarden.operators.process_monitor import appeared as batch_appeared, scans
+from hostwarden.schema import FEATURES
 from hostwarden.streaming import jobs, operators as S
+from hostwarden.streaming.stateful import late, observed, used
 from tests.conftest import SEC, T0
 
 
@@ -22,6 +25,15 @@ def in_batches(spark, df, folder, n, by="ts"):
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
 
 
+@pytest.fixture(autouse=True, scope="module")
+def few_partitions(spark):
+    """State stores are opened once a partition and batch; two are enough for these rows."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def drain(stream, tmp_path):
     jobs.start_parquet(stream, str(tmp_path / "out"), str(tmp_path / "ckpt")).awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(str(tmp_path / "out"))
@@ -106,3 +118,148 @@ def test_drift_retrains(spark, tmp_path):
     assert store.versions() == [0]
     handle(rows(600, 50.0), 2)
     assert store.versions() == [0, 1]
+
+
+def parts(spark, frames, folder):
+    """One micro-batch a frame."""
+    for frame in frames:
+        frame.coalesce(1).write.mode("append").parquet(str(folder))
+        time.sleep(0.05)
+    return spark.readStream.schema(frames[0].schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+
+
+def state_rows(stream, tmp_path):
+    """Rows of state after every micro-batch, largest operator first seen, and what was written."""
+    query = jobs.start_parquet(stream, str(tmp_path / "out"), str(tmp_path / "ckpt"))
+    query.awaitTermination()
+    return [sum(op["numRowsTotal"] for op in p["stateOperators"]) for p in query.recentProgress]
+
+
+CONNECTIONS = "host_id string, scan_ts timestamp, seq bigint, pid int, status string, local_port int, remote_addr string, remote_port int"
+
+
+@pytest.fixture(scope="module")
+def snapshots(spark):
+    """Scans of two hosts: connections that come and go, of one pid above all, with files and samples in the same rows."""
+    rng = random.Random(11)
+    rows, seq = [], 0
+    for scan in range(40):
+        at = T0 + scan * rng.choice([20, 20, 35]) * SEC if scan < 3 else T0 + scan * 20 * SEC
+        for host in ("a", "b"):
+            if host == "b" and scan % 7 == 3:
+                continue
+            for _ in range(rng.randrange(1, 14) if scan % 10 else 60):
+                seq += 1
+                pid = 1 if rng.random() < 0.6 else rng.randrange(2, 9)
+                rows.append((host, at, seq, pid, rng.choice(["ESTABLISHED"] * 4 + ["LISTEN"]), rng.randrange(3), rng.choice(["9.9.9.9", "8.8.8.8", "127.0.0.1", None]), rng.choice([80, 443, 4444, *range(1000, 1030)])))
+    df = spark.createDataFrame(rows, CONNECTIONS.replace("timestamp", "bigint")).withColumn("scan_ts", F.timestamp_micros("scan_ts"))
+    return df
+
+
+def test_scans_equal_batch_over_hosts(spark, snapshots, tmp_path):
+    """Buckets see every scan of their host, also one in which none of their items occurs."""
+    out = drain(S.appeared(in_batches(spark, snapshots, tmp_path / "in", 5, "scan_ts"), ["pid"], buckets=5), tmp_path)
+    want = batch_appeared(snapshots, ["pid"], scans(snapshots)).select("host_id", F.unix_micros("scan_ts"), F.col("pid").cast("string")).distinct()
+    assert sorted(map(tuple, out.select("host_id", "us", "item").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_network_equals_batch_over_hosts(spark, snapshots, tmp_path):
+    out = drain(S.network_verdicts(in_batches(spark, snapshots, tmp_path / "in", 5, "scan_ts"), buckets=3), tmp_path).collect()
+    want = N.events(snapshots).collect()
+    assert sorted((r["host_id"], r["seq"], r["kind"]) for r in out) == sorted((r["host_id"], r["seq"], r["kind"]) for r in want)
+    assert {r["kind"] for r in out} == {"port_scan", "suspicious_port", "high_conn_rate", "new_outbound"}
+
+
+def test_features_equal_batch(spark, random_events, tmp_path):
+    got = drain(S.features(in_batches(spark, random_events, tmp_path / "in", 5)), tmp_path).collect()
+    want = A.extract(random_events).collect()
+    key = lambda r: (r["seq"], *[round(r[c], 9) for c in FEATURES])
+    assert sorted(map(key, got)) == sorted(map(key, want))
+
+
+def _samples(df):
+    return df.select("host_id", F.col("ts").alias("scan_ts"), "seq", "pid", F.col("entity_id").alias("name"), F.col("entity_id").alias("path"), F.col("seq").cast("double").alias("cpu_pct"),
+                     F.col("message").alias("hash"), F.col("seq").alias("size"), F.lit("ESTABLISHED").alias("status"), F.lit(1).alias("local_port"), F.lit("9.9.9.9").alias("remote_addr"), (F.col("seq") % 30).cast("int").alias("remote_port"))
+
+
+def _timed(df):
+    return df.select("host_id", "pid", F.lit("k").alias("kind"), F.lit(1).alias("life"), F.unix_micros("ts").alias("us"), "seq")
+
+
+ENDING = {
+    "appeared": lambda s: S.appeared(_samples(s), ["pid"], buckets=4, forget_sec=300, keep_late=True),
+    "modified_files": lambda s: S.modified_files(_samples(s), forget_sec=300, keep_late=True),
+    "sliding_count": lambda s: S.sliding_count(_timed(s), ["host_id", "pid"], 60, keep_late=True),
+    "network_verdicts": lambda s: S.network_verdicts(_samples(s), buckets=4, forget_sec=300, keep_late=True),
+    "correlate": lambda s: S.correlate(s, keep_late=True),
+    "cooldown": lambda s: S.cooldown(_timed(s), keep_late=True),
+    "cpu_baseline": lambda s: S.cpu_baseline(_samples(s), forget_sec=300, keep_late=True),
+    "features": lambda s: S.features(s, keep_late=True),
+    "risk_transitions": lambda s: S.risk_transitions(s.withColumn("score", F.lit(20.0)), keep_late=True),
+}
+
+
+@pytest.mark.parametrize("name", list(ENDING))
+def test_state_ends_and_late_rows_stay(spark, make_events, tmp_path, name):
+    """State grows with the keys in use and falls to that of the last key; a row far behind is returned as late."""
+    early = make_events([{"at": k % 50, "seq": k, "pid": 1 + k % 25, "source": ["network", "process", "filesystem"][k % 3], "entity_id": f"e{k % 25}", "remote_addr": f"9.9.9.{k % 5}", "remote_port": k % 7} for k in range(100)])
+    last = make_events([{"at": 100_000, "seq": 500, "pid": 900, "source": "network", "entity_id": "z", "remote_addr": "1.1.1.1", "remote_port": 1}])
+    behind = make_events([{"at": 10, "seq": 600, "pid": 3, "source": "process", "entity_id": "e3"}, {"at": 100_001, "seq": 601, "pid": 900, "source": "network", "entity_id": "z", "remote_addr": "1.1.1.1", "remote_port": 2}])
+    counts = state_rows(ENDING[name](parts(spark, [early, last, behind], tmp_path / "in")), tmp_path)
+    # What one key may hold: its values, its entries and its timer, twice for two operators; a host's clock once a bucket.
+    assert max(counts) >= 25 or name in ("appeared", "network_verdicts") and max(counts) >= 8
+    assert counts[-1] <= 20 and counts[-1] < max(counts)
+    out = spark.read.parquet(str(tmp_path / "out"))
+    if "seq" in out.columns:
+        assert [r["seq"] for r in late(out).collect()] == [600]
+    else:
+        assert late(out).count() == 1
+    assert used(out).where(F.col("us") == T0 + 10 * SEC).count() >= 0
+
+
+def test_late_and_used_rows_are_all_rows(spark, make_events, tmp_path):
+    """By the counts that the query observes itself, and by the two tables."""
+    frames = [make_events([{"at": b * 1000 + k - (3000 if b == 3 and k < 5 else 0), "seq": b * 50 + k, "pid": k % 4 + 1} for k in range(50)]) for b in range(4)]
+    stream = observed(S.correlate(parts(spark, frames, tmp_path / "in"), keep_late=True), "rows")
+    query = jobs.start_batches(stream, jobs.write_with_late(str(tmp_path / "used"), str(tmp_path / "late")), str(tmp_path / "ckpt"))
+    query.awaitTermination()
+    seen = [p["observedMetrics"]["rows"] for p in query.recentProgress if "rows" in p["observedMetrics"]]
+    assert (sum(r["used"] for r in seen), sum(r["late"] for r in seen)) == (195, 5)
+    assert spark.read.parquet(str(tmp_path / "used")).count() == 195
+    assert sorted(r["seq"] for r in spark.read.parquet(str(tmp_path / "late")).collect()) == list(range(150, 155))
+
+
+def test_live_entities_while_state_decays(spark, make_events, tmp_path):
+    """The state store read as a table at several times equals the batch snapshot of the same events."""
+    from hostwarden.plans import live
+
+    rng = random.Random(5)
+    events = make_events([{"seq": k, "at": rng.randrange(900), "entity_id": f"e{rng.randrange(12)}", "source": "process"} for k in range(120)]).withColumn("score", (F.col("seq") % 9 * 4).cast("double"))
+    stream = in_batches(spark, events, tmp_path / "in", 4)
+    jobs.start_parquet(S.track_risk(stream), str(tmp_path / "out"), str(tmp_path / "ckpt")).awaitTermination()
+    tracked = E.track(events)
+    for later in (900, 1000, 1333, 2000, 4000):
+        at = T0 + later * SEC
+        rows = [sorted(tuple(r) for r in df.collect()) for df in (live.entities(spark, str(tmp_path / "ckpt"), at), E.snapshot(tracked, at))]
+        assert [(r[:3], *r[4:]) for r in rows[0]] == [(r[:3], *r[4:]) for r in rows[1]]
+        assert [r[3] for r in rows[0]] == pytest.approx([r[3] for r in rows[1]])
+
+
+def test_intel_cache_job(spark, make_events, tmp_path):
+    """New addresses are looked up once, again after the time to live, and a repeated batch changes nothing."""
+    from hostwarden.config import ThreatIntelConfig
+    from hostwarden.plans.scoring import Intel
+
+    abuse = spark.createDataFrame([("1.1.1.1", 60.0, "US", 1, False, "i", T0 + 10**12)], "ip string, abuse_score double, country string, total_reports int, is_whitelisted boolean, isp string, e bigint")
+    intel = Intel(abuse=abuse.withColumn("expires", F.timestamp_micros("e")).drop("e"))
+    cache = jobs.IntelCache(spark, str(tmp_path / "cache"))
+    handle = jobs.fill_intel_cache(cache, lambda: intel, ThreatIntelConfig(cache_ttl_minutes=10))
+    first = make_events([{"remote_addr": "1.1.1.1"}, {"remote_addr": "2.2.2.2", "at": 5}, {"at": 6}])
+    soon, after = make_events([{"remote_addr": "1.1.1.1", "at": 300}, {"remote_addr": "3.3.3.3", "at": 300}]), make_events([{"remote_addr": "1.1.1.1", "at": 700}])
+    assert cache.table() is None
+    for batch_id, batch in ((0, first), (1, soon), (1, soon), (2, after), (2, after)):
+        handle(batch, batch_id)
+    looked_up = sorted((r["ip"], r["batch_id"]) for r in spark.read.parquet(str(tmp_path / "cache")).collect())
+    assert looked_up == [("1.1.1.1", 0), ("1.1.1.1", 2), ("2.2.2.2", 0), ("3.3.3.3", 1)]
+    answers = {r["ip"]: r["abuseipdb"] for r in cache.resolved().collect()}
+    assert answers["1.1.1.1"]["abuse_score"] == 60.0 and answers["2.2.2.2"] is None
