@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hostwarden.catalog.base import add, ev, query, r6, us, with_ev, with_scored
+from hostwarden.catalog.base import RULE_SQL, add, ev, query, r6, us, with_ev, with_scored
 from hostwarden.functions import expr as X
 from hostwarden.operators import correlation as C, feedback as B, graph as G, heuristics as H, patterns as P
 from hostwarden.sources import sample_tables as T
@@ -255,7 +255,7 @@ add(
 # --- feedback ------------------------------------------------------------------
 FEEDBACK = """
 fbk AS (SELECT entity_id, us, CASE kind WHEN 'new_process' THEN 'suspicious_path' WHEN 'suspicious_port' THEN 'suspicious_port' WHEN 'file_modified' THEN 'critical_file_modified'
-          WHEN 'cpu_abuse' THEN 'cpu_abuse' ELSE kind END AS rule_name, seq % 30 = 0 AS fp FROM ev WHERE seq % 10 = 0)"""
+          WHEN 'cpu_abuse' THEN 'cpu_abuse' ELSE kind END AS rule_name, seq % 3 = 0 AS fp FROM ev)"""
 _STATS = "SELECT rule_name, count(*) AS total, CAST(sum(CASE WHEN fp THEN 0 ELSE 1 END) AS BIGINT) AS true_positives, CAST(sum(CASE WHEN fp THEN 1 ELSE 0 END) AS BIGINT) AS false_positives FROM fbk GROUP BY rule_name"
 add("b1_feedback_counts", lambda spark, sf: B.stats(T.feedback(ev(spark, sf))), with_ev(_STATS, FEEDBACK))
 add("r7_feedback_report", lambda spark, sf: B.stats(T.feedback(ev(spark, sf))).orderBy("rule_name"), with_ev(_STATS + " ORDER BY rule_name", FEEDBACK))
@@ -274,12 +274,9 @@ add(
     "b2_weighted_scores",
     lambda spark, sf: H.score(
         ev(spark, sf).crossJoin(F.broadcast(B.weight_map(B.stats(T.feedback(ev(spark, sf))), [r.name for r in H.DEFAULT_RULES]))), H.DEFAULT_RULES, F.col("weights")
-    ).where("source <> 'process'").select("seq", r6("heuristic_score", "score")),
-    with_scored(
-        "SELECT seq, round(heuristic_score * coalesce(w, 1), 6) AS score FROM hs LEFT JOIN (SELECT rule_name, pow(1 - sum(CASE WHEN fp THEN 1 ELSE 0 END)::DOUBLE / count(*), 2) AS w "
-        "FROM fbk GROUP BY rule_name) s ON s.rule_name = CASE hs.kind WHEN 'suspicious_port' THEN 'suspicious_port' WHEN 'file_modified' THEN 'critical_file_modified' WHEN 'cpu_abuse' THEN 'cpu_abuse' "
-        "WHEN 'memory_abuse' THEN 'memory_abuse' WHEN 'port_scan' THEN 'port_scan' END WHERE source <> 'process'", FEEDBACK,
-    ),
+    ).select("seq", r6("heuristic_score", "score")),
+    with_scored(f"SELECT seq, round({' + '.join(f"({points}) * coalesce(w['{rule}'], 1)" for rule, points in RULE_SQL.items())}, 6) AS score FROM hs, weights", FEEDBACK,
+        "weights AS (SELECT map(list(rule_name), list(w)) AS w FROM (SELECT rule_name, pow(1 - sum(CASE WHEN fp THEN 1 ELSE 0 END)::DOUBLE / count(*), 2) AS w FROM fbk GROUP BY rule_name))"),
 )
 add(
     "b3_fp_rate", lambda spark, sf: B.fp_rate(T.feedback(ev(spark, sf))).select("labels", "false_positives", r6("fp_rate", "rate"), F.col("exceeded").cast("int").alias("exceeded")),

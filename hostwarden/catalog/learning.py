@@ -48,8 +48,9 @@ _ALL = ", ".join(f"round({c} + 1e-9, 6) AS {c}" for c in A.FEATURES)  # the offs
 add("a7_features", lambda spark, sf: features(spark, sf).select("seq", *[r6(F.col(c) + 1e-9, c) for c in A.FEATURES]), with_ev(f"SELECT seq, {_ALL} FROM feat", FEAT))
 
 
-def forest_sql(table: str, prefix: str = "") -> str:
-    """The forest over the features of ``table``, level by level, as tables ``smp``, ``nodes`` and ``paths`` (mean path of every row)."""
+def forest_sql(table: str, prefix: str = "", points: str | None = None) -> str:
+    """The forest over the features of ``table``, level by level, as tables ``smp``, ``nodes`` and ``paths`` (mean path of every row of
+    ``points``, by default of the table itself)."""
     p = prefix
     levels = [f"{p}m0 AS (SELECT tree_id, 0::BIGINT AS node_id, f FROM {p}smp)"]
     for d in range(9):
@@ -70,7 +71,8 @@ def forest_sql(table: str, prefix: str = "") -> str:
   FROM (SELECT t AS tree_id, i AS node_id, md5('{CFG.seed}:' || t || ':' || i) AS h FROM range({CFG.num_trees}) g(t), range(511) k(i))),
 {", ".join(levels)},
 {p}nodes AS ({nodes}),
-{p}walk AS (SELECT seq, f, tree_id, 0::BIGINT AS node_id, false AS done FROM {p}vec, (SELECT DISTINCT tree_id FROM {p}nodes)
+{p}pts AS (SELECT seq, us, [{", ".join(A.FEATURES)}] AS f FROM {points or table}),
+{p}walk AS (SELECT seq, f, tree_id, 0::BIGINT AS node_id, false AS done FROM {p}pts, (SELECT DISTINCT tree_id FROM {p}nodes)
   UNION ALL SELECT seq, f, w.tree_id, CASE WHEN attr < 0 THEN w.node_id WHEN f[attr + 1] < split THEN l ELSE r END, attr < 0 FROM {p}walk w JOIN {p}nodes n ON n.tree_id = w.tree_id AND n.node_id = w.node_id WHERE NOT done),
 {p}paths AS (SELECT seq, avg(depth + CASE WHEN size <= 1 THEN 0 WHEN size = 2 THEN 1 ELSE 2 * (ln(size - 1) + 0.5772156649) - 2 * (size - 1) / size::DOUBLE END) AS path
   FROM {p}walk JOIN {p}nodes USING (tree_id, node_id) WHERE done GROUP BY seq),

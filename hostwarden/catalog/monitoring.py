@@ -276,5 +276,9 @@ add(
 )
 add(
     "k7_response_plan_kill", lambda spark, sf: K.response_plan(ev(spark, sf), ResourceGuardConfig(action="kill")).select("pid", "seq", "name", "reason", "action"),
-    with_ev(f"SELECT pid, seq, name, reason, 'kill' AS action FROM (SELECT p.*, row_number() OVER (PARTITION BY p.pid ORDER BY e.us, p.seq) AS rn FROM ({_PLAN}) p JOIN ev e USING (seq)) WHERE rn = 1"),
+    with_ev(
+        "SELECT pid, seq, name, reason, 'kill' AS action FROM walk WHERE kept",
+        f"due AS (SELECT p.*, e.us, row_number() OVER (PARTITION BY p.pid ORDER BY e.us, p.seq) AS rn FROM ({_PLAN}) p JOIN ev e USING (seq))",
+        "walk AS (SELECT *, us AS begun, true AS kept FROM due WHERE rn = 1 UNION ALL SELECT d.*, CASE WHEN d.us - w.begun >= 5000000 THEN d.us ELSE w.begun END, d.us - w.begun >= 5000000 FROM walk w JOIN due d ON d.pid = w.pid AND d.rn = w.rn + 1)",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
 )

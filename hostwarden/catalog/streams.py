@@ -12,7 +12,7 @@ from hostwarden.catalog.detection import RULES, SIGMA_BONUS_SQL
 from hostwarden.catalog.enrichment import INTEL_BONUS_SQL, INTEL_JOIN, TABLES
 from hostwarden.catalog.flagship import intel_tables
 from hostwarden.catalog.monitoring import FS, NET, PS, RS, _SPAWN, cs, fs, ps, rs, sql
-from hostwarden.catalog.learning import FEAT, _ALL, feature_table
+from hostwarden.catalog.learning import FEAT, _ALL, feature_table, forest_sql
 from hostwarden.catalog.reporting import R0
 from hostwarden.catalog.state import AS_OF, LOOP, TICKS, _snap_cols as snapshot_columns, loop
 from hostwarden.operators import heuristics as H, process_monitor as P, resource_monitor as RM
@@ -236,14 +236,53 @@ add(
 )
 
 
-@query("t10_drift_and_reload")
-def _drift(spark, sf):
-    """Feature rows as a stream: the first batch trains, later ones are scored and tested for drift."""
-    store = jobs.ModelStore(spark, _folder(spark, "models"))
-    scores = _folder(spark, "scores")
-    handler = jobs.drift_handler(store, scores)
-    jobs.start_batches(table_stream(feature_table(spark, sf), "ts"), handler, _folder(spark, "stream-state")).awaitTermination()
-    return spark.read.parquet(scores).groupBy("version").agg(F.count(F.lit(1)).alias("rows"), F.lit(len(store.versions())).alias("versions"))
+_SHIFTED = ", ".join(f"{c} * CASE WHEN batch >= 2 THEN 40 ELSE 1 END + CASE WHEN batch >= 2 THEN 500 ELSE 0 END AS {c}" for c in FEATURES)
+CYCLE = f"""
+cut AS (SELECT *, least(floor((us - min(us) OVER ()) * 4 / greatest(max(us) OVER () - min(us) OVER (), 1)), 3) AS batch FROM feat),
+fed AS (SELECT seq, us, batch, {_SHIFTED} FROM cut),
+train0 AS (SELECT * FROM fed WHERE batch = 0), rest0 AS (SELECT * FROM fed WHERE batch <= 2),
+train1 AS (SELECT * FROM fed WHERE batch <= 2 ORDER BY us DESC, seq DESC LIMIT 1000), rest1 AS (SELECT * FROM train1 UNION SELECT * FROM fed WHERE batch = 3),
+{forest_sql("train0", "v0", "rest0")}, {forest_sql("train1", "v1", "rest1")}"""
+
+
+def cycle(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Feature rows in four micro-batches, the last two of which behave otherwise: scores and commits.
+
+    The first batch trains, the second is as before, the third drifts and makes the second version, the fourth is as the third.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _CYCLES:
+        store, scores = jobs.ModelStore(spark, _folder(spark, "models")), _folder(spark, "scores")
+        table = feature_table(spark, sf_dir)
+        at = F.unix_micros("ts")
+        low, high = table.agg(F.min(at), F.max(at)).first()
+        later = (at - low) * 4 >= 2 * max(high - low, 1)
+        shifted = table.withColumns({c: F.when(later, F.col(c) * 40 + 500).otherwise(F.col(c)) for c in FEATURES})
+        jobs.start_batches(table_stream(shifted, "ts"), jobs.drift_handler(store, scores), _folder(spark, "stream-state")).awaitTermination()
+        _CYCLES[key] = (spark.read.parquet(scores), spark.createDataFrame(store.commits()))
+    return _CYCLES[key]
+
+
+_CYCLES: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+add(
+    "t10_drift_and_reload",
+    lambda spark, sf: cycle(spark, sf)[0].groupBy("version").agg(F.count(F.lit(1)).alias("rows"), r6(F.avg("anomaly_score"), "mean_score"), r6(F.max("anomaly_score"), "max_score")),
+    with_ev(
+        "SELECT version, count(*) AS rows, round(avg(s), 6) AS mean_score, round(max(s), 6) AS max_score FROM ("
+        "SELECT -1 AS version, 0.0::DOUBLE AS s FROM train0 UNION ALL SELECT 0, anomaly_score FROM v0anomaly JOIN fed USING (seq) WHERE batch BETWEEN 1 AND 2 "
+        "UNION ALL SELECT 1, anomaly_score FROM v1anomaly JOIN fed USING (seq) WHERE batch = 3) GROUP BY version", FEAT, CYCLE,
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
+add(
+    "t10_commits",
+    lambda spark, sf: cycle(spark, sf)[1].select("version", "batch_id", "n", r6("base_mean", "mean"), r6("base_std", "std"), "reason"),
+    with_ev(
+        "SELECT 0 AS version, 0 AS batch_id, count(*) AS n, round(avg(anomaly_score), 6) AS mean, round(stddev_pop(anomaly_score), 6) AS std, 'first training' AS reason FROM v0anomaly JOIN train0 USING (seq) "
+        "UNION ALL SELECT 1, 2, count(*), round(avg(anomaly_score), 6), round(stddev_pop(anomaly_score), 6), (SELECT 'score mean shifted ' || printf('%.1f', abs(r - m) / s) || 'σ' FROM "
+        "(SELECT avg(anomaly_score) AS r FROM (SELECT anomaly_score FROM v0anomaly JOIN rest0 USING (seq) ORDER BY us DESC, seq DESC LIMIT 200)), "
+        "(SELECT avg(anomaly_score) AS m, stddev_pop(anomaly_score) AS s FROM v0anomaly JOIN train0 USING (seq))) FROM v1anomaly JOIN train1 USING (seq)", FEAT, CYCLE,
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
 
 
 add(

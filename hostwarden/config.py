@@ -106,6 +106,7 @@ class ResourceGuardConfig:
     spawn_loop_window_sec: int = 60
     spawn_loop_limit: int = 10
     cooldown_sec: int = 60
+    kill_in_flight_sec: int = 5
 
 
 @dataclass(frozen=True)

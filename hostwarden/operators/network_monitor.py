@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from hostwarden.config import Config
+from hostwarden.operators import scan
 from hostwarden.operators.process_monitor import after_learning, appeared, disappeared, numbered, scans
 
 KEY = ["pid", "local_port", "remote_addr", "remote_port"]
 PORTS_FOR_SCAN = 20
 CONNECTIONS_FOR_RATE = 20
 PERIOD_SEC = 60
+CHUNK_SEC = 3600
 
 
 def active(connections: DataFrame) -> DataFrame:
@@ -30,26 +31,13 @@ def closed(connections: DataFrame) -> DataFrame:
 def periods(connections: DataFrame) -> DataFrame:
     """Scan times with their counter period: a scan more than 60 s after the last reset starts a new one.
 
-    The reset depends on the previous reset, so this is a fold over the scan times of a host (one
-    small row per scan, not per connection).
+    Works on one small row per scan, not per connection, by hours.
     """
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("scan_us")
-        period, reset, out = 0, None, []
-        for t in group["scan_us"]:
-            if reset is None:
-                reset = t
-            elif t - reset > PERIOD_SEC * 1_000_000:
-                period, reset = period + 1, t
-            out.append(period)
-        return group.assign(period_id=out)
-
-    table = scans(connections).select("host_id", F.unix_micros("scan_ts").alias("scan_us"), "scan_no")
-    folded = table.groupBy("host_id").applyInPandas(
-        fold, "host_id string, scan_us bigint, scan_no int, period_id bigint"
-    )
-    return folded.select("host_id", F.timestamp_micros("scan_us").alias("scan_ts"), "scan_no", "period_id")
+    table = scans(connections).select("host_id", F.unix_micros("scan_ts").alias("us"), "scan_no")
+    resets = scan.spaced(table, ["host_id"], PERIOD_SEC * 1_000_000 + 1, CHUNK_SEC * 1_000_000).withColumn("reset", F.lit(1))
+    rows = table.join(resets, ["host_id", "us"], "left").withColumn("chunk", scan.time_chunk(F.col("us"), CHUNK_SEC))
+    counted = scan.running(rows, ["host_id"], ["us"], "chunk", sums={"resets": F.col("reset")})
+    return counted.select("host_id", F.timestamp_micros("us").alias("scan_ts"), "scan_no", (F.col("resets") - 1).cast("bigint").alias("period_id"))
 
 
 def counted(connections: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from hostwarden.config import ResourceGuardConfig
@@ -89,34 +88,11 @@ def sustained(samples: DataFrame, cfg: ResourceGuardConfig = ResourceGuardConfig
     ).drop("_us")
 
 
-def _cooldown(group: pd.DataFrame, cooldown_us: int) -> pd.DataFrame:
-    group = group.sort_values("us")
-    keep, last = [], None
-    for t in group["us"]:
-        emit = last is None or t - last >= cooldown_us
-        keep.append(emit)
-        last = t if emit else last
-    return group[keep]
-
-
 def with_cooldown(candidates: DataFrame, cooldown_sec: int = 60) -> DataFrame:
-    """Keep a candidate when 60 s have passed since the last kept one of its (host, pid, kind, life).
-
-    A candidate 60 s or more after the previous candidate is always kept, so it starts an independent
-    island; only rows inside an island need the sequential fold, which sees one narrow row per scan.
-    """
+    """Keep a candidate when 60 s have passed since the last kept one of its (host, pid, kind, life)."""
     key = ["host_id", "pid", "kind", "life"]
-    us = X.micros("scan_ts")
-    w = Window.partitionBy(*key).orderBy("us")
-    marked = candidates.withColumn("us", us)
-    starts = F.coalesce(F.col("us") - F.lag("us").over(w) >= cooldown_sec * SEC, F.lit(True))
-    islands = marked.select(*key, "us").withColumn("_s", starts).withColumn(
-        "island", F.max(F.when(F.col("_s"), F.col("us"))).over(w)
-    )
-    kept = islands.groupBy(*key, "island").applyInPandas(
-        lambda g: _cooldown(g, cooldown_sec * SEC)[[*key, "us"]],
-        "host_id string, pid int, kind string, life int, us bigint",
-    )
+    marked = candidates.withColumn("us", X.micros("scan_ts"))
+    kept = scan.spaced(marked, key, cooldown_sec * SEC, CHUNK_SEC * SEC)
     return marked.join(kept, [*key, "us"], "left_semi").drop("us")
 
 

@@ -8,6 +8,8 @@ one per (key, chunk), are ever ordered per key.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -73,3 +75,55 @@ def lag_values(
     local = step(F.struct(*cols.keys()), 1).over(within)
     picked = joined.select(*df.columns, F.coalesce(local, F.col("_edge")).alias("_nb"))
     return picked.select(*df.columns, *[F.col("_nb")[src].alias(dst) for src, dst in cols.items()])
+
+
+def _jumps(times: np.ndarray, gap: int) -> np.ndarray:
+    """For each time the position of the next one at least ``gap`` later; its own position if there is none."""
+    after = np.searchsorted(times, times + gap)
+    return np.where(after < len(times), after, np.arange(len(times)))
+
+
+def spaced(rows: DataFrame, keys: list[str], gap: int, chunk: int, at: str = "us") -> DataFrame:
+    """The times a greedy walk keeps: the first of each key, then always the next one at least ``gap`` after the last kept.
+
+    Whether a time is kept depends on all before it, yet no key is walked as a whole. Inside a chunk of time every
+    time jumps to the next it would keep; jumps are composed by doubling, which tells for each place where a walk may enter the
+    chunk (its first ``gap``, or what follows) the last time it keeps there. These entries, one small row a chunk, are
+    followed from chunk to chunk; then each chunk walks from its own entry. Returns distinct ``keys`` and ``at``.
+    """
+    types = dict(rows.dtypes)
+    key_ddl = ", ".join(f"{k} {types[k]}" for k in keys)
+    times = rows.select(*keys, F.col(at).cast("bigint").alias(at)).distinct().withColumn("chunk", int_div(F.col(at), chunk))
+
+    def entries(group: pd.DataFrame) -> pd.DataFrame:
+        t = np.sort(group[at].to_numpy(np.int64))
+        last = _jumps(t, gap)
+        while not np.array_equal(further := last[last], last):
+            last = further
+        begin = int(group["chunk"].iat[0]) * chunk
+        open_ = min(int(np.searchsorted(t, begin + gap)) + 1, len(t))
+        return group.iloc[:1][[*keys, "chunk"]].assign(entry=[t[:open_].tolist()], exit=[t[last[:open_]].tolist()])
+
+    def followed(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("chunk")
+        last, before = None, []
+        for entry, leave in zip(group["entry"], group["exit"]):
+            before.append(last)
+            at_ = 0 if last is None else int(np.searchsorted(np.asarray(entry), last + gap))
+            last = int(leave[at_]) if at_ < len(entry) else last
+        return group[[*keys, "chunk"]].assign(last=pd.array(before, "Int64"))
+
+    def walked(group: pd.DataFrame) -> pd.DataFrame:
+        t = np.sort(group[at].to_numpy(np.int64))
+        jump, last = _jumps(t, gap), group["last"].iat[0]
+        here, kept = 0 if pd.isna(last) else int(np.searchsorted(t, int(last) + gap)), []
+        while here < len(t):
+            kept.append(int(t[here]))
+            if jump[here] == here:
+                break
+            here = int(jump[here])
+        return group.iloc[np.zeros(len(kept), np.int64)][keys].reset_index(drop=True).assign(**{at: kept})
+
+    summary = times.groupBy(*keys, "chunk").applyInPandas(entries, f"{key_ddl}, chunk bigint, entry array<bigint>, exit array<bigint>")
+    carry = summary.groupBy(*keys).applyInPandas(followed, f"{key_ddl}, chunk bigint, last bigint")
+    return times.join(carry, [*keys, "chunk"]).groupBy(*keys, "chunk").applyInPandas(walked, f"{key_ddl}, {at} bigint")

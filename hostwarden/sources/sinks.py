@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from hostwarden.config import ResourceGuardConfig
 from hostwarden.functions import expr as X
+from hostwarden.operators import scan
 from hostwarden.schema import DETAIL_COLUMNS
 
 RFC3339 = "yyyy-MM-dd'T'HH:mm:ssXXX"
@@ -93,7 +94,11 @@ def block_list(tracked: DataFrame) -> DataFrame:
 
 
 def response_plan(events: DataFrame, cfg: ResourceGuardConfig = ResourceGuardConfig()) -> DataFrame:
-    """What to do about runaway processes: renice every time, or kill at most once per pid; nothing for ``notify``."""
+    """What to do about runaway processes: renice every time, or kill; nothing for ``notify``.
+
+    A kill is in flight for ``kill_in_flight_sec``: until then no other one is planned for its (host, pid), afterwards a pid that is
+    used again, or survived, gets its next.
+    """
     due = events.where(
         F.col("kind").isin("cpu_abuse", "memory_abuse", "spawn_loop")
         & (F.coalesce("pid", F.lit(0)) > 0) & (F.coalesce("name", F.lit("")) != "")
@@ -107,6 +112,8 @@ def response_plan(events: DataFrame, cfg: ResourceGuardConfig = ResourceGuardCon
     )
     if cfg.action != "kill":
         return plan
+    timed = plan.withColumn("us", X.micros("ts"))
+    begun = scan.spaced(timed, ["host_id", "pid"], cfg.kill_in_flight_sec * 1_000_000, 3600 * 1_000_000)
     rest = ["seq", "ts", "name", "reason", "action", "nice"]
-    first = plan.groupBy("host_id", "pid").agg(F.min_by(F.struct(*rest), F.struct("ts", "seq")).alias("r"))
+    first = timed.join(begun, ["host_id", "pid", "us"]).groupBy("host_id", "pid", "us").agg(F.min_by(F.struct(*rest), "seq").alias("r"))
     return first.select("host_id", "pid", "r.*")

@@ -6,11 +6,11 @@ from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from hostwarden.config import AnomalyConfig, Config, ThreatIntelConfig
-from hostwarden.operators import correlation, drift, heuristics, isolation_forest, sigma, threat_intel
+from hostwarden.operators import correlation, drift, feedback, heuristics, isolation_forest, sigma, threat_intel
 from hostwarden.plans.scoring import Intel
 from hostwarden.schema import MODEL_NODE_DDL
 from hostwarden.session import stage
@@ -144,60 +144,106 @@ def write_with_late(path: str, late_path: str) -> Callable[[DataFrame, int], Non
 
 
 class ModelStore:
-    """Versioned model tables under one folder: ``version=N``. The newest version is the current model."""
+    """Versioned models under one folder: the nodes in ``models/version=N``, and one commit row a version that names them.
+
+    A commit holds the baseline of the version's training rows and the micro-batch that made it, and is written last, so a
+    version is either whole or not there. A repeated micro-batch sees only commits of earlier ones, decides the same, and
+    overwrites its own. ``rows`` holds the bounded buffer of the newest feature rows as each micro-batch left it.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def versions(self) -> list[int]:
+    def _table(self, folder: str, ddl: str) -> DataFrame | None:
         try:
-            table = self.spark.read.schema(MODEL_NODE_DDL + ", version bigint").parquet(self.path)
-            return sorted(r[0] for r in table.select("version").distinct().collect())
+            return self.spark.read.schema(ddl).parquet(f"{self.path}/{folder}")
         except AnalysisException:
+            return None
+
+    def commits(self, before: int | None = None) -> list[Row]:
+        """Commits by version, on request only those of micro-batches before a given one."""
+        table = self._table("commits", _COMMIT_DDL + ", batch_id bigint")
+        if table is None:
             return []
+        return sorted((table if before is None else table.where(F.col("batch_id") < before)).collect(), key=lambda r: r["version"])
 
-    def publish(self, model: DataFrame) -> int:
-        known = self.versions()
-        version = known[-1] + 1 if known else 0
-        model.write.mode("overwrite").parquet(f"{self.path}/version={version}")
+    def versions(self) -> list[int]:
+        return [c["version"] for c in self.commits()]
+
+    def publish(self, model: DataFrame, base: DataFrame | None = None, batch_id: int | None = None, reason: str = "") -> int:
+        """Store a model with the baseline of its training rows (``drift.baseline``); without a micro-batch it counts as a batch after all others."""
+        known = self.commits(batch_id)
+        version = known[-1]["version"] + 1 if known else 0
+        model.write.mode("overwrite").parquet(f"{self.path}/models/version={version}")
+        row = (0, 0.0, 0.0) if base is None else tuple(base.select("n", "base_mean", "base_std").first())
+        at = batch_id if batch_id is not None else (known[-1]["batch_id"] + 1 if known else 0)
+        self.spark.createDataFrame([(version, *row, reason)], _COMMIT_DDL).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/commits/batch_id={at}")
         return version
 
-    def current(self) -> DataFrame | None:
-        known = self.versions()
-        return self.spark.read.schema(MODEL_NODE_DDL).parquet(f"{self.path}/version={known[-1]}") if known else None
+    def model(self, version: int) -> DataFrame:
+        return self.spark.read.schema(MODEL_NODE_DDL).parquet(f"{self.path}/models/version={version}")
+
+    def current(self, before: int | None = None) -> DataFrame | None:
+        known = self.commits(before)
+        return self.model(known[-1]["version"]) if known else None
+
+    def buffered(self, rows: DataFrame, batch_id: int, most: int | None) -> DataFrame:
+        """The buffer after this micro-batch: the newest ``most`` of the rows before it and its own (all if None)."""
+        held = self._table("rows", ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields) + ", batch_id bigint")
+        if held is not None:
+            last = held.where(F.col("batch_id") < batch_id).agg(F.max("batch_id")).first()[0]
+            if last is not None:
+                rows = rows.unionByName(held.where(F.col("batch_id") == last).drop("batch_id"))
+        kept = rows if most is None else isolation_forest.retraining_rows(rows, most)
+        kept.write.mode("overwrite").parquet(f"{self.path}/rows/batch_id={batch_id}")
+        return self.spark.read.schema(kept.schema).parquet(f"{self.path}/rows/batch_id={batch_id}")
+
 
+_COMMIT_DDL = "version bigint, n bigint, base_mean double, base_std double, reason string"
 
-def drift_handler(store: ModelStore, score_path: str, cfg: AnomalyConfig = AnomalyConfig()) -> Callable[[DataFrame, int], None]:
-    """A micro-batch handler over feature rows: score with the current model, keep the scores, retrain on drift.
 
-    Every score row keeps the model version it came from, so the recent window only looks at scores
-    since the last retraining, and the baseline is the training rows' scores under that version.
+def drift_handler(
+    store: ModelStore, score_path: str, cfg: AnomalyConfig = AnomalyConfig(), load_feedback: Callable[[], DataFrame] | None = None,
+) -> Callable[[DataFrame, int], None]:
+    """A micro-batch handler over feature rows: train, score, test for drift, retrain; every batch is a check.
+
+    Until there are ``min_training_rows``, rows are kept and score 0 (version -1). The first model is trained on all rows so
+    far. Later batches are scored with the current version; the test compares the last ``drift_window_size`` scores of that
+    version, so the window is empty after a retrain, with the scores of the version's own training rows. A retrain uses the last
+    ``max_buffer`` rows. Labels whose false-positive rate is exceeded cause a retrain too, then not again for three checks.
     """
 
+    def commit(rows: DataFrame, batch_id: int, reason: str) -> bool:
+        fitted = isolation_forest.fit(rows, cfg)
+        if fitted is None:
+            return False
+        fitted = stage(fitted, "model")
+        store.publish(fitted, drift.baseline(isolation_forest.score(rows, fitted, cfg)), batch_id, reason)
+        return True
+
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = batch.persist()
-        try:
-            model = store.current()
-            if model is None:
-                fitted = isolation_forest.fit(rows, cfg)
-                if fitted is None:
-                    return
-                store.publish(fitted)
-                model = store.current()
-            version = store.versions()[-1]
-            scored = isolation_forest.score(rows, model, cfg).withColumn("version", F.lit(version))
-            write_batch(scored, score_path, batch_id)
-            history = spark.read.parquet(score_path).where(F.col("version") == version)
-            training = isolation_forest.retraining_rows(spark.read.parquet(score_path).where(F.col("version") <= version), cfg.max_buffer)
-            first = history.agg(F.min("batch_id")).first()[0]
-            base = drift.baseline(history.where(F.col("batch_id") == first))
-            recent = history.where(F.col("batch_id") > first)
-            if drift.test(recent, base, cfg).first()["drifted"]:
-                renewed = isolation_forest.fit(training, cfg)
-                if renewed is not None:
-                    store.publish(renewed)
-        finally:
-            rows.unpersist()
+        commits = store.commits(before=batch_id)
+        buffer = store.buffered(batch, batch_id, cfg.max_buffer if commits else None)
+        if not commits:
+            write_batch(batch.withColumns({"anomaly_score": F.lit(0.0), "version": F.lit(-1).cast("bigint")}), score_path, batch_id)
+            commit(buffer, batch_id, "first training")
+            return
+        now = commits[-1]
+        scored = isolation_forest.score(batch, store.model(now["version"]), cfg)
+        write_batch(scored.withColumn("version", F.lit(now["version"]).cast("bigint")), score_path, batch_id)
+        since = spark.read.schema("host_id string, seq bigint, ts timestamp, anomaly_score double, version bigint, batch_id bigint").parquet(score_path).where(
+            (F.col("batch_id") > now["batch_id"]) & (F.col("batch_id") <= batch_id)
+        )
+        base = spark.createDataFrame([(now["n"], now["base_mean"], now["base_std"])], "n bigint, base_mean double, base_std double")
+        found = drift.test(since, base, cfg).first()
+        reasons = [f"score mean shifted {found['drift_sigma']:.1f}σ"] if found["drifted"] else []
+        if load_feedback is not None:
+            labels = feedback.fp_rate(load_feedback(), cfg.min_feedback, cfg.fp_rate_threshold).first()
+            last = max((c["batch_id"] for c in commits if "FP rate" in c["reason"]), default=None)
+            if labels["exceeded"] and (last is None or batch_id - last > 3):
+                reasons.append(f"FP rate {labels['fp_rate'] * 100:.0f}%")
+        if reasons:
+            commit(buffer, batch_id, " + ".join(reasons))
 
     return handle

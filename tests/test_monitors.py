@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hostwarden.config import Config, ResourceGuardConfig
-from hostwarden.operators import file_monitor as FM, network_monitor as N, process_monitor as P, resource_monitor as R
+from hostwarden.operators import file_monitor as FM, network_monitor as N, process_monitor as P, resource_monitor as R, scan
 from tests.conftest import SEC, T0
 
 
@@ -159,3 +159,33 @@ def test_events_of_all_monitors_have_their_own_keys_and_are_scored_once(spark):
     assert [r["ts"] for r in sorted(got, key=lambda r: r["seq"])] == sorted(r["ts"] for r in got)
     scored = score_events(events, gate=False).select("seq").collect()
     assert sorted(r["seq"] for r in scored) == sorted(r["seq"] for r in got)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_spaced_against_walk(spark, seed):
+    """One key owns most times, chunks are shorter and longer than the gap, and times stand on chunk edges."""
+    rng = random.Random(seed)
+    gap, chunk = rng.choice([(60, 50), (60, 60), (7, 100), (250, 40), (1, 10)])
+    rows = [(rng.choice(["hot"] * 5 + ["b", "c", None]), rng.choice([rng.randrange(4000), rng.randrange(40) * chunk])) for _ in range(900)]
+    df = spark.createDataFrame([(k, 7, t, "x") for k, t in rows], "name string, pid int, us bigint, chunk_name string").repartition(6)
+    want = set()
+    for key in {k for k, _ in rows}:
+        last = None
+        for t in sorted({t for k, t in rows if k == key}):
+            if last is None or t - last >= gap:
+                last = t
+                want.add((key, 7, t))
+    got = scan.spaced(df, ["name", "pid"], gap, chunk).where("name IS NOT NULL").collect()
+    assert len(got) == len(set(got)) and set(map(tuple, got)) == {w for w in want if w[0] is not None}
+
+
+def test_kill_again_after_flight(make_events):
+    """A pid that offends again after the kill's time in flight is planned again, sooner it is not."""
+    from hostwarden.config import ResourceGuardConfig
+    from hostwarden.sources import sinks
+
+    events = make_events([{"source": "resource", "kind": "cpu_abuse", "pid": pid, "name": "w", "at": at, "seq": k} for k, (pid, at) in enumerate([(1, 0), (1, 3), (1, 4.9), (1, 5), (1, 9), (1, 10.5), (2, 1), (2, 1), (1, 4000)])])
+    plan = sinks.response_plan(events, ResourceGuardConfig(action="kill"))
+    assert sorted(r["seq"] for r in plan.collect()) == [0, 3, 5, 6, 8]
+    slow = sinks.response_plan(events, ResourceGuardConfig(action="kill", kill_in_flight_sec=60))
+    assert sorted(r["seq"] for r in slow.collect()) == [0, 6, 8]

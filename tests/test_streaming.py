@@ -101,23 +101,40 @@ def test_model_store_versions(spark, tmp_path):
     assert store.current().select("tree_id").distinct().count() == 100
 
 
-def test_drift_retrains(spark, tmp_path):
-    from hostwarden.schema import FEATURES
+def test_retrain_cycle(spark, make_events, tmp_path):
+    """Small first batches wait, the baseline is that of the training rows, the window is empty after a retrain, a replay changes nothing."""
+    from hostwarden.config import AnomalyConfig
+    from hostwarden.operators import drift as D, isolation_forest as IF
 
-    def rows(start, shift):
-        return spark.range(start, start + 300).select(
+    def rows(start, n, shift):
+        return spark.range(start, start + n, numPartitions=2).select(
             F.lit("h").alias("host_id"), F.col("id").alias("seq"), F.timestamp_micros(F.lit(T0) + F.col("id") * SEC).alias("ts"),
-            *[(F.rand(int(start) + i) + shift).alias(c) for i, c in enumerate(FEATURES)],
+            *[((F.col("id") * (i + 3) * 7919 % 101) / 101 + shift).alias(c) for i, c in enumerate(FEATURES)],
         )
 
-    store = jobs.ModelStore(spark, str(tmp_path / "models"))
-    handle = jobs.drift_handler(store, str(tmp_path / "scores"))
-    handle(rows(0, 0.0), 0)
-    assert store.versions() == [0]
-    handle(rows(300, 0.0), 1)
-    assert store.versions() == [0]
-    handle(rows(600, 50.0), 2)
-    assert store.versions() == [0, 1]
+    cfg = AnomalyConfig(num_trees=20, sample_size=64, max_buffer=250, drift_window_size=100)
+    labels = spark.createDataFrame([("r", k % 2 == 0) for k in range(20)], "rule_name string, false_positive boolean")
+    wanted = []
+
+    def run(folder, load=None, replay=False):
+        store = jobs.ModelStore(spark, str(folder / "models"))
+        handle = jobs.drift_handler(store, str(folder / "scores"), cfg, load)
+        for batch_id, batch in enumerate([rows(0, 4, 0), rows(4, 300, 0), rows(304, 300, 0), rows(604, 300, 50), rows(904, 300, 50), rows(1204, 300, 50), rows(1504, 30, 50)]):
+            for _ in range(2 if replay else 1):
+                handle(batch, batch_id)
+        return store.commits(), spark.read.parquet(str(folder / "scores")).select("seq", "version", "anomaly_score").orderBy("seq").collect()
+
+    commits, scores = run(tmp_path / "a")
+    assert [(c["version"], c["batch_id"], c["n"]) for c in commits] == [(0, 1, 304), (1, 3, 250)]
+    assert commits[1]["reason"].startswith("score mean shifted")
+    assert [sorted({r["version"] for r in scores if lo <= r["seq"] < hi}) for lo, hi in ((0, 304), (304, 904), (904, 1534))] == [[-1], [0], [1]]
+    for training, commit in ((rows(0, 4, 0).unionByName(rows(4, 300, 0)), commits[0]), (rows(654, 250, 50), commits[1])):
+        want = D.baseline(IF.score(training, IF.fit(training, cfg), cfg)).first()
+        assert (commit["n"], commit["base_mean"], commit["base_std"]) == pytest.approx((want["n"], want["base_mean"], want["base_std"]))
+    again = run(tmp_path / "b", replay=True)
+    assert [tuple(c) for c in again[0]] == [tuple(c) for c in commits] and again[1] == scores
+    with_labels = run(tmp_path / "c", lambda: labels)[0]
+    assert [c["batch_id"] for c in with_labels if "FP rate 50%" in c["reason"]] == [2, 6]
 
 
 def parts(spark, frames, folder):
