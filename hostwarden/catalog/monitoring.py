@@ -154,6 +154,12 @@ add(
     sql(f"SELECT seq, pid FROM pnew WHERE NOT ({_TRUSTED}) AND scan_us >= {_LEARN}", PS),
 )
 
+add(
+    "m24_learning_gate_spawns", lambda spark, sf: P.spawn_loop_events(ps(spark, sf), Config(), F.timestamp_micros(F.lit(_LEARN))).select("seq", "pid", "child_count"),
+    # Children seen while learning do not count.
+    sql("SELECT seq, ppid AS pid, spawn_count AS child_count FROM sp WHERE spawn_count >= 10", PS, _SPAWN.replace("pnew", f"(SELECT * FROM pnew WHERE scan_us >= {_LEARN})")),
+)
+
 # --- connections --------------------------------------------------------------------
 _PORTS = ", ".join(map(str, SUSPICIOUS_PORTS))
 NET = CONN + f""",
@@ -195,6 +201,15 @@ for _id, _kind in (("m13", "port_scan"), ("m14", "suspicious_port"), ("m15", "hi
         sql(f"SELECT {_NSQL} FROM nev WHERE kind = '{_kind}'", NET),
     )
 
+add(
+    "m24_learning_gate_network", lambda spark, sf: N.events(cs(spark, sf), Config(), F.timestamp_micros(F.lit(_LEARN))).select("seq", us("ts"), "pid", "kind"),
+    sql("SELECT seq, scan_us AS us, pid, kind FROM nev", NET.replace("FROM cnt WHERE is_new", f"FROM cnt WHERE is_new AND scan_us >= {_LEARN}")),
+)
+add(
+    "m24_learning_gate_files", lambda spark, sf: FM.events(fs(spark, sf), F.timestamp_micros(F.lit(_LEARN))).select(us("ts"), "path", "new_hash"),
+    sql(f"SELECT scan_us AS us, path, hash AS new_hash FROM fmod WHERE scan_us >= {_LEARN}", FS),
+)
+
 # --- files ---------------------------------------------------------------------------
 add(
     "m17_content_hash", lambda spark, sf: spark.read.parquet(f"{sf}/pages.parquet").select("page_id", content_hash(F.col("html").cast("binary")).alias("hash")),

@@ -116,12 +116,12 @@ _RFC = "strftime(make_timestamp(us), '%Y-%m-%dT%H:%M:%SZ')"
 add(
     "r8_display_columns",
     lambda spark, sf: R.display(scored_table(spark, sf), F.timestamp_micros(F.lit(_NOW_US))).select(
-        "seq", "score_pct", "relative_time", "short_id", "clock", "severity_class", "pattern_text", F.col("has_sigma").cast("int").alias("has_sigma")
+        "seq", "score_pct", "anomaly_pct", "relative_time", "short_id", "clock", "severity_class", "pattern_text", "sigma_text", *[F.col(c).cast("int").alias(c) for c in ("has_patterns", "has_sigma")]
     ),
     piped(
-        f"SELECT seq, CAST(least(trunc(score), 100) AS INTEGER) AS score_pct, (({_NOW_US} - us) // 60000000) || 'm ago' AS relative_time, "
+        f"SELECT seq, CAST(least(trunc(score), 100) AS INTEGER) AS score_pct, 0 AS anomaly_pct, (({_NOW_US} - us) // 60000000) || 'm ago' AS relative_time, "
         "CASE WHEN strlen(entity_id) <= 30 THEN entity_id ELSE substr(entity_id, 1, 30) || '...' END AS short_id, "
-        f"{_CLOCK} AS clock, lower(severity_label) AS severity_class, replace(patterns, '|', ', ') AS pattern_text, CAST(sigma_rules <> '' AS INTEGER) AS has_sigma FROM r0"
+        f"{_CLOCK} AS clock, lower(severity_label) AS severity_class, replace(patterns, '|', ', ') AS pattern_text, replace(sigma_rules, '|', ', ') AS sigma_text, CAST(patterns <> '' AS INTEGER) AS has_patterns, CAST(sigma_rules <> '' AS INTEGER) AS has_sigma FROM r0"
     ).replace(f"(({_NOW_US} - us) // 60000000) || 'm ago'", f"CASE WHEN {_NOW_US} - us >= 3600000000 THEN (({_NOW_US} - us) // 3600000000) || 'h ago' ELSE (({_NOW_US} - us) // 60000000) || 'm ago' END"),
 )
 add(
@@ -132,13 +132,28 @@ add(
         "|| CASE WHEN multiplier > 1 THEN ' mult=' || printf('%.1f', multiplier) || 'x' ELSE '' END AS value FROM r0"
     ),
 )
+_DETAILS = {  # detail column: its name in the derived telemetry
+    "pid": "pid", "name": "name", "exe": "exe", "remote_addr": "remote_addr", "remote_port": "remote_port", "count": "cnt", "unique_ports": "unique_ports", "child_count": "child_count", "path": "path",
+    "prev_hash": "prev_hash", "new_hash": "new_hash", "prev_size": "prev_size", "new_size": "new_size", "cpu_pct": "cpu_pct", "memory_mb": "memory_mb",
+}
+_JSON_LISTS = "CASE WHEN patterns <> '' THEN to_json(string_split(patterns, '|'))::VARCHAR ELSE '[]' END AS patterns, CASE WHEN sigma_rules <> '' THEN to_json(string_split(sigma_rules, '|'))::VARCHAR ELSE '[]' END AS sigma_rules"
+_INTEL_TEXT = "CAST(i_score AS VARCHAR) AS abuse_score, i_country AS geo_country, i_city AS geo_city, CASE WHEN i_pulses IS NOT NULL THEN CAST(i_pulses AS VARCHAR) END AS pulses, CASE WHEN strlen(new_hash) = 64 THEN CASE WHEN i_malware THEN 'true' ELSE 'false' END END AS known_malware"
+#: What the intel providers say about every event.
+SAID = f"said AS (SELECT e.seq, CASE WHEN e.us < a.expires THEN a.abuse_score END AS i_score, g.country_code AS i_country, g.city AS i_city, CASE WHEN e.us < o.expires THEN o.pulse_count END AS i_pulses, m.sha256 IS NOT NULL AS i_malware FROM corr e {INTEL_JOIN})"
 add(
     "k2_webhook_payloads",
     lambda spark, sf: K.webhook_payloads(scored_table(spark, sf)).select(
-        "seq", *[F.get_json_object("payload", f"$.{c}").alias(c) for c in ("timestamp", "severity", "entity_id", "message")],
-        F.get_json_object("payload", "$.details.pid").cast("int").alias("pid"), F.get_json_object("payload", "$.score").cast("double").alias("score"),
+        "seq", *[F.get_json_object("payload", f"$.{c}").alias(c) for c in ("timestamp", "severity", "source", "kind", "entity_id", "message", "patterns", "sigma_rules")],
+        *[F.get_json_object("payload", f"$.{c}").cast("double").alias(c) for c in ("score", "anomaly_score", "multiplier")],
+        *[F.get_json_object("payload", f"$.details.{c}").alias(f"d_{c}") for c in _DETAILS if c != "cpu_pct"], F.get_json_object("payload", "$.details.cpu_pct").cast("double").alias("d_cpu_pct"),
+        F.get_json_object("payload", "$.threat_intel.abuseipdb.abuse_score").alias("abuse_score"), F.get_json_object("payload", "$.threat_intel.geoip.country_code").alias("geo_country"),
+        F.get_json_object("payload", "$.threat_intel.geoip.city").alias("geo_city"), F.get_json_object("payload", "$.threat_intel.otx.pulse_count").alias("pulses"),
+        F.get_json_object("payload", "$.threat_intel.malware_check.known_malware").alias("known_malware"),
+    ),
+    piped(
+        f"SELECT seq, {_RFC} AS timestamp, severity_label AS severity, source, kind, entity_id, message, {_JSON_LISTS}, round(score, 6) AS score, 0.0::DOUBLE AS anomaly_score, coalesce(multiplier, 0)::DOUBLE AS multiplier, "
+        + ", ".join(f"CAST({old} AS {'DOUBLE' if new == 'cpu_pct' else 'VARCHAR'}) AS d_{new}" for new, old in _DETAILS.items()) + f", {_INTEL_TEXT} FROM r0 JOIN said USING (seq) WHERE severity >= 2", SAID
     ),
-    piped(f"SELECT seq, {_RFC} AS timestamp, severity_label AS severity, entity_id, message, pid, round(score, 6) AS score FROM r0 WHERE severity >= 2"),
 )
 add(
     "k3_notifications", lambda spark, sf: K.notifications(scored_table(spark, sf)).select("seq", "title", "body", "urgency"),
@@ -151,9 +166,13 @@ add(
 add(
     "k4_live_feed",
     lambda spark, sf: K.feed(scored_table(spark, sf)).select(
-        "seq", *[F.get_json_object("data", f"$.{c}").alias(c) for c in ("time", "severity", "label", "entity", "country")], F.get_json_object("data", "$.score").cast("double").alias("score")
+        "seq", *[F.get_json_object("data", f"$.{c}").alias(c) for c in ("time", "severity", "label", "source", "message", "entity", "patterns", "sigma_rules", "country")],
+        *[F.get_json_object("data", f"$.{c}").cast("double").alias(c) for c in ("score", "anomaly_score", "multiplier")],
+    ),
+    piped(
+        f"SELECT seq, {_CLOCK} AS time, lower(severity_label) AS severity, severity_label AS label, source, message, entity_id AS entity, {_JSON_LISTS}, nullif(country, '') AS country, "
+        "round(score, 6) AS score, 0.0::DOUBLE AS anomaly_score, coalesce(multiplier, 0)::DOUBLE AS multiplier FROM r0"
     ),
-    piped(f"SELECT seq, {_CLOCK} AS time, lower(severity_label) AS severity, severity_label AS label, entity_id AS entity, nullif(country, '') AS country, round(score, 6) AS score FROM r0"),
 )
 add(
     "k9_console_lines", lambda spark, sf: K.console_lines(scored_table(spark, sf)),
