@@ -152,26 +152,37 @@ add(
     with_ev(f"SELECT round(abs(r - m) / s, 6) AS sigma FROM bs, {_RECENT}", SC),
 )
 CHECKS = """
-rk AS (SELECT *, row_number() OVER (ORDER BY us, seq) AS rank FROM sc),
+rk AS (SELECT *, row_number() OVER w AS rank, sum(v) OVER w AS s1, sum(v * v) OVER w AS s2 FROM sc WINDOW w AS (ORDER BY us, seq ROWS UNBOUNDED PRECEDING)),
 ck AS (SELECT us // 300000000 + 1 AS check_no, max(rank) AS last_rank FROM rk GROUP BY ALL),
-cm AS (SELECT check_no, (SELECT avg(v) FROM rk WHERE rank <= last_rank AND rank > last_rank - 200) AS r FROM ck),
 grid AS (SELECT unnest(range((SELECT min(check_no) FROM ck), (SELECT max(check_no) FROM ck) + 1)) AS check_no),
-cl AS (SELECT g.check_no, (SELECT arg_max(r, c.check_no) FROM cm c WHERE c.check_no <= g.check_no) AS r, (SELECT count(*) FROM fbk f WHERE f.us < g.check_no * 300000000) AS labels,
+cl AS (SELECT g.check_no, (SELECT max(last_rank) FROM ck c WHERE c.check_no <= g.check_no) AS rank, (SELECT count(*) FROM fbk f WHERE f.us < g.check_no * 300000000) AS labels,
          (SELECT count(*) FILTER (fp) FROM fbk f WHERE f.us < g.check_no * 300000000) AS fps FROM grid g),
-cf AS (SELECT check_no, abs(r - m) / s AS sigma, abs(r - m) > 2 * s AS drifted, CASE WHEN labels > 0 THEN fps / labels::DOUBLE ELSE 0 END AS fp_rate, labels >= 10 AND fps / labels::DOUBLE > 0.3 AS fp_high,
-         row_number() OVER (ORDER BY check_no) AS rn FROM cl, bs),
-fold AS (SELECT rn, check_no, fp_high AS due, CASE WHEN fp_high THEN check_no END AS last_no FROM cf WHERE rn = 1
-         UNION ALL SELECT c.rn, c.check_no, c.fp_high AND (f.last_no IS NULL OR c.check_no - f.last_no > 3), CASE WHEN c.fp_high AND (f.last_no IS NULL OR c.check_no - f.last_no > 3) THEN c.check_no ELSE f.last_no END
-         FROM fold f JOIN cf c ON c.rn = f.rn + 1)"""
+cf AS (SELECT c.check_no, c.rank, r.s1, r.s2, coalesce(w.s1, 0) AS w1, coalesce(b.s1, 0) AS b1, coalesce(b.s2, 0) AS b2, CASE WHEN labels > 0 THEN fps / labels::DOUBLE ELSE 0 END AS fp_rate,
+         labels >= 10 AND fps / labels::DOUBLE > 0.3 AS fp_high, row_number() OVER (ORDER BY c.check_no) AS rn
+       FROM cl c JOIN rk r ON r.rank = c.rank LEFT JOIN rk w ON w.rank = c.rank - 200 LEFT JOIN rk b ON b.rank = c.rank - 1000),
+fold AS (SELECT 0::BIGINT AS rn, 0::BIGINT AS check_no, m::DOUBLE AS m, s::DOUBLE AS s, 0::BIGINT AS since, 0::DOUBLE AS since_sum, NULL::BIGINT AS last_no, 0::DOUBLE AS sigma, false AS drifted, false AS due, 0::DOUBLE AS fp_rate FROM bs
+  UNION ALL
+  SELECT rn, check_no, CASE WHEN renewed THEN (s1 - b1) / least(rank, 1000) ELSE m END, CASE WHEN renewed THEN sqrt(greatest((s2 - b2) / least(rank, 1000) - pow((s1 - b1) / least(rank, 1000), 2), 0)) ELSE s END,
+    CASE WHEN renewed THEN rank ELSE since END, CASE WHEN renewed THEN s1 ELSE since_sum END, CASE WHEN due THEN check_no ELSE last_no END, sigma, drifted, due, fp_rate
+  FROM (SELECT *, (drifted OR due) AND rank >= 10 AS renewed FROM (SELECT *, sigma > 2 AS drifted, fp_high AND (last_no IS NULL OR check_no - last_no > 3) AS due FROM (
+    SELECT c.*, f.m, f.s, f.since, f.since_sum, f.last_no,
+      CASE WHEN f.s <> 0 AND c.rank > f.since THEN abs((c.s1 - CASE WHEN c.rank - 200 >= f.since THEN c.w1 ELSE f.since_sum END) / least(c.rank - f.since, 200) - f.m) / f.s ELSE 0 END AS sigma
+    FROM fold f JOIN cf c ON c.rn = f.rn + 1))))"""
+
+
+def decisions(spark, sf):
+    return D.retrain_decisions(D.checks(scores(spark, sf), T.feedback(ev(spark, sf)), CFG), base(spark, sf), CFG)
+
+
 add(
     "a19_retrain_decisions",
-    lambda spark, sf: D.retrain_decisions(D.checks(scores(spark, sf), T.feedback(ev(spark, sf)), base(spark, sf), CFG), CFG).select(
+    lambda spark, sf: decisions(spark, sf).select(
         us("check_ts"), r6("drift_sigma", "sigma"), r6("fp_rate", "fp_rate"), F.col("drifted").cast("int").alias("drifted"), F.col("fp_due").cast("int").alias("fp_due"), "reason"
     ),
     with_ev(
         "SELECT check_no * 300000000 AS us, round(sigma, 6) AS sigma, round(fp_rate, 6) AS fp_rate, CAST(drifted AS INTEGER) AS drifted, CAST(due AS INTEGER) AS fp_due, "
         "concat_ws(' + ', CASE WHEN drifted THEN 'score mean shifted ' || printf('%.1f', sigma) || 'σ' END, CASE WHEN due THEN 'FP rate ' || printf('%.0f', fp_rate * 100) || '%' END) AS reason "
-        "FROM cf JOIN fold USING (rn, check_no) WHERE drifted OR due", SC, FEEDBACK, CHECKS,
+        "FROM fold WHERE drifted OR due", SC, FEEDBACK, CHECKS,
     ).replace("WITH ", "WITH RECURSIVE ", 1),
 )
 add(

@@ -166,11 +166,43 @@ def test_drift(spark):
     assert D.test(table([0.9] * 5), D.baseline(table([0.5] * 9))).first()["drift_sigma"] == 0.0
 
 
-def test_retrain_cooldown(spark):
-    rows = [("h", None, n, 0.0, False, 0.5, True) for n in range(1, 11)]
-    checks = spark.createDataFrame(rows, "host_id string, check_ts timestamp, check_no bigint, drift_sigma double, drifted boolean, fp_rate double, fp_high boolean")
-    got = D.retrain_decisions(checks.withColumn("check_ts", F.timestamp_micros(F.col("check_no") * 300 * SEC))).orderBy("check_ts").collect()
-    assert [r["check_ts"].minute for r in got] == [5, 25, 45] and got[0]["reason"] == "FP rate 50%"
+def test_retrain_decisions_against_loop(spark):
+    """Windows and baselines with plain lists: after a decision the window is empty and the last scores are the baseline."""
+    rng = random.Random(6)
+    cfg = AnomalyConfig(drift_window_size=20, max_buffer=50, drift_threshold=1.5)
+    scores, labels, clock = [], [], 0
+    for k in range(600):
+        clock += rng.choice([1, 20, 20, 400])
+        scores.append((clock, 0.3 + 0.02 * rng.random() + (0.2 if k % 200 > 120 else 0.0)))
+        if 200 < k < 500:
+            labels.append((clock, k % 2 == 0))
+    table = spark.createDataFrame([("h", k, T0 + t * SEC, v) for k, (t, v) in enumerate(scores)], "host_id string, seq bigint, us bigint, anomaly_score double").withColumn("ts", F.timestamp_micros("us"))
+    marks = spark.createDataFrame([(T0 + t * SEC, fp) for t, fp in labels], "us bigint, false_positive boolean").withColumn("ts", F.timestamp_micros("us"))
+    start = table.where("seq < 50")
+    got = D.retrain_decisions(D.checks(table, marks, cfg), D.baseline(start), cfg).orderBy("check_ts").collect()
+
+    def stats(values):
+        mean = sum(values) / len(values)
+        return mean, (sum((v - mean) ** 2 for v in values) / len(values)) ** 0.5
+
+    (mean, std), since, last, want = stats([v for _, v in scores[:50]]), 0, None, []
+    grid = 300
+    begin = T0 // SEC
+    for number in range((begin + scores[0][0]) // grid + 1, (begin + scores[-1][0]) // grid + 2):
+        seen = [v for t, v in scores if begin + t < number * grid]
+        window = seen[max(since, len(seen) - 20):]
+        sigma = abs(sum(window) / len(window) - mean) / std if window and std else 0.0
+        fps = [fp for t, fp in labels if begin + t < number * grid]
+        due = len(fps) >= 10 and sum(fps) / len(fps) > 0.3 and (last is None or number - last > 3)
+        last = number if due else last
+        if sigma > 1.5 or due:
+            want.append((number * grid, round(sigma, 6), sigma > 1.5, due))
+            (mean, std), since = stats(seen[-50:]), len(seen)
+    assert [(int(r["check_ts"].timestamp()), round(r["drift_sigma"], 6), r["drifted"], r["fp_due"]) for r in got] == want
+    assert {(d, f) for _, _, d, f in want} >= {(True, False), (False, True)}
+    # Silent after a decision until the scores move again.
+    drifts = [n for n, _, d, _ in want if d]
+    assert len(drifts) < 20
 
 
 def test_narrowest_range_and_ipv6(spark):
