@@ -6,17 +6,19 @@ Rows without an address get a spread-out key that matches nothing, so nulls do n
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Mapping
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hostwarden.functions import expr as X
+from hostwarden.operators import scan
 from hostwarden.session import stage
 
 # fixed values: countries that add risk
 HIGH_RISK_COUNTRIES = ("KP", "IR", "RU", "CN", "SY", "CU", "VE")
 V4_PREFIX = "00000000000000000000ffff"
-_HEX_UP, _HEX_DOWN = "0123456789abcdef", "fedcba9876543210"
 
 
 def _let(value: Column, body) -> Column:
@@ -67,30 +69,81 @@ def flatten_pulses(raw: DataFrame) -> DataFrame:
     )
 
 
+_SEGMENT = "lo string, hi string, country_code string, country string, city string"
+#: Ranges that one task sweeps, and the most tasks whose borders the driver holds.
+_SWEEP_ROWS, _SWEEP_PARTS = 50_000, 1024
+#: Hex digits that name a block of 65,536 addresses.
+_BLOCK_DIGITS = 28
+
+
+def _sweep(rows: pd.DataFrame, begin: int, end: int) -> list[tuple]:
+    """Disjoint segments of ``[begin, end)`` with the narrowest of the ranges over each; of equal widths the later start, then by content."""
+    content = ["country_code", "country", "city"]
+    spans = [(int(lo, 16), int(hi, 16), tuple("" if pd.isna(v) else v for v in rest), k) for k, (lo, hi, *rest) in enumerate(rows[["lo", "hi", *content]].itertuples(index=False))]
+    points = sorted({max(lo, begin) for lo, *_ in spans} | {min(hi + 1, end) for _, hi, *_ in spans})
+    spans.sort()
+    heap: list[tuple] = []
+    at, out = 0, []
+    for point, following in zip(points, points[1:]):
+        while at < len(spans) and max(spans[at][0], begin) <= point:
+            lo, hi, rest, k = spans[at]
+            heapq.heappush(heap, (hi - lo, -lo, rest, k, hi))
+            at += 1
+        while heap and heap[0][4] < point:
+            heapq.heappop(heap)
+        if not heap:
+            continue
+        owner = heap[0][3]
+        if out and out[-1][2] == owner and out[-1][1] == point - 1:
+            out[-1] = (out[-1][0], following - 1, owner)
+        else:
+            out.append((point, following - 1, owner))
+    return out
+
+
+def segments(ranges: DataFrame) -> DataFrame:
+    """Ranges that may nest and overlap, as disjoint segments ``lo, hi`` (hex keys) with the narrowest range over each.
+
+    The key space is cut into parts of about equally many range starts; each part sweeps the ranges over it, once in order,
+    so a range over many others costs one row a part. Bad addresses and ends before starts give no segment.
+    """
+    keyed = ranges.select(ip_key(F.col("ip_from")).alias("lo"), ip_key(F.col("ip_to")).alias("hi"), "country_code", "country", "city").where("lo <= hi")
+    keyed = stage(keyed, "ranges")
+    count = keyed.count()
+    parts = min(max(-(-count // _SWEEP_ROWS), 1), _SWEEP_PARTS)
+    borders: list[str] = []
+    if parts > 1:
+        sample = sorted(r["lo"] for r in keyed.select("lo").sample(min(1.0, 100.0 * parts / count), 7).collect())
+        borders = sorted({sample[k * len(sample) // parts] for k in range(1, parts)}) if sample else []
+    edges = [0, *(int(b, 16) for b in borders), 1 << 128]
+
+    def part_of(key: str) -> Column:
+        return F.size(F.filter(F.array(*[F.lit(b) for b in borders]).cast("array<string>"), lambda b: b <= F.col(key)))
+
+    def swept(group: pd.DataFrame) -> pd.DataFrame:
+        part = int(group["part"].iat[0])
+        found = _sweep(group, edges[part], edges[part + 1])
+        owners = group.iloc[[k for *_, k in found]][["country_code", "country", "city"]].reset_index(drop=True)
+        return owners.assign(lo=[f"{lo:032x}" for lo, _, _ in found], hi=[f"{hi:032x}" for _, hi, _ in found])[["lo", "hi", "country_code", "country", "city"]]
+
+    placed = keyed.select("*", F.explode(F.sequence(part_of("lo"), part_of("hi"))).alias("part"))
+    return placed.groupBy("part").applyInPandas(swept, _SEGMENT)
+
+
 def geo_lookup(addresses: DataFrame, ranges: DataFrame) -> DataFrame:
     """Narrowest range containing each address (``ip``).
 
-    Every range is filed under the hex prefix its two ends share; an address probes one prefix per
-    length in use (at most 33). An equi-join, with no range exploded into pieces. The prepared range table
-    is staged: it is reference data, read once here and joined per query.
+    The ranges become disjoint segments, so an address has at most one: the last that starts at or before it. Addresses and segment starts
+    are merged in key order by blocks of 65,536 keys, each block knowing the last start before it.
     """
-    keyed = ranges.select(
-        ip_key(F.col("ip_from")).alias("lo"), ip_key(F.col("ip_to")).alias("hi"), "country_code", "country", "city"
-    )
-    # Longest common prefix: the greedy group that the second address also starts with.
-    keyed = keyed.withColumn("prefix", F.regexp_extract(F.concat("lo", F.lit("-"), "hi"), r"^([0-9a-f]*)[0-9a-f]*-\1", 1))
-    keyed = stage(keyed.withColumn("plen", F.length("prefix")), "ranges")
-    lengths = sorted(row[0] for row in keyed.where("plen is not null").select("plen").distinct().collect())
-    if not lengths:
-        lengths = [32]
-    probes = addresses.select("ip", ip_key(F.col("ip")).alias("k")).select(
-        "ip", "k", F.explode(F.array(*[F.lit(n) for n in lengths])).alias("plen")
-    ).withColumn("prefix", F.substring(F.col("k"), F.lit(1), F.col("plen")))
-    hits = probes.join(keyed, ["plen", "prefix"]).where(F.col("k").between(F.col("lo"), F.col("hi")))
-    tightest = F.struct(F.col("lo"), F.translate("hi", _HEX_UP, _HEX_DOWN))
-    best = F.max_by(F.struct("country_code", "country", "city"), tightest).alias("g")
-    return hits.groupBy("ip").agg(best).select(
-        "ip", "g.*", F.col("g.country_code").isin(*HIGH_RISK_COUNTRIES).alias("high_risk_country")
+    starts = stage(segments(ranges), "segments")
+    wanted = addresses.select("ip", ip_key(F.col("ip")).alias("k")).where("k IS NOT NULL")
+    segment = F.struct("lo", "hi", "country_code", "country", "city")
+    rows = starts.select(F.col("lo").alias("k"), F.lit(0).alias("is_ip"), segment.alias("start")).unionByName(wanted.select("k", F.lit(1).alias("is_ip"), "ip"), allowMissingColumns=True)
+    rows = rows.withColumns({"all": F.lit(0), "block": F.substring("k", 1, _BLOCK_DIGITS)})
+    merged = scan.running(rows, ["all"], ["k", "is_ip"], "block", maxs={"g": F.col("start")})
+    return merged.where((F.col("is_ip") == 1) & (F.col("k") <= F.col("g.hi"))).select(
+        "ip", "g.country_code", "g.country", "g.city", F.col("g.country_code").isin(*HIGH_RISK_COUNTRIES).alias("high_risk_country")
     )
 
 

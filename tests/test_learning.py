@@ -215,6 +215,30 @@ def test_narrowest_range_and_ipv6(spark):
     assert got == {"10.1.0.7": ("B", False), "10.1.0.64": ("A", False), "2001:db8::12": ("RU", True), "9.9.9.9": ("D", False)}
 
 
+@pytest.mark.parametrize("rows_each", [50_000, 7])
+def test_narrowest_of_overlapping_ranges(spark, monkeypatch, rows_each):
+    """Nested, crossing, equal and touching ranges, most of them over one block; one part and many give the same."""
+    monkeypatch.setattr(I, "_SWEEP_ROWS", rows_each)
+    rng = random.Random(8)
+    text = lambda n: ".".join(str(n >> s & 255) for s in (24, 16, 8, 0))
+    base = 10 << 24
+    spans = [(0, (1 << 32) - 1), (base, base + 99_999), (base + 5, base + 5), (base + 6, base + 6)]
+    for _ in range(120):
+        lo = base + rng.randrange(3000) * rng.choice([1, 1, 1, 20])
+        spans.append((lo, lo + rng.choice([0, 1, 5, 40, 400, 3000])))
+    spans += spans[5:9]
+    ranges = spark.createDataFrame([(text(lo), text(hi), f"C{k % 50}", "", f"city {k}") for k, (lo, hi) in enumerate(spans)] + [("9.9.9.9", "9.9.9.1", "X", "", ""), ("bad", "9.9.9.9", "X", "", "")], "ip_from string, ip_to string, country_code string, country string, city string")
+    points = {p for _ in range(250) for k in (0, 1) for d in (-1, 0, 1) if 0 <= (p := rng.choice(spans)[k] + d) < 1 << 32} | {base + k for k in range(300)}
+    found = {r["ip"]: (r["country_code"], r["city"]) for r in I.geo_lookup(spark.createDataFrame([(text(p),) for p in points] + [("none",), ("::2",)], "ip string"), ranges).collect()}
+    want = {}
+    for p in points:
+        over = [(hi - lo, -lo, f"C{k % 50}", "", f"city {k}") for k, (lo, hi) in enumerate(spans) if lo <= p <= hi]
+        want[text(p)] = min(over)[2::2]
+    assert found == want
+    pieces = [(r["lo"], r["hi"]) for r in I.segments(ranges).orderBy("lo").collect()]
+    assert all(a[1] < b[0] for a, b in zip(pieces, pieces[1:])) and len(pieces) <= 2 * len(spans) + 40
+
+
 def test_enrichment_scores(spark, make_events):
     bad = "ab" * 32
     events = make_events([
