@@ -205,8 +205,7 @@ _NODES = "nodes AS (SELECT entity_id, max(us) AS us FROM ge GROUP BY entity_id)"
 ))
 def _prune(spark, sf):
     events = scored(spark, sf)
-    live = G.prune_nodes(G.nodes(events, "heuristic_score"), F.timestamp_micros(F.lit(_PRUNE_AT)))
-    return G.prune_edges(G.same_pid_edges(events), live).select("from_id", "to_id").distinct()
+    return G.live_edges(events, F.timestamp_micros(F.lit(_PRUNE_AT)), "heuristic_score").select("from_id", "to_id").distinct()
 
 
 # The walk starts from one entity, as a report request does: the first spawning process by name.
@@ -224,7 +223,7 @@ _STARTS = "entity_id = (SELECT min(entity_id) FROM ge WHERE entity_id LIKE 'proc
 def _related_to(spark, sf):
     events = scored(spark, sf)
     starts = events.where(F.col("entity_id").startswith("proc:spawn:")).groupBy("host_id").agg(F.min("entity_id").alias("entity_id"))
-    return G.related_to(G.same_pid_edges(events), G.nodes(events, "heuristic_score"), starts).select("start_id", "entity_id", "hop")
+    return G.related_to(events, G.nodes(events, "heuristic_score"), starts).select("start_id", "entity_id", "hop")
 
 
 @query("c15_pid_snapshot", with_scored(
@@ -233,7 +232,7 @@ def _related_to(spark, sf):
 ))
 def _pid_snapshot(spark, sf):
     events = scored(spark, sf)
-    _, edges = G.for_pid(G.nodes(events, "heuristic_score"), G.pid_members(events), G.same_pid_edges(events), 7)
+    _, edges = G.for_pid(events, 7, "heuristic_score")
     return edges.groupBy("from_id", "to_id").agg(F.count(F.lit(1)).alias("edges"))
 
 

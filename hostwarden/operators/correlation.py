@@ -234,12 +234,17 @@ def correlations(
     )
 
 
-def related_pairs(events: DataFrame, cfg: CorrelatorConfig = CorrelatorConfig()) -> DataFrame:
+def related_pairs(events: DataFrame, cfg: CorrelatorConfig = CorrelatorConfig(), near: DataFrame | None = None) -> DataFrame:
     """One row per (event, related entity): same pid, other entity, live within the window.
 
     An interval join on window-wide buckets; every matching pair is an output row, there is no
-    intermediate larger than about twice the result.
+    intermediate larger than about twice the result. With ``near(host_id, entity_id)`` only pairs with an end among these
+    entities are built, from events of the pids that touched one of them.
     """
+    if near is not None:
+        near = near.select("host_id", "entity_id").distinct()
+        reached = events.where(has_pid()).join(near, ["host_id", "entity_id"], "left_semi").select("host_id", "pid").distinct()
+        events = events.join(reached, ["host_id", "pid"], "left_semi")
     width, window = _slice_us(cfg), cfg.time_window_sec * SEC
     narrow = _keyed(events, cfg).select("host_id", "pid", "seq", "_us", "_slice", "entity_id")
     # Rows early in a slice are also visible to the slice before, as possible replacements.
@@ -263,7 +268,14 @@ def related_pairs(events: DataFrame, cfg: CorrelatorConfig = CorrelatorConfig())
         (F.col("entity_id") != F.col("related_id")) & (there < here)
         & (F.col("n_us") > F.col("_us") - window) & (F.col("_next").isNull() | (here < F.col("_next")))
     )
-    return probes.join(spans, ["host_id", "pid", "_bucket"]).where(live).select(
+    if near is None:
+        joined = probes.join(spans, ["host_id", "pid", "_bucket"])
+    else:
+        ends = near.withColumnRenamed("entity_id", "related_id")
+        joined = probes.join(near, ["host_id", "entity_id"], "left_semi").join(spans, ["host_id", "pid", "_bucket"]).unionByName(
+            probes.join(near, ["host_id", "entity_id"], "left_anti").join(spans.join(ends, ["host_id", "related_id"], "left_semi"), ["host_id", "pid", "_bucket"])
+        )
+    return joined.where(live).select(
         "host_id", "pid", "seq", F.timestamp_micros("_us").alias("ts"), "entity_id", "related_id"
     )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
 from hostwarden.config import CorrelatorConfig
@@ -25,20 +27,20 @@ def pid_members(events: DataFrame) -> DataFrame:
     return events.where(has_pid()).select("host_id", "pid", "entity_id").distinct()
 
 
-def same_pid_edges(events: DataFrame, cfg: CorrelatorConfig = CorrelatorConfig()) -> DataFrame:
-    """An edge from each event's entity to every related entity."""
-    return related_pairs(events, cfg).select(
+def same_pid_edges(events: DataFrame, cfg: CorrelatorConfig = CorrelatorConfig(), near: DataFrame | None = None) -> DataFrame:
+    """An edge from each event's entity to every related entity; only those with an end in ``near(host_id, entity_id)`` if given."""
+    return related_pairs(events, cfg, near).select(
         "host_id", "pid", "seq", F.col("entity_id").alias("from_id"), F.col("related_id").alias("to_id"),
         F.lit("same_pid").alias("kind"), F.lit("").alias("pattern"), F.col("ts").alias("created"),
     )
 
 
-def pattern_edges(events: DataFrame, correlated: DataFrame, cfg: CorrelatorConfig = CorrelatorConfig()) -> DataFrame:
+def pattern_edges(events: DataFrame, correlated: DataFrame, cfg: CorrelatorConfig = CorrelatorConfig(), near: DataFrame | None = None) -> DataFrame:
     """One more edge per matched pattern, for events whose patterns are known."""
     matched = correlated.where(F.size("patterns") > 0).select(
         "host_id", "seq", F.explode("patterns").alias("_pattern")
     )
-    edges = same_pid_edges(events, cfg)
+    edges = same_pid_edges(events, cfg, near)
     return edges.join(matched, ["host_id", "seq"]).select(
         "host_id", "pid", "seq", "from_id", "to_id", F.lit("pattern").alias("kind"),
         F.col("_pattern").alias("pattern"), "created",
@@ -59,22 +61,33 @@ def prune_edges(edges: DataFrame, live_nodes: DataFrame) -> DataFrame:
     return out.select(*edges.columns)
 
 
-def related_to(edges: DataFrame, node_table: DataFrame, starts: DataFrame, hops: int = 3) -> DataFrame:
-    """Entities within ``hops`` undirected steps of each start (``host_id, entity_id``), with their distance.
+def live_edges(events: DataFrame, now, score_col: str = "score", cfg: CorrelatorConfig = CorrelatorConfig()) -> DataFrame:
+    """As ``prune_edges`` of all edges: whether an entity is live does not depend on edges, so only events of live entities are paired."""
+    live = prune_nodes(nodes(events, score_col), now, cfg.retention_sec)
+    return same_pid_edges(events.join(live, NODE_KEY, "left_semi").select(*events.columns), cfg)
+
+
+def related_to(events: DataFrame, node_table: DataFrame, starts: DataFrame, hops: int = 3, cfg: CorrelatorConfig = CorrelatorConfig()) -> DataFrame:
+    """Entities within ``hops`` undirected same-pid steps of each start (``host_id, entity_id``), with their distance.
 
-    Entities without a node are walked through but not returned. ``temporal`` edges are accepted like
-    any other. Each hop joins the new frontier to the distinct neighbour pairs; both are staged, because
-    the next hop reads them twice.
+    Edges are built hop by hop, only around the entities just reached. Entities without a node are walked through but not returned.
     """
-    pairs = edges.select("host_id", F.col("from_id").alias("a"), F.col("to_id").alias("b"))
-    both = stage(
-        pairs.unionByName(pairs.select("host_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "neighbours"
-    )
+    return _walk(lambda frontier: same_pid_edges(events, cfg, frontier), node_table, starts, hops)
+
+
+def related_by(edges: DataFrame, node_table: DataFrame, starts: DataFrame, hops: int = 3) -> DataFrame:
+    """The same over an edge table that is there already; edges of any kind are accepted."""
+    return _walk(lambda frontier: edges, node_table, starts, hops)
+
+
+def _walk(edges_near: Callable[[DataFrame], DataFrame], node_table: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
     visited = stage(
         starts.select("host_id", F.col("entity_id").alias("start_id"), "entity_id", F.lit(0).alias("hop")), "starts"
     )
     frontier = visited
     for hop in range(1, hops + 1):
+        pairs = edges_near(frontier).select("host_id", F.col("from_id").alias("a"), F.col("to_id").alias("b")).distinct()
+        both = pairs.unionByName(pairs.select("host_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
         step = frontier.select("host_id", "start_id", F.col("entity_id").alias("a")).join(both, ["host_id", "a"])
         frontier = stage(
             step.select("host_id", "start_id", F.col("b").alias("entity_id")).distinct()
@@ -85,14 +98,16 @@ def related_to(edges: DataFrame, node_table: DataFrame, starts: DataFrame, hops:
     return visited.where(F.col("hop") > 0).join(node_table.select(*NODE_KEY), NODE_KEY, "left_semi")
 
 
-def for_pid(node_table: DataFrame, members: DataFrame, edges: DataFrame, pid: int) -> tuple[DataFrame, DataFrame]:
-    """Nodes of one pid, and the edges with either end among them."""
-    ids = members.where(F.col("pid") == pid).select("host_id", "entity_id")
-    own = node_table.join(ids, NODE_KEY, "left_semi")
-    from_side = ids.select("host_id", F.col("entity_id").alias("from_id"), F.lit(True).alias("_from"))
-    to_side = ids.select("host_id", F.col("entity_id").alias("to_id"), F.lit(True).alias("_to"))
-    touched = (
-        edges.join(from_side, ["host_id", "from_id"], "left").join(to_side, ["host_id", "to_id"], "left")
-        .where(F.col("_from") | F.col("_to")).select(*edges.columns)
-    )
-    return own, touched
+def for_pid(
+    events: DataFrame, pid: int, score_col: str = "score", correlated: DataFrame | None = None, cfg: CorrelatorConfig = CorrelatorConfig(),
+) -> tuple[DataFrame, DataFrame]:
+    """Nodes of one pid, and the edges with either end among them; pattern edges too where ``correlated`` is given.
+
+    The pid's entities come first; nodes and edges are built around them alone.
+    """
+    ids = stage(pid_members(events).where(F.col("pid") == pid).select("host_id", "entity_id"), "pid-entities")
+    own = nodes(events.join(ids, NODE_KEY, "left_semi").select(*events.columns), score_col)
+    edges = same_pid_edges(events, cfg, ids)
+    if correlated is not None:
+        edges = edges.unionByName(pattern_edges(events, correlated, cfg, ids))
+    return own, edges

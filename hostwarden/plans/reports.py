@@ -51,8 +51,7 @@ def status(
 
 def correlation_report(events: DataFrame, correlated: DataFrame, pid: int, score_col: str = "score") -> tuple[DataFrame, DataFrame]:
     """Nodes and edges around one process."""
-    edges = graph.same_pid_edges(events).unionByName(graph.pattern_edges(events, correlated))
-    return graph.for_pid(graph.nodes(events, score_col), graph.pid_members(events), edges, pid)
+    return graph.for_pid(events, pid, score_col, correlated)
 
 
 def feedback_stats(feedback: DataFrame) -> DataFrame:

@@ -150,7 +150,7 @@ def test_bfs_stops_after_three_hops(spark):
     edges = spark.createDataFrame([("h", a, b) for a, b in ("ab", "bc", "cd", "de")], "host_id string, from_id string, to_id string")
     nodes = spark.createDataFrame([("h", x) for x in "abde"], "host_id string, entity_id string")
     start = spark.createDataFrame([("h", "a")], "host_id string, entity_id string")
-    got = {(r["entity_id"], r["hop"]) for r in G.related_to(edges, nodes, start).collect()}
+    got = {(r["entity_id"], r["hop"]) for r in G.related_by(edges, nodes, start).collect()}
     assert got == {("b", 1), ("d", 3)}  # c has no node: walked through, not returned
 
 
@@ -170,3 +170,24 @@ def test_feedback_weights(spark):
     assert got == {"a": 100.0, "b": 25.0, "none": 50.0, "c": 36.0}
     rate = B.fp_rate(labels).first()
     assert (rate["labels"], rate["false_positives"], rate["exceeded"]) == (25, 7, False)
+
+
+def test_edges_around_entities(spark, make_events):
+    """Edges built around some entities are those of all edges that end there; a walk from one process leaves the others alone."""
+    rng = random.Random(12)
+    rows = [{"seq": k, "at": rng.randrange(900), "pid": 1 + k % 12, "entity_id": f"e{1 + k % 12}.{rng.randrange(6)}" if k % 12 else f"e{rng.choice([1, 2])}.0", "source": "process"} for k in range(600)]
+    events = make_events(rows)
+    whole = G.same_pid_edges(events)
+    for names in (["e1.0"], ["e3.1", "e3.2", "e7.0"], ["nothing"]):
+        near = spark.createDataFrame([("h", n) for n in names], "host_id string, entity_id string")
+        want = whole.where(F.col("from_id").isin(names) | F.col("to_id").isin(names))
+        got = G.same_pid_edges(events, near=near)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+        assert got.count() < whole.count() / 2
+    start = spark.createDataFrame([("h", "e1.0")], "host_id string, entity_id string")
+    node_table = G.nodes(events.withColumn("score", F.lit(1.0)))
+    walked = {(r["entity_id"], r["hop"]) for r in G.related_to(events, node_table, start).collect()}
+    assert walked == {(r["entity_id"], r["hop"]) for r in G.related_by(whole, node_table, start).collect()}
+    assert walked and all(n.split(".")[0] in ("e1", "e2") for n, _ in walked)
+    own, edges = G.for_pid(events.withColumn("score", F.lit(1.0)), 5)
+    assert {r["entity_id"].split(".")[0] for r in own.collect()} == {"e5"} and all(r["pid"] == 5 for r in edges.collect())
