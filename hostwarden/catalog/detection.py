@@ -281,25 +281,13 @@ _detect("g9_of_them", {**_SEL, "condition": "1 of them"}, "false")
     f"SELECT '{r['title']}' AS title FROM ev WHERE {_SIGMA_SQL[r['id']]}" for r in RULES
 ) + ") GROUP BY title"))
 def _rule_folder(spark, sf):
-    """Rules written as .yml files through Spark, loaded by the folder source, and run over all events."""
+    """Rules written as files through Spark, loaded by the folder source, and run over all events."""
     import uuid
 
-    import yaml
-
     from hostwarden.session import configure, shared_dir
-    from hostwarden.sources.sigma_rules import read_rules, rules_list
+    from hostwarden.sources.sigma_rules import read_rules, rules_list, write_rules
 
     configure(spark)
     folder = f"{shared_dir(spark).rstrip('/')}/rules-{uuid.uuid4().hex}"
-    hadoop = spark._jvm.org.apache.hadoop
-    fs = hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    for n, rule in enumerate(RULES):
-        text = yaml.safe_dump({
-            "title": rule["title"], "id": rule["id"], "level": rule["level"], "logsource": {"category": rule["category"]},
-            "detection": rule["detection"],
-        }, sort_keys=False)
-        out = fs.create(hadoop.fs.Path(f"{folder}/{n:03d}_{rule['id']}.yml"))
-        out.write(bytearray(text, "utf-8"))
-        out.close()
-    loaded = rules_list(read_rules(spark, folder))
-    return G.rule_hits(G.evaluate(ev(spark, sf), loaded))
+    write_rules(spark, folder, RULES)
+    return G.rule_hits(G.evaluate(ev(spark, sf), rules_list(read_rules(spark, folder, pattern="*.txt"))))

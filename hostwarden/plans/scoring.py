@@ -13,7 +13,7 @@ from hostwarden.operators.heuristics import DEFAULT_RULES, HeuristicRule
 from hostwarden.operators.patterns import DEFAULT_PATTERNS, Pattern
 from hostwarden.schema import FEATURES
 from hostwarden.session import stage as write_stage
-from hostwarden.sources.sigma_rules import shipped_rules
+from hostwarden.sources.sigma_rules import active_rules
 
 
 @dataclass(frozen=True)
@@ -44,7 +44,8 @@ def score_events(
 
     ``staged`` writes the result of the stages that several consumers read (heuristics, correlation)
     to the shared folder, so that wide inputs are not recomputed. ``include_related`` adds the
-    related entity IDs of every event; their number is always there as ``related_count``.
+    related entity IDs of every event; their number is always there as ``related_count``. Rules are the shipped ones and
+    those of the folder ``cfg.sigma_rules_dir``, or exactly ``sigma_rules``.
     """
     keep = write_stage if staged else (lambda df, name: df)
     if feedback is not None:
@@ -80,7 +81,7 @@ def score_events(
         scored = scored.withColumns({
             "threat_intel": F.lit(None).cast("struct<geoip:struct<country_code:string>>"), "intel_bonus": F.lit(0.0),
         })
-    scored = sigma.evaluate(scored, shipped_rules() if sigma_rules is None else sigma_rules)
+    scored = sigma.evaluate(scored, active_rules(events.sparkSession, cfg.sigma_rules_dir) if sigma_rules is None else sigma_rules)
     return heuristics.with_severity(scored.withColumn("score", total_score()))
 
 

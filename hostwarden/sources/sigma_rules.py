@@ -69,7 +69,7 @@ _RULE_COLUMNS = [part.split()[0] for part in schema.RULES_DDL.split(", ")]
 def shipped_rules() -> list[dict]:
     """The shipped rules as plain dicts."""
     return [
-        {"id": i, "title": t, "level": lv, "category": c, "product": "", "detection": d}
+        {"id": i, "title": t, "status": "stable", "level": lv, "category": c, "product": "", "detection": d, "tags": []}
         for i, t, lv, c, d in SHIPPED_RULES
     ]
 
@@ -126,13 +126,13 @@ def parse_rule(text: str) -> dict | None:
         return None
 
 
-def read_rules(spark: SparkSession, *dirs: str) -> DataFrame:
+def read_rules(spark: SparkSession, *dirs: str, pattern: str = "*.yml") -> DataFrame:
     """Rules table from folders, not recursive, in folder then file-name order; bad files are skipped."""
     out = None
     for position, folder in enumerate(dirs):
         try:
             files = (
-                spark.read.option("pathGlobFilter", "*.yml").option("recursiveFileLookup", "false")
+                spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "false")
                 .text(folder, wholetext=True)
                 .select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("body"))
             )
@@ -174,15 +174,33 @@ def rules_table(spark: SparkSession, rules: list[dict] | None = None) -> DataFra
     )
 
 
+def active_rules(spark: SparkSession, *dirs: str) -> list[dict]:
+    """The shipped rules, then those of the given folders (empty names are skipped), in load order."""
+    folders = [d for d in dirs if d]
+    return [*shipped_rules(), *(rules_list(read_rules(spark, *folders)) if folders else [])]
+
+
+def rule_text(rule: dict) -> str:
+    """A rule as the text of its file."""
+    yaml, _ = _loader()
+    return yaml.safe_dump({
+        "title": rule["title"], "id": rule["id"], "status": rule.get("status") or "stable", "level": rule["level"],
+        "logsource": {"category": rule["category"], "product": rule["product"]}, "detection": rule["detection"], "tags": rule.get("tags") or [],
+    }, sort_keys=False)
+
+
+def write_rules(spark: SparkSession, folder: str, rules: list[dict] | None = None) -> None:
+    """Rules through Spark's text writer, one file each (``part-*.txt``, so read them with ``pattern="*.txt"``), in load order."""
+    texts = [(n, rule_text(rule)) for n, rule in enumerate(shipped_rules() if rules is None else rules)]
+    if texts:
+        table = spark.createDataFrame(texts, "rule_no int, value string")
+        table.repartitionByRange(len(texts), "rule_no").select("value").write.text(folder)
+
+
 def write_rule_files(folder: str, rules: list[dict] | None = None) -> None:
-    """Write rules as one ``.yml`` per rule, numbered so that file-name order is load order."""
+    """Write rules as one ``.yml`` per rule into a local folder, numbered so that file-name order is load order."""
     import os
 
-    yaml, _ = _loader()
     for n, rule in enumerate(shipped_rules() if rules is None else rules):
-        doc = {
-            "title": rule["title"], "id": rule["id"], "status": "stable", "level": rule["level"],
-            "logsource": {"category": rule["category"], "product": rule["product"]}, "detection": rule["detection"],
-        }
         with open(os.path.join(folder, f"{n:03d}_{rule['id']}.yml"), "w", encoding="utf-8") as handle:
-            yaml.safe_dump(doc, handle, sort_keys=False)
+            handle.write(rule_text(rule))

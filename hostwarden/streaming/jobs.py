@@ -14,7 +14,7 @@ from hostwarden.operators import correlation, drift, feedback, heuristics, isola
 from hostwarden.plans.scoring import Intel
 from hostwarden.schema import MODEL_NODE_DDL
 from hostwarden.session import stage
-from hostwarden.sources.sigma_rules import shipped_rules
+from hostwarden.sources.sigma_rules import active_rules, shipped_rules
 from hostwarden.streaming import operators as S
 from hostwarden.streaming.stateful import late, used
 
@@ -121,7 +121,7 @@ def score_stream(
         stream = threat_intel.attach(stream, resolved, malware, custom)
     else:
         stream = stream.withColumn("intel_bonus", F.lit(0.0))
-    stream = sigma.evaluate(stream, shipped_rules() if rules is None else rules)
+    stream = sigma.evaluate(stream, active_rules(events.sparkSession, cfg.sigma_rules_dir) if rules is None else rules)
     found = S.correlate(stream, cfg.correlator, payload=_SCORED, delay=None, event_time=True, keep_late=True, keep_alone=True)
     both = found.withColumn("multiplier", F.when(F.col("pid").isNotNull(), correlation.multiplier(F.col("source_count"), cfg.correlator)))
     total = correlation.effective_score(F.col("heuristic_score")) + F.col("intel_bonus") + F.col("sigma_bonus")

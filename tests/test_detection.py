@@ -150,3 +150,25 @@ def test_rule_folder(spark, tmp_path):
     R.write_rule_files(str(shipped))
     loaded = R.rules_list(R.read_rules(spark, str(shipped)))
     assert len(loaded) == 25 and [r["detection"] for r in loaded] == [r["detection"] for r in R.shipped_rules()]
+
+
+def test_shipped_and_own_rules_together(spark, make_events, tmp_path):
+    """Rules of the settings' folder come after the shipped ones; an explicit list replaces both."""
+    from hostwarden.config import Config, CorrelatorConfig
+    from hostwarden.plans.scoring import score_events
+    from hostwarden.sources.sigma_rules import active_rules, read_rules, rules_list, shipped_rules, write_rule_files, write_rules
+
+    own = {"title": "Own rule", "id": "own-1", "status": "test", "level": "high", "category": "", "product": "", "detection": {"selection": {"name": "xmrig"}, "condition": "selection"}, "tags": ["attack.t1", "mine"]}
+    write_rule_files(str(tmp_path), [own])
+    (tmp_path / "broken.yml").write_text("title: [")
+    cfg = Config(sigma_rules_dir=str(tmp_path), correlator=CorrelatorConfig(enabled=False))
+    loaded = active_rules(spark, str(tmp_path))
+    assert [r["title"] for r in loaded] == [r["title"] for r in shipped_rules()] + ["Own rule"]
+    assert (loaded[-1]["status"], loaded[-1]["tags"]) == ("test", ["attack.t1", "mine"])
+    events = make_events([{"source": "process", "name": "xmrig", "exe": "/tmp/xmrig"}])
+    hits = score_events(events, cfg).first()["sigma_rules"]
+    assert hits[-1] == "Own rule" and len(hits) > 1
+    assert score_events(events, cfg, sigma_rules=[own]).first()["sigma_rules"] == ["Own rule"]
+    write_rules(spark, str(tmp_path / "parts"))
+    again = rules_list(read_rules(spark, str(tmp_path / "parts"), pattern="*.txt"))
+    assert [(r["id"], r["detection"]) for r in again] == [(r["id"], r["detection"]) for r in shipped_rules()]
