@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -70,25 +71,43 @@ def live_edges(events: DataFrame, now, score_col: str = "score", cfg: Correlator
 def related_to(events: DataFrame, node_table: DataFrame, starts: DataFrame, hops: int = 3, cfg: CorrelatorConfig = CorrelatorConfig()) -> DataFrame:
     """Entities within ``hops`` undirected same-pid steps of each start (``host_id, entity_id``), with their distance.
 
-    Edges are built hop by hop, only around the entities just reached. Entities without a node are walked through but not returned.
+    Edges are built hop by hop: once for every process that touched an entity just reached, and for no other. Entities without a
+    node are walked through but not returned.
     """
-    return _walk(lambda frontier: same_pid_edges(events, cfg, frontier), node_table, starts, hops)
+    narrow = stage(events.where(has_pid()).select("host_id", "pid", "seq", "ts", "entity_id"), "walk-events")
+    members = stage(narrow.select("host_id", "pid", "entity_id").distinct(), "walk-members")
+    built: list[DataFrame] = []
+    known: list[DataFrame] = []
+
+    def neighbours(frontier: DataFrame) -> DataFrame:
+        reached = members.join(frontier.select("host_id", "entity_id").distinct(), NODE_KEY, "left_semi").select("host_id", "pid").distinct()
+        for earlier in built:
+            reached = reached.join(earlier, ["host_id", "pid"], "left_anti")
+        built.append(stage(reached, "walk-pids"))
+        known.append(stage(_both_ways(same_pid_edges(narrow.join(built[-1], ["host_id", "pid"], "left_semi"), cfg)), "walk-edges"))
+        return reduce(DataFrame.unionByName, known)
+
+    return _walk(neighbours, node_table, starts, hops)
 
 
 def related_by(edges: DataFrame, node_table: DataFrame, starts: DataFrame, hops: int = 3) -> DataFrame:
     """The same over an edge table that is there already; edges of any kind are accepted."""
-    return _walk(lambda frontier: edges, node_table, starts, hops)
+    both = stage(_both_ways(edges), "neighbours")
+    return _walk(lambda frontier: both, node_table, starts, hops)
+
+
+def _both_ways(edges: DataFrame) -> DataFrame:
+    pairs = edges.select("host_id", F.col("from_id").alias("a"), F.col("to_id").alias("b"))
+    return pairs.unionByName(pairs.select("host_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
 
 
-def _walk(edges_near: Callable[[DataFrame], DataFrame], node_table: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
+def _walk(neighbours: Callable[[DataFrame], DataFrame], node_table: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
     visited = stage(
         starts.select("host_id", F.col("entity_id").alias("start_id"), "entity_id", F.lit(0).alias("hop")), "starts"
     )
     frontier = visited
     for hop in range(1, hops + 1):
-        pairs = edges_near(frontier).select("host_id", F.col("from_id").alias("a"), F.col("to_id").alias("b")).distinct()
-        both = pairs.unionByName(pairs.select("host_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-        step = frontier.select("host_id", "start_id", F.col("entity_id").alias("a")).join(both, ["host_id", "a"])
+        step = frontier.select("host_id", "start_id", F.col("entity_id").alias("a")).join(neighbours(frontier), ["host_id", "a"])
         frontier = stage(
             step.select("host_id", "start_id", F.col("b").alias("entity_id")).distinct()
             .join(visited, ["host_id", "start_id", "entity_id"], "left_anti")
@@ -105,6 +124,7 @@ def for_pid(
 
     The pid's entities come first; nodes and edges are built around them alone.
     """
+    events = stage(events.select("host_id", "pid", "seq", "ts", "entity_id", "source", score_col), "pid-events")
     ids = stage(pid_members(events).where(F.col("pid") == pid).select("host_id", "entity_id"), "pid-entities")
     own = nodes(events.join(ids, NODE_KEY, "left_semi").select(*events.columns), score_col)
     edges = same_pid_edges(events, cfg, ids)
