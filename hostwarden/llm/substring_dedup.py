@@ -7,7 +7,9 @@
    passage was found around repeated seeds, long seeds follow, winnowed so that every run of 51 equal words has one.
    Its earliest holder shares at least 40 words, enough for a passage.
    What no passage covers then meets the other earlier documents by all its 4-word runs, as a passage of 40 words with
-   at most one word in five substituted keeps at least one. Runs that very many texts hold count together with a later one.
+   at most one word in five substituted keeps at least one. Runs that very many texts hold count together with later ones.
+   Which runs several texts hold is counted first, in sorted blocks of whole buckets; seeds with other runs never leave
+   their task.
 3. For the remaining pairs the words around the seeds are fetched, all common k-mers become anchors, and anchors are
    chained in order with gap costs; a Fenwick tree gives the best predecessor of an anchor.
 4. The gaps of a chain are aligned word by word, its ends are extended, and chains long and equal enough are passages.
@@ -22,7 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from hostwarden.llm.support import bit_table, maybe_in, packed_bits, prepare, unpacked_bits
+from hostwarden.llm.support import bit_table, maybe_in, packed_bits, positions, prepare, unpacked_bits
 from hostwarden.llm.textbytes import lists, ngrams, text_slices, words
 from hostwarden.session import release, stage
 
@@ -30,8 +32,13 @@ K, WINDOW = 6, 12
 LONG_K = 40
 #: Shortest run of equal words that substitutions of one word in five leave in a passage, and the number that any passage of such has.
 SHORT_K, SHORT_SHARED = 4, 5
-#: Documents up to which all holders of a run of ``SHORT_K`` words meet; runs of more are taken in pairs.
+#: Documents up to which all holders of a run of ``SHORT_K`` words meet; runs of more are taken in pairs at these distances in words.
 _MANY = 64
+_DISTANCES = (4, 8, 16, 32)
+#: Runs of words are known by 32 bits and a bucket; there is a bucket for about so many bytes of text, and 64 at least.
+_BUCKET_BYTES, _LEAST_BUCKET_BITS = 24 << 20, 6
+#: Runs that a task gathers before it sorts them and writes one block for each bucket.
+_BLOCK_RUNS = 1 << 21
 _SHARED_BITS = 1 << 26
 MIN_WORDS, MIN_EQUAL = 40, 0.8
 #: Words fetched on either side of the outermost seeds of a pair.
@@ -58,11 +65,19 @@ def winnow(hashes: np.ndarray, width: int) -> np.ndarray:
     return np.flatnonzero(_sliding(np.concatenate([pad, low, pad]), width, np.maximum) == hashes)
 
 
-def _seeds(k: int, wanted=None):
-    """Winnowed word ``k``-mers of every text, or of those whose id may be in the bit table ``wanted``."""
+def _may_hold(packed: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """``maybe_in`` on the packed bytes of a bit table, which take an eighth of its flags."""
+    a, b = positions(keys, 8 * len(packed))
+    return ((packed[a >> 3] << (a & 7).astype(np.uint8)) & (packed[b >> 3] << (b & 7).astype(np.uint8)) & np.uint8(128)) > 0
+
+
+def _seeds(k: int, shared, bits: int, wanted=None):
+    """Winnowed word ``k``-mers of every text, or of those whose id may be in the bit table ``wanted``, whose first and
+    last run of ``SHORT_K`` words may be in the bit table ``shared``."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = unpacked_bits(wanted.value) if wanted is not None else None
+        runs = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
             ids = batch["doc_id"].to_numpy(zero_copy_only=False)
             if flags is not None:
@@ -72,6 +87,9 @@ def _seeds(k: int, wanted=None):
                 w = words(piece)
                 at, hashes = ngrams(w.hash, w.doc, k)
                 chosen = winnow(hashes, WINDOW)
+                starts, short = ngrams(w.hash, w.doc, SHORT_K)
+                for offset in (0, k - SHORT_K):
+                    chosen = chosen[_may_hold(runs, _run_key(short[np.searchsorted(starts, at[chosen] + offset)], bits))]
                 doc = w.doc[at[chosen]]
                 first_word = np.searchsorted(w.doc, np.arange(piece.last - piece.first))
                 yield pa.RecordBatch.from_arrays(
@@ -81,35 +99,121 @@ def _seeds(k: int, wanted=None):
     return rows
 
 
-def _all_seeds(table=None):
-    """Every word ``SHORT_K``-mer of every text once, with its first and last position; without positions if there is no bit table of wanted ones."""
+def _run_key(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """What is kept of the hash of a run: its bucket and 32 bits."""
+    return (hashes >> np.uint64(32 - bits)).view(np.int64)
+
+
+def _run_blocks(bits: int, low: int, width: int):
+    """Runs of ``SHORT_K`` words of all texts, once for each block of texts: blocks of one bucket each, with the number of
+    holders, the least of 256 classes of ids among them, and whether several holders are in that class."""
+
+    def packed(runs: list[np.ndarray], owners: list[np.ndarray], classes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        key, owner, group = (np.concatenate(x) for x in (runs, owners, classes))
+        order = np.argsort(key, kind="stable")  # owners ascend, so those of a run stay in order
+        key, owner, group = key[order], owner[order], group[order]
+        once = np.ones(len(key), bool)
+        once[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
+        key, group = key[once], group[once]
+        key, n, least, several = _merged(key, np.ones(len(key), np.int64), group, np.zeros(len(key), bool))
+        buckets = np.arange(1 << bits)
+        cut = np.searchsorted(key >> 32, np.append(buckets, 1 << bits))
+        some = np.flatnonzero(cut[1:] > cut[:-1])
+        columns = (key & 0xFFFFFFFF).astype(np.uint32), np.minimum(n, 255).astype(np.uint8), least.astype(np.uint8), several
+        blobs = [pa.array([c[cut[b] : cut[b + 1]].tobytes() for b in some], pa.binary()) for c in columns]
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *blobs], ["bucket", "runs", "n", "least", "several"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = unpacked_bits(table.value) if table is not None else None
+        runs, owners, classes, held, seen = [], [], [], 0, 0
+        for batch in batches:
+            group = np.minimum((batch["doc_id"].to_numpy(zero_copy_only=False) - low) / width * 256, 255).astype(np.int64)
+            for piece in text_slices(batch["text"]):
+                w = words(piece)
+                at, hashes = ngrams(w.hash, w.doc, SHORT_K)
+                doc = w.doc[at]
+                runs.append(_run_key(hashes, bits)), owners.append(doc + seen), classes.append(group[piece.first + doc])
+                held, seen = held + len(at), seen + piece.last - piece.first
+                if held >= _BLOCK_RUNS:
+                    yield from packed(runs, owners, classes)
+                    runs, owners, classes, held = [], [], [], 0
+        if held:
+            yield from packed(runs, owners, classes)
+
+    return rows
+
+
+def _merged(key: np.ndarray, n: np.ndarray, least: np.ndarray, several: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Rows of sorted keys joined to one row a key: summed holders, least class, whether that class has several holders."""
+    if not len(key):
+        return key, n, least, several
+    head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    low = np.minimum.reduceat(least, head)
+    in_low = least == np.repeat(low, np.diff(np.append(head, len(key))))
+    return key[head], np.add.reduceat(n, head), low, np.add.reduceat(in_low * (1 + several.astype(np.int64)), head) > 1
+
+
+def _shared_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs that several texts hold, of whole buckets."""
+    held: dict[int, list[tuple[np.ndarray, ...]]] = {}
+    for batch in batches:
+        for bucket, *blobs in zip(batch["bucket"].to_pylist(), *(batch[c].to_pylist() for c in ("runs", "n", "least", "several"))):
+            held.setdefault(bucket, []).append(tuple(np.frombuffer(x, kind) for x, kind in zip(blobs, (np.uint32, np.uint8, np.uint8, bool))))
+    for bucket in list(held):
+        key, n, least, several = (np.concatenate(x) for x in zip(*held.pop(bucket)))
+        order = np.argsort(key, kind="stable")
+        key, n, least, several = _merged(key[order], n[order].astype(np.int64), least[order].astype(np.int64), several[order])
+        some = n > 1
+        yield pa.RecordBatch.from_arrays([
+            pa.array(key[some].astype(np.int64) | (bucket << 32)), pa.array(n[some]), pa.array(least[some].astype(np.int32)), pa.array(several[some]),
+        ], ["seed", "n", "least", "several"])
+
+
+def _all_seeds(table, bits: int, as_lists: bool):
+    """Every run of ``SHORT_K`` words that may be in the bit table, once a text, with its first and last position: one
+    row a text with lists, or one row a run."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed = np.frombuffer(table.value, np.uint8)
         for batch in batches:
             ids = batch["doc_id"].to_numpy(zero_copy_only=False)
             for piece in text_slices(batch["text"]):
                 w = words(piece)
                 at, hashes = ngrams(w.hash, w.doc, SHORT_K)
-                if flags is not None:
-                    some = maybe_in(flags, hashes.view(np.int64))
-                    at, hashes = at[some], hashes[some]
+                key = _run_key(hashes, bits)
+                some = _may_hold(packed, key)
+                at, key = at[some], key[some]
                 doc = w.doc[at]
-                order = np.lexsort((at, hashes, doc))
-                at, hashes, doc = at[order], hashes[order], doc[order]
+                order = np.lexsort((at, key, doc))
+                at, key, doc = at[order], key[order], doc[order]
                 new = np.ones(len(at) + 1, bool)
-                new[1:-1] = (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])
+                new[1:-1] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])
                 head, tail = np.flatnonzero(new[:-1]), np.flatnonzero(new[1:])
-                seeds = pa.array(hashes[head].view(np.int64))
-                if flags is None:
-                    yield pa.RecordBatch.from_arrays([seeds], ["seed"])
+                doc = doc[head]
+                first_word = np.searchsorted(w.doc, np.arange(piece.last - piece.first))[doc]
+                lo, hi = ((at[x] - first_word).astype(np.int32) for x in (head, tail))
+                if not as_lists:
+                    yield pa.RecordBatch.from_arrays([pa.array(key[head]), pa.array(ids[piece.first + doc]), pa.array(lo), pa.array(hi)], ["seed", "doc_id", "lo", "hi"])
                     continue
-                first_word = np.searchsorted(w.doc, np.arange(piece.last - piece.first))[doc[head]]
-                yield pa.RecordBatch.from_arrays([seeds, pa.array(ids[piece.first + doc[head]]), *(pa.array((at[x] - first_word).astype(np.int32)) for x in (head, tail))], ["seed", "doc_id", "lo", "hi"])
+                counts = np.bincount(doc, minlength=piece.last - piece.first)
+                held = np.flatnonzero(counts)
+                values = [lists(x, counts[held], kind) for x, kind in ((key[head], pa.int64()), (lo, pa.int32()), (hi, pa.int32()))]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[piece.first + held]), *values], ["doc_id", "seeds", "lo", "hi"])
 
     return rows
 
 
+def _open_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for every run of a text that is not inside one of its passages."""
+    for batch in batches:
+        for doc, seeds, lo, hi, spans in zip(batch["doc_id"].to_pylist(), batch["seeds"], batch["lo"], batch["hi"], batch["spans"].to_pylist()):
+            seeds, lo, hi = (x.values.to_numpy(zero_copy_only=False) for x in (seeds, lo, hi))
+            inside = np.zeros(len(seeds), bool)
+            for span in spans or ():
+                inside |= (span["s"] <= lo) & (hi + SHORT_K <= span["e"])
+            left = np.flatnonzero(~inside)
+            yield pa.RecordBatch.from_arrays([pa.array(seeds[left]), pa.array(np.full(len(left), doc)), pa.array(lo[left]), pa.array(hi[left])], ["seed", "doc_id", "lo", "hi"])
+
+
 def _word_rows(wanted):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = unpacked_bits(wanted.value)
@@ -318,17 +422,25 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 
     A passage has 40 words or more on both sides, four fifths of them equal in order; words are runs of characters
     other than white space, A-Z lowered. Its source is the earliest document that holds a seed of it or, where that one has
-    no such passage, any earlier one, and there may be several. Words that more than 64 texts share are only
-    compared with the document before that has them too, so of passages all of such words a fuzzy one can be missed. Every run of 51 equal words that an earlier document has is covered but for a few words at its ends.
+    no such passage, any earlier one, and there may be several. Words that more than 64 texts share count in pairs of
+    runs up to 32 words apart; of pairs that more than 64 texts share each text is compared with the one before that has
+    them too, so a fuzzy passage can be missed where all such pairs of it are as common. Every run of 51 equal words that an earlier document has is covered but for a few words at its ends.
     Rows without id or text and texts of fewer than 40 words have no passages. Of rows that share an id only one is
     compared with each source, and never with one another. Further columns are ignored.
     """
     spark = prepare(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND length(text) > 0")
 
+    size = texts.agg(F.sum(F.octet_length("text")).alias("bytes"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
+    low, width = size["low"] or 0, (size["high"] or 0) - (size["low"] or 0) + 1
+    bits = max(_LEAST_BUCKET_BITS, ((size["bytes"] or 0) // _BUCKET_BYTES).bit_length())
+    blocks = texts.mapInArrow(_run_blocks(bits, low, width), "bucket int, runs binary, n binary, least binary, several binary")
+    shared = stage(blocks.repartition(1 << bits, "bucket").mapInArrow(_shared_runs, "seed long, n long, least int, several boolean"), "passage-shared")
+    runs = spark.sparkContext.broadcast(packed_bits(bit_table(shared, "seed", _SHARED_BITS)))
+
     def hits(k: int, wanted=None) -> DataFrame:
         """Seeds that several documents hold, with the earliest of them."""
-        seeds = texts.mapInArrow(_seeds(k, wanted), "seed long, doc_id long, pos int")
+        seeds = texts.mapInArrow(_seeds(k, runs, bits, wanted), "seed long, doc_id long, pos int")
         earliest = seeds.groupBy("seed").agg(F.min("doc_id").alias("source_id"), F.max("doc_id").alias("last"), F.min(F.struct("doc_id", "pos"))["pos"].alias("source_pos"))
         earliest = stage(earliest.where("source_id <> last").drop("last"), "passage-sources")
         return seeds.join(earliest, "seed")
@@ -340,8 +452,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
         return found.groupBy("doc_id", "source_id").agg(F.count(F.lit(1)).alias("seeds"), *low, *high)
 
     short = stage(spans(hits(K), K), "passage-spans")
-    shared = short.groupBy("doc_id").agg(F.sum("seeds").alias("n")).where("n > 2")
-    wanted = spark.sparkContext.broadcast(packed_bits(bit_table(shared, "doc_id")))
+    repeats = short.groupBy("doc_id").agg(F.sum("seeds").alias("n")).where("n > 2")
+    wanted = spark.sparkContext.broadcast(packed_bits(bit_table(repeats, "doc_id")))
     first = stage(_passages_of(texts, stage(short.where(f"seeds > 1 AND end_pos - min_pos >= {8 + K} AND doc_id <> source_id"), "passage-pairs")), "passage-first")
     # Long seeds only look for what no passage covers yet.
     covered = stage(first.groupBy("doc_id").agg(F.collect_set(F.struct(F.col("start_word").alias("s"), F.col("end_word").alias("e"))).alias("spans")), "passage-covered")
@@ -350,27 +462,34 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     more = stage(spans(left.where(~F.coalesce(inside, F.lit(False))), LONG_K), "passage-pairs")
     second = stage(_passages_of(texts, more), "passage-second")
     found = first.unionByName(second)
-    return found.unionByName(_passages_of(texts, stage(_short_pairs(texts, found), "passage-pairs"), SHORT_K)).distinct()
+    return found.unionByName(_passages_of(texts, stage(_short_pairs(texts, found, shared, runs, bits, low, width), "passage-pairs"), SHORT_K)).distinct()
 
 
-def _short_pairs(texts: DataFrame, found: DataFrame) -> DataFrame:
+def _short_pairs(texts: DataFrame, found: DataFrame, shared: DataFrame, runs, bits: int, low: int, width: int) -> DataFrame:
     """Pairs of documents with enough common runs of ``SHORT_K`` words outside the passages ``found`` of the later one."""
     spark = texts.sparkSession
-    shared = stage(texts.mapInArrow(_all_seeds(), "seed long").groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "passage-shared")
-    table = spark.sparkContext.broadcast(packed_bits(bit_table(shared, "seed", _SHARED_BITS)))
     spans = found.groupBy("doc_id").agg(F.collect_set(F.struct(F.col("start_word").alias("s"), F.col("end_word").alias("e"))).alias("spans"))
-    seeds = texts.mapInArrow(_all_seeds(table), "seed long, doc_id long, lo int, hi int").join(shared, "seed")
-    inside = F.exists("spans", lambda x: (x["s"] <= F.col("lo")) & (F.col("hi") + SHORT_K <= x["e"]))
-    holders = seeds.join(spans, "doc_id", "left").select("seed", "n", "doc_id", "lo", "hi", (~F.coalesce(inside, F.lit(False))).alias("open"))
+    held = texts.mapInArrow(_all_seeds(runs, bits, True), "doc_id long, seeds array<long>, lo array<int>, hi array<int>")
+    bare = held.join(spans, "doc_id", "left").mapInArrow(_open_runs, "seed long, doc_id long, lo int, hi int")
+    # The earliest holder has nothing to look for; it is known as such where it is alone in its class of ids.
+    group = F.least(F.lit(255), F.floor((F.col("doc_id") - low) / width * 256))
+    asked = bare.join(shared, "seed").where((group > F.col("least")) | F.col("several")).select("seed", "doc_id", "lo", "hi", "n")
+    asked = stage(asked, "passage-open")
+    last = stage(asked.groupBy("seed").agg(F.max("doc_id").alias("last"), F.max("n").alias("n")), "passage-asked")
+    needed = spark.sparkContext.broadcast(packed_bits(bit_table(last, "seed", _SHARED_BITS)))
+    sources = texts.mapInArrow(_all_seeds(needed, bits, False), "seed long, doc_id long, lo int, hi int").join(last, "seed").where("doc_id <= last")
+    both = sources.select("seed", "n", "doc_id", "lo", "hi", F.lit(False).alias("open")).unionByName(asked.withColumn("open", F.lit(True)))
+    holders = both.groupBy("seed", "doc_id").agg(F.max("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.bool_or("open").alias("open"))
     holders = stage(holders, "passage-holders")
 
     def met(rows: DataFrame) -> DataFrame:
         source = rows.select("seed", F.col("doc_id").alias("source_id"), F.col("lo").alias("source_lo"), F.col("hi").alias("source_hi"))
         return rows.where("open").drop("open").join(source, "seed").where("source_id < doc_id")
 
-    # A run of very many texts counts with the fourth and the eighth such run after it; of pairs that are as common, each holder meets the one before.
-    follows = [F.struct(*(F.lead(c, step).over(Window.partitionBy("doc_id").orderBy("lo", "seed")).alias(c) for c in ("seed", "lo", "hi"))) for step in (4, 8)]
-    hot = holders.where(f"n > {_MANY}").select("*", F.array(*follows).alias("follows")).withColumn("then", F.explode("follows")).where(f"then.lo - lo < {MIN_WORDS}")
+    # A run of very many texts counts with the next such runs at several distances; of pairs that are as common, each holder meets the one before.
+    ahead = Window.partitionBy("doc_id").orderBy("lo")
+    follows = [F.first(F.struct("seed", "lo", "hi")).over(ahead.rangeBetween(d, MIN_WORDS - SHORT_K)) for d in _DISTANCES]
+    hot = holders.where(f"n > {_MANY}").select("*", F.array_distinct(F.array(*follows)).alias("follows")).withColumn("then", F.explode("follows")).where("then IS NOT NULL")
     hot = hot.select(F.xxhash64("seed", "then.seed").alias("seed"), "doc_id", "lo", F.greatest("hi", "then.hi").alias("hi"), "open")
     hot = stage(hot.groupBy("seed", "doc_id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.bool_or("open").alias("open")), "passage-hot")
     counts = hot.groupBy("seed").agg(F.count(F.lit(1)).alias("n"))

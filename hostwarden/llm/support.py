@@ -61,7 +61,7 @@ def summed_table(rows: DataFrame, accumulate: Callable[[pa.RecordBatch, np.ndarr
     return total.reshape(shape)
 
 
-def _positions(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def positions(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     h = mix(keys.astype(np.int64).view(np.uint64))
     return (h & np.uint64(bits - 1)).astype(np.int64), ((h >> np.uint64(32)) & np.uint64(bits - 1)).astype(np.int64)
 
@@ -72,7 +72,7 @@ def bit_table(rows: DataFrame, column: str, bits: int = BLOOM_BITS) -> np.ndarra
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = np.zeros(bits, bool)
         for batch in batches:
-            for at in _positions(batch.column(0).to_numpy(zero_copy_only=False), bits):
+            for at in positions(batch.column(0).to_numpy(zero_copy_only=False), bits):
                 flags[at] = True
         words = np.packbits(flags, bitorder="little").view(np.int64)
         at = np.flatnonzero(words)
@@ -87,7 +87,7 @@ def bit_table(rows: DataFrame, column: str, bits: int = BLOOM_BITS) -> np.ndarra
 
 def maybe_in(flags: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Whether each key may be in the bit table; never false for one that is."""
-    a, b = _positions(keys, len(flags))
+    a, b = positions(keys, len(flags))
     return flags[a] & flags[b]
 
 

@@ -66,6 +66,46 @@ def test_fuzzy_passage_whose_runs_stand_in_earlier_texts(texts):
         assert set(spans) == {(65536, 65535)} and len(spans[65536, 65535] & set(range(20, 80))) >= 56
 
 
+def test_fuzzy_passage_of_pieces_that_many_texts_hold(texts):
+    """Five pieces of 13 words, two of them in 280 texts before and 280 texts between the two that have them all."""
+    rng, new = random.Random(14), vocabulary(14)
+    pieces = [new(13) for _ in range(5)]
+    whole = sum(pieces, [])
+    changed = [f"other{k}" if k in (19, 45) else w for k, w in enumerate(whole)]
+
+    def two(k):
+        at = k % 4
+        return k, " ".join(new(20) + pieces[at] + pieces[at + 1] + new(20))
+
+    rows = [*map(two, range(280)), (280, " ".join(new(20) + whole + new(20))), *map(two, range(281, 561)), (561, " ".join(new(20) + changed + new(20)))]
+    rng.shuffle(rows)
+    spans = covered(texts, rows)
+    assert set(spans) == {(561, 280)} and len(spans[561, 280] & set(range(20, 85))) >= 61
+
+
+def test_shared_runs_against_a_plain_count(spark, texts):
+    """Runs of four words that several rows hold, however the rows are dealt; the earliest class of ids and its holders."""
+    new = vocabulary(15)
+    pool = [new(6) for _ in range(20)]
+    rng = random.Random(15)
+    rows = [(k * 7, " ".join(sum((rng.choice(pool) for _ in range(rng.randrange(0, 6))), new(3)))) for k in range(300)] + [(2100, None), (2101, ""), (2102, "a b c")]
+    holders = {}
+    for i, t in rows:
+        w = plain_words(t)
+        for run in {tuple(w[k : k + 4]) for k in range(len(w) - 3)}:
+            holders.setdefault(run, []).append(i)
+    width, wanted = 2103, []
+    for ids in holders.values():
+        group = sorted(min(255, int(i / width * 256)) for i in ids)
+        if len(ids) > 1:
+            wanted.append((min(len(ids), 255), group[0], group.count(group[0]) > 1))
+    for parts in (1, 9):
+        docs = texts(rows).repartition(parts).select("doc_id", "text")
+        blocks = docs.mapInArrow(substring_dedup._run_blocks(6, 0, width), "bucket int, runs binary, n binary, least binary, several binary")
+        got = blocks.repartition(8, "bucket").mapInArrow(substring_dedup._shared_runs, "seed long, n long, least int, several boolean").collect()
+        assert sorted((min(r["n"], 255), r["least"], r["several"]) for r in got) == sorted(wanted)
+
+
 def test_recall_of_substituted_passages(texts):
     """Passages with one word in 20 to one word in 5 substituted, regularly and at random places."""
     rng, new = random.Random(12), vocabulary(12)
