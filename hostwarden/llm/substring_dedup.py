@@ -35,10 +35,11 @@ SHORT_K, SHORT_SHARED = 4, 5
 #: Documents up to which all holders of a run of ``SHORT_K`` words meet; runs of more are taken in pairs at these distances in words.
 _MANY = 64
 _DISTANCES = (4, 8, 16, 32)
-#: Runs of words are known by 32 bits and a bucket; there is a bucket for about so many bytes of text, and 64 at least.
-_BUCKET_BYTES, _LEAST_BUCKET_BITS = 24 << 20, 6
+#: Runs of words are known by 32 bits and a bucket; there is a bucket for about so many bytes of text, 64 at least
+#: and 65,536 at most, which leaves 16 bits for the texts of a block.
+_BUCKET_BYTES, _LEAST_BUCKET_BITS, _MOST_BUCKET_BITS = 24 << 20, 6, 16
 #: Runs that a task gathers before it sorts them and writes one block for each bucket.
-_BLOCK_RUNS = 1 << 21
+_BLOCK_RUNS = 1 << 20
 _SHARED_BITS = 1 << 26
 MIN_WORDS, MIN_EQUAL = 40, 0.8
 #: Words fetched on either side of the outermost seeds of a pair.
@@ -100,7 +101,7 @@ def _seeds(k: int, shared, bits: int, wanted=None):
 
 
 def _run_key(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """What is kept of the hash of a run: its bucket and 32 bits."""
+    """What is kept of the hash of a run: its first bits, which are its bucket, and 32 more."""
     return (hashes >> np.uint64(32 - bits)).view(np.int64)
 
 
@@ -108,36 +109,35 @@ def _run_blocks(bits: int, low: int, width: int):
     """Runs of ``SHORT_K`` words of all texts, once for each block of texts: blocks of one bucket each, with the number of
     holders, the least of 256 classes of ids among them, and whether several holders are in that class."""
 
-    def packed(runs: list[np.ndarray], owners: list[np.ndarray], classes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        key, owner, group = (np.concatenate(x) for x in (runs, owners, classes))
-        order = np.argsort(key, kind="stable")  # owners ascend, so those of a run stay in order
-        key, owner, group = key[order], owner[order], group[order]
-        once = np.ones(len(key), bool)
-        once[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
-        key, group = key[once], group[once]
-        key, n, least, several = _merged(key, np.ones(len(key), np.int64), group, np.zeros(len(key), bool))
+    room = 32 - bits  # bits left for the number of a text in its block
+
+    def packed(runs: list[np.ndarray], classes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        both = np.sort(np.concatenate(runs))
+        both = both[np.concatenate([[True], both[1:] != both[:-1]])]
+        key, group = (both >> np.uint64(room)).view(np.int64), np.concatenate(classes)[both & np.uint64((1 << room) - 1)]
+        key, n, least, several = _merged(key, np.ones(len(key), np.uint8), group, np.zeros(len(key), bool))
         buckets = np.arange(1 << bits)
-        cut = np.searchsorted(key >> 32, np.append(buckets, 1 << bits))
+        cut = np.searchsorted(key, np.append(buckets, 1 << bits) << 32)
         some = np.flatnonzero(cut[1:] > cut[:-1])
-        columns = (key & 0xFFFFFFFF).astype(np.uint32), np.minimum(n, 255).astype(np.uint8), least.astype(np.uint8), several
+        columns = (key & 0xFFFFFFFF).astype(np.uint32), np.minimum(n, 255).astype(np.uint8), least, several
         blobs = [pa.array([c[cut[b] : cut[b + 1]].tobytes() for b in some], pa.binary()) for c in columns]
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *blobs], ["bucket", "runs", "n", "least", "several"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs, owners, classes, held, seen = [], [], [], 0, 0
+        runs, classes, held, seen = [], [], 0, 0
         for batch in batches:
-            group = np.minimum((batch["doc_id"].to_numpy(zero_copy_only=False) - low) / width * 256, 255).astype(np.int64)
+            group = np.minimum((batch["doc_id"].to_numpy(zero_copy_only=False) - low) / width * 256, 255).astype(np.uint8)
             for piece in text_slices(batch["text"]):
+                if runs and (held >= _BLOCK_RUNS or seen + piece.last - piece.first > 1 << room):
+                    yield from packed(runs, classes)
+                    runs, classes, held, seen = [], [], 0, 0
                 w = words(piece)
                 at, hashes = ngrams(w.hash, w.doc, SHORT_K)
-                doc = w.doc[at]
-                runs.append(_run_key(hashes, bits)), owners.append(doc + seen), classes.append(group[piece.first + doc])
+                runs.append(((hashes >> np.uint64(room)) << np.uint64(room)) | (w.doc[at] + seen).astype(np.uint64))
+                classes.append(group[piece.first : piece.last])
                 held, seen = held + len(at), seen + piece.last - piece.first
-                if held >= _BLOCK_RUNS:
-                    yield from packed(runs, owners, classes)
-                    runs, owners, classes, held = [], [], [], 0
         if held:
-            yield from packed(runs, owners, classes)
+            yield from packed(runs, classes)
 
     return rows
 
@@ -149,7 +149,7 @@ def _merged(key: np.ndarray, n: np.ndarray, least: np.ndarray, several: np.ndarr
     head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     low = np.minimum.reduceat(least, head)
     in_low = least == np.repeat(low, np.diff(np.append(head, len(key))))
-    return key[head], np.add.reduceat(n, head), low, np.add.reduceat(in_low * (1 + several.astype(np.int64)), head) > 1
+    return key[head], np.add.reduceat(n, head, dtype=np.int64), low, np.add.reduceat(in_low * (1 + several.astype(np.uint8)), head, dtype=np.int64) > 1
 
 
 def _shared_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +161,7 @@ def _shared_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for bucket in list(held):
         key, n, least, several = (np.concatenate(x) for x in zip(*held.pop(bucket)))
         order = np.argsort(key, kind="stable")
-        key, n, least, several = _merged(key[order], n[order].astype(np.int64), least[order].astype(np.int64), several[order])
+        key, n, least, several = _merged(key[order], n[order], least[order], several[order])
         some = n > 1
         yield pa.RecordBatch.from_arrays([
             pa.array(key[some].astype(np.int64) | (bucket << 32)), pa.array(n[some]), pa.array(least[some].astype(np.int32)), pa.array(several[some]),
@@ -433,14 +433,14 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 
     size = texts.agg(F.sum(F.octet_length("text")).alias("bytes"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
     low, width = size["low"] or 0, (size["high"] or 0) - (size["low"] or 0) + 1
-    bits = max(_LEAST_BUCKET_BITS, ((size["bytes"] or 0) // _BUCKET_BYTES).bit_length())
+    bits = min(_MOST_BUCKET_BITS, max(_LEAST_BUCKET_BITS, ((size["bytes"] or 0) // _BUCKET_BYTES).bit_length()))
     blocks = texts.mapInArrow(_run_blocks(bits, low, width), "bucket int, runs binary, n binary, least binary, several binary")
     shared = stage(blocks.repartition(1 << bits, "bucket").mapInArrow(_shared_runs, "seed long, n long, least int, several boolean"), "passage-shared")
-    runs = spark.sparkContext.broadcast(packed_bits(bit_table(shared, "seed", _SHARED_BITS)))
+    runs = spark.sparkContext.broadcast(packed_bits(bit_table(shared, "seed", _table_bits(shared.count()))))
 
     def hits(k: int, wanted=None) -> DataFrame:
         """Seeds that several documents hold, with the earliest of them."""
-        seeds = texts.mapInArrow(_seeds(k, runs, bits, wanted), "seed long, doc_id long, pos int")
+        seeds = stage(texts.mapInArrow(_seeds(k, runs, bits, wanted), "seed long, doc_id long, pos int"), "passage-seeds")
         earliest = seeds.groupBy("seed").agg(F.min("doc_id").alias("source_id"), F.max("doc_id").alias("last"), F.min(F.struct("doc_id", "pos"))["pos"].alias("source_pos"))
         earliest = stage(earliest.where("source_id <> last").drop("last"), "passage-sources")
         return seeds.join(earliest, "seed")
@@ -465,6 +465,11 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     return found.unionByName(_passages_of(texts, stage(_short_pairs(texts, found, shared, runs, bits, low, width), "passage-pairs"), SHORT_K)).distinct()
 
 
+def _table_bits(keys: int) -> int:
+    """Sixteen bits a key, a power of two, and ``_SHARED_BITS`` at most."""
+    return min(_SHARED_BITS, 1 << max(16, (16 * keys).bit_length()))
+
+
 def _short_pairs(texts: DataFrame, found: DataFrame, shared: DataFrame, runs, bits: int, low: int, width: int) -> DataFrame:
     """Pairs of documents with enough common runs of ``SHORT_K`` words outside the passages ``found`` of the later one."""
     spark = texts.sparkSession
@@ -476,7 +481,7 @@ def _short_pairs(texts: DataFrame, found: DataFrame, shared: DataFrame, runs, bi
     asked = bare.join(shared, "seed").where((group > F.col("least")) | F.col("several")).select("seed", "doc_id", "lo", "hi", "n")
     asked = stage(asked, "passage-open")
     last = stage(asked.groupBy("seed").agg(F.max("doc_id").alias("last"), F.max("n").alias("n")), "passage-asked")
-    needed = spark.sparkContext.broadcast(packed_bits(bit_table(last, "seed", _SHARED_BITS)))
+    needed = spark.sparkContext.broadcast(packed_bits(bit_table(last, "seed", _table_bits(last.count()))))
     sources = texts.mapInArrow(_all_seeds(needed, bits, False), "seed long, doc_id long, lo int, hi int").join(last, "seed").where("doc_id <= last")
     both = sources.select("seed", "n", "doc_id", "lo", "hi", F.lit(False).alias("open")).unionByName(asked.withColumn("open", F.lit(True)))
     holders = both.groupBy("seed", "doc_id").agg(F.max("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.bool_or("open").alias("open"))
