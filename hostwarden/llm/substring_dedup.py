@@ -37,9 +37,9 @@ _MANY = 64
 _DISTANCES = (4, 8, 16, 32)
 #: Runs of words are known by 32 bits and a bucket; there is a bucket for about so many bytes of text, 64 at least
 #: and 65,536 at most, which leaves 16 bits for the texts of a block.
-_BUCKET_BYTES, _LEAST_BUCKET_BITS, _MOST_BUCKET_BITS = 24 << 20, 6, 16
+_BUCKET_BYTES, _LEAST_BUCKET_BITS, _MOST_BUCKET_BITS = 8 << 20, 6, 16
 #: Runs that a task gathers before it sorts them and writes one block for each bucket.
-_BLOCK_RUNS = 1 << 20
+_BLOCK_RUNS = 1 << 18
 _SHARED_BITS = 1 << 26
 MIN_WORDS, MIN_EQUAL = 40, 0.8
 #: Words fetched on either side of the outermost seeds of a pair.
