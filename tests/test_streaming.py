@@ -280,3 +280,21 @@ def test_intel_cache_job(spark, make_events, tmp_path):
     assert looked_up == [("1.1.1.1", 0), ("1.1.1.1", 2), ("2.2.2.2", 0), ("3.3.3.3", 1)]
     answers = {r["ip"]: r["abuseipdb"] for r in cache.resolved().collect()}
     assert answers["1.1.1.1"]["abuse_score"] == 60.0 and answers["2.2.2.2"] is None
+
+
+def test_keys_share_groups(spark, make_events, tmp_path, monkeypatch):
+    """Many entities of a host are few groups of the state store; one of them has more rows than are taken at a time."""
+    from hostwarden.streaming import stateful
+
+    monkeypatch.setattr(stateful, "CROWDS", 4)
+    rng = random.Random(9)
+    events = make_events([{"seq": k, "at": rng.randrange(3000), "entity_id": "hot" if k % 2 else f"e{rng.randrange(700)}", "source": "process"} for k in range(24_000)])
+    events = events.withColumn("score", (F.col("seq") % 5).cast("double"))
+    out = drain(S.risk_transitions(in_batches(spark, events, tmp_path / "in", 2)), tmp_path)
+    tracked = E.track(events)
+    until = events.agg(F.max(F.unix_micros("ts"))).first()[0] // 1000 * 1000 - 60 * SEC
+    want = E.event_transitions(tracked).unionByName(E.decay_transitions(tracked, until))
+    cols = ("entity_id", "us", "from_state", "to_state", "score", "cause")
+    assert sorted(map(tuple, out.select(*cols).collect())) == sorted(map(tuple, want.select(*cols).collect()))
+    held = spark.read.format("statestore").option("stateVarName", "memories").load(str(tmp_path / "ckpt"))
+    assert held.count() > 300 and held.select("key").distinct().count() <= 4
