@@ -298,3 +298,57 @@ def test_keys_share_groups(spark, make_events, tmp_path, monkeypatch):
     assert sorted(map(tuple, out.select(*cols).collect())) == sorted(map(tuple, want.select(*cols).collect()))
     held = spark.read.format("statestore").option("stateVarName", "memories").load(str(tmp_path / "ckpt"))
     assert held.count() > 300 and held.select("key").distinct().count() <= 4
+
+
+def test_a_slice_is_counted_in_bounded_frames():
+    """A slice of many rows leaves in frames of bounded size, with the counts of a plain loop; late rows have none."""
+    import pandas as pd
+    import pyarrow as pa
+
+    from hostwarden.streaming.stateful import CHUNK
+
+    class Value:
+        held = None
+
+        def exists(self):
+            return self.held is not None
+
+        def get(self):
+            return self.held
+
+        def update(self, value):
+            self.held = value
+
+    class Handle:
+        def getValueState(self, name, ddl):
+            return Value()
+
+        def registerTimer(self, at):
+            pass
+
+        def deleteTimer(self, at):
+            pass
+
+        def getCurrentWatermarkInMs(self):
+            return 1
+
+    rng = random.Random(4)
+    rows = [(rng.randrange(990, 60_000), k, rng.random() < 0.7, 7, rng.choice(["process", "filesystem", "network", None])) for k in range(25_000)]
+    columns = pa.schema([("us", pa.int64()), ("seq", pa.int64()), ("own", pa.bool_()), ("pid", pa.int32()), ("source", pa.string())])
+    node = S._HostRates(["host_id", "slice"], "host_id string, slice bigint, us bigint, seq bigint, procs bigint, files bigint, pid int, source string, late boolean, ts timestamp", True, 5_000, columns)
+    node.init(Handle())
+    parts = [pd.DataFrame(rows[k : k + 10_000], columns=columns.names) for k in range(0, len(rows), 10_000)]
+    frames = list(node.handleInputRows(("h", 0), iter(parts), Handle()))
+    assert len(frames) > 1 and max(map(len, frames)) <= CHUNK
+    got = {int(r.seq): (r.procs, r.files, r.late) for f in frames for r in f.astype(object).where(f.notna(), None).itertuples()}
+    times, want = {"process": [], "filesystem": []}, {}
+    for us, seq, own, _, source in sorted(rows, key=lambda r: r[:2]):
+        if us < 1000:
+            want |= {seq: (None, None, True)} if own else {}
+            continue
+        if source in times:
+            times[source].append(us)
+        if own:
+            want[seq] = (*(sum(t > us - 5_000 for t in known[-9_000:]) for known in times.values()), False) if seq % 50 == 0 else None
+    assert got.keys() == want.keys()
+    assert all(got[k] == w for k, w in want.items() if w is not None)
