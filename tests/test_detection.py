@@ -62,6 +62,13 @@ def test_entropy_and_number_text(spark):
     assert [r[0] for r in df.collect()] == want
 
 
+def test_entropy_of_whole_texts(spark):
+    """A text of very many distinct characters, characters outside the basic plane, no text."""
+    wide = "".join(map(chr, range(0x4E00, 0x4E00 + 4096))) * 4
+    texts = spark.createDataFrame([("",), ("aaaa",), ("ab",), ("йцук",), ("a😀b😎",), (wide,), (None,)], "s string")
+    assert [r[0] for r in texts.select(X.round6(X.entropy(F.col("s"), texts=True))).collect()] == [0.0, 0.0, 1.0, 2.0, 2.0, 12.0, None]
+
+
 PROC = {"name": "Bash", "exe": "/tmp/x.sh", "kind": "new_process", "pid": 7}
 NET = {"source": "network", "remote_port": 4444, "remote_addr": "10.0.0.1", "kind": "new_outbound", "pid": 7}
 
