@@ -352,3 +352,57 @@ def test_a_slice_is_counted_in_bounded_frames():
             want[seq] = (*(sum(t > us - 5_000 for t in known[-9_000:]) for known in times.values()), False) if seq % 50 == 0 else None
     assert got.keys() == want.keys()
     assert all(got[k] == w for k, w in want.items() if w is not None)
+
+
+def test_a_group_is_read_and_written_at_once(spark):
+    """What a group asks of the state store does not grow with its keys; its alarm wakes the keys that are due, and the last one clears it."""
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    from hostwarden.config import Thresholds
+
+    class Store:
+        def __init__(self, log, held=None):
+            self.log, self.held = log, held
+
+        def __getattr__(self, call):
+            self.log.append(call)
+            return {
+                "exists": lambda: self.held is not None, "get": lambda: iter(self.held) if isinstance(self.held, list) else self.held,
+                "put": lambda rows: setattr(self, "held", rows), "update": lambda row: setattr(self, "held", row), "clear": lambda: setattr(self, "held", None),
+            }[call]
+
+    class Handle:
+        def __init__(self):
+            self.log, self.timers, self.now = [], [], 0
+
+        def getListState(self, name, schema):
+            return Store(self.log)
+
+        getValueState = getListState
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+        def deleteTimer(self, at):
+            self.timers.remove(at)
+
+        def getCurrentWatermarkInMs(self):
+            return self.now
+
+    handle = Handle()
+    node = S._Risk(["host_id", "entity_id"], "host_id string, entity_id string, us bigint, seq bigint, from_state int, to_state int, score double, cause string, late boolean", False, Thresholds(), [])
+    node.hold([T.StructField("entity_id", T.StringType())])
+    node.init(handle)
+    rows = pd.DataFrame([("h", f"e{k}" if k else None, 31_000_000 + k, k, 20.0, "process") for k in range(2000)], columns=["host_id", "entity_id", "us", "seq", "x", "source"])
+    for seq in (0, 2000):
+        found = pd.concat(node.handleInputRows(("h", 0), iter([rows.assign(seq=rows["seq"] + seq)]), handle))
+        assert len(found) == 2000 and set(found["to_state"]) == ({1} if seq == 0 else {2})
+    assert len(handle.log) < 20 and len(handle.timers) == 1 and len(node.memories.held) == 2000
+    handle.now = handle.timers.pop() + 1
+    woken = pd.concat(node.handleExpiredTimer(("h", 0), handle, None))
+    assert len(woken) == 2000 and set(zip(woken["from_state"], woken["to_state"])) == {(2, 1)} and woken["entity_id"].isna().sum() == 1
+    while handle.timers:
+        handle.now = handle.timers.pop() + 1
+        list(node.handleExpiredTimer(("h", 0), handle, None))
+    assert node.memories.held is None and len(handle.log) < 100
