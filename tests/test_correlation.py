@@ -1,6 +1,7 @@
 """Correlation, pattern, graph and feedback scenarios, and a brute-force comparison on skewed data."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -191,3 +192,23 @@ def test_edges_around_entities(spark, make_events):
     assert walked and all(n.split(".")[0] in ("e1", "e2") for n, _ in walked)
     own, edges = G.for_pid(events.withColumn("score", F.lit(1.0)), 5)
     assert {r["entity_id"].split(".")[0] for r in own.collect()} == {"e5"} and all(r["pid"] == 5 for r in edges.collect())
+
+
+def test_sorts_do_not_begin_with_the_host(make_events):
+    """A host name is the same in most rows: as the first sort column it makes every comparison read both rows."""
+    from hostwarden.operators import anomaly_features as A
+
+    events = make_events([{"pid": n % 3, "source": N, "remote_addr": "1.2.3.4", "at": n} for n in range(12)])
+    for df in (C.correlate(events), A.extract(events)):
+        sorts = re.findall(r"Sort \[([^]]*)\]", df._jdf.queryExecution().executedPlan().toString())
+        wide = [s for s in sorts if not re.fullmatch(r"host_id#\d+ ASC NULLS FIRST, _chunk#\d+L ASC NULLS FIRST", s)]  # one row a chunk
+        assert wide and not any(s.startswith("host_id") for s in wide)
+
+
+@pytest.mark.parametrize("gap", [1, 1.2, 0.9])
+def test_beacons_with_and_without_a_prune(make_events, gap):
+    """Histories of fewer than five times are no beacon; longer ones by the times within retention."""
+    rows = [{"pid": 9, "source": N, "remote_addr": "1.2.3.4", "at": n * gap} for n in range(7)]
+    got = C.beacon_flags(make_events(rows)).orderBy("seq").collect()
+    assert [r["beacon_now"] for r in got] == [n >= 4 and gap >= 1 for n in range(7)]
+    assert [r["beacon_next"] for r in got] == [n >= 4 and gap >= 1 for n in range(7)]
