@@ -252,3 +252,32 @@ def test_enrichment_scores(spark, make_events):
     assert [r["intel_bonus"] for r in rows] == [20.0, 0.0, 80.0, 0.0, 0.0, 0.0]
     assert [None if r["threat_intel"]["malware_check"] is None else r["threat_intel"]["malware_check"]["known_malware"] for r in rows] == [None, None, True, False, None, None]
     assert rows[1]["threat_intel"]["abuseipdb"] is None
+
+
+def test_wide_events_are_not_shuffled_for_a_few_answers(spark, make_events):
+    """Answers and hashes are written tables, small ones go to the events; addresses may come from elsewhere."""
+    events = make_events([{"source": "network", "remote_addr": f"1.2.3.{n % 4}", "new_hash": "a" * 64} for n in range(20)])
+    seen = events.groupBy(F.col("remote_addr").alias("ip")).agg(F.count(F.lit(1)).cast("double").alias("abuse_score"), F.max("ts").alias("expires"))
+    abuse = seen.selectExpr("ip", "abuse_score * 20 as abuse_score", "'US' as country", "1 as total_reports", "false as is_whitelisted", "'i' as isp", "expires + interval 1 minute as expires")
+    malware = events.groupBy(F.col("new_hash").alias("sha256")).agg(F.lit("f").alias("family"), F.array(F.lit("t")).alias("tags"), F.lit("elf").alias("file_type"), F.lit("d").alias("first_seen"))
+    for more in ({}, {"addresses": spark.createDataFrame([(f"1.2.3.{n}",) for n in range(9)], "ip string")}):
+        out = I.enrich(events.repartition(4), abuse, malware=malware, **more)
+        assert {r["intel_bonus"] for r in out.collect()} == {100.0}
+        assert "hashpartitioning(_" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_draws_rank_a_block_only_until_trees_have_limits(monkeypatch):
+    """Past the first rows of a task a block is compared with limits; ranking every block cost more than all else."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(IF.TaskContext, "get", staticmethod(lambda: type("Task", (), {"partitionId": lambda self: 0})()))
+    calls, real = [], np.partition
+    monkeypatch.setattr(IF.np, "partition", lambda *a, **k: (calls.append(1), real(*a, **k))[1])
+    rng, n, trees, size = np.random.default_rng(5), 120_000, 4, 16
+    a, b = (rng.integers(0, 1 << 60, n) for _ in "ab")
+    rows = pa.table({"_a": a, "_b": b, "seq": np.arange(n)})
+    out = pa.Table.from_batches(list(IF._draws(trees, size, ("seq",))(iter(rows.to_batches(10_000)))))
+    for t in range(trees):
+        draw = (a.astype(object) + t * b.astype(object)) % (1 << 60)
+        assert out.filter(pa.array(out["tree_id"].to_numpy() == t))["seq"].to_pylist() == sorted(range(n), key=lambda k: draw[k])[:size]
+    assert len(calls) < 15
