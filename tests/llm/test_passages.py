@@ -158,6 +158,29 @@ def test_chain_is_best():
         assert abs(score - max(best)) < 1e-9
 
 
+def test_anchors_against_plain_runs():
+    """Common runs with and without one of ``LONG_K`` words, short ones that recur, against a search without shortcuts."""
+    rng = np.random.default_rng(5)
+    for same in (0, 39, 40, 41, 90):
+        a, b = (rng.integers(0, 10**6, 200).astype(np.int32) for _ in "ab")
+        a[70 : 70 + same] = b[50 : 50 + same]
+        a[5:9] = a[30:34] = b[180:184] = b[3:7]
+        met = {(i, j) for i in range(len(a) - 3) for j in range(len(b) - 3) if np.array_equal(a[i : i + 4], b[j : j + 4])}
+        got = {(i + x, j + x) for i, j, n in substring_dedup.anchors(a, b, 4) for x in range(n - 3)}
+        assert got <= met and {(i, j) for i, j in met if i - j == 20} <= got and (5, 3) in got and (30, 180) in got
+    assert substring_dedup.anchors(a[:3], b, 4) == []
+
+
+def test_ids_far_apart(texts):
+    """Ids that leave no room for a position beside them in 63 bits; the earliest holder has the passage twice."""
+    new = vocabulary(16)
+    passage = new(60)
+    first = " ".join(new(10) + passage + new(20) + passage)
+    rows = [(-(1 << 61), first), (1 << 61, " ".join(new(30) + passage)), (5, " ".join(new(70)))]
+    found = substring_dedup.repeated_passages(texts(rows)).collect()
+    assert {(r["doc_id"], r["source_id"], r["start_word"], r["end_word"]) for r in found} == {(1 << 61, -(1 << 61), 30, 90)}
+
+
 def leaks(spark, texts, rows, items):
     bench = spark.createDataFrame(items, "item_id long, text string, seed int")
     return sorted((r["doc_id"], r["item_id"], r["equal_words"], r["start_word"]) for r in decontamination.contaminated(texts(rows), bench).collect())
