@@ -1,8 +1,10 @@
 import random
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 
-from hostwarden.llm import decontamination, substring_dedup
+from hostwarden.llm import decontamination, substring_dedup, textbytes
 from tests.llm.conftest import plain_words
 
 
@@ -222,3 +224,71 @@ def test_decontamination_tolerates_substitutions(spark, texts):
             wanted.add((k, k))
     assert len(wanted) > 150
     assert {(doc, item) for doc, item, *_ in leaks(spark, texts, rows, items)} == wanted
+
+
+def test_texts_are_read_once(spark, texts):
+    rng, new = random.Random(17), vocabulary(17)
+    pool = [new(60) for _ in range(4)]
+    rows = [(k, " ".join(new(20) + rng.choice(pool) + new(20))) for k in range(40)]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    docs = texts(rows, False).select("doc_id", "text").mapInArrow(counted, "doc_id long, text string")
+    assert substring_dedup.repeated_passages(docs).count() >= 36 and read.value == 40
+
+
+def test_shared_runs_of_blocks_against_a_plain_search(monkeypatch):
+    """Texts in blocks of several rows, one of them read in two parts: runs with their places and flags, and seeds."""
+    monkeypatch.setattr(substring_dedup, "_BLOCK_WORDS", 400)
+    monkeypatch.setattr(substring_dedup, "_ROW_WORDS", 70)
+    monkeypatch.setattr(substring_dedup, "_MANY", 15)
+    monkeypatch.setattr(substring_dedup, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 2)))
+    rng, new = random.Random(18), vocabulary(18)
+    pool = [new(rng.choice((5, 9, 45))) for _ in range(15)]
+    rows = [(k * 3, " ".join(sum((rng.choice(pool) for _ in range(rng.randrange(0, 5))), new(3)))) for k in range(120)] + [(400, ""), (401, "a b c"), (402, " ".join(new(90)))]
+    texts = pa.RecordBatch.from_pydict({"doc_id": pa.array([i for i, _ in rows]), "text": pa.array([t for _, t in rows])})
+    stored = list(substring_dedup._text_blocks(texts[k : k + 25] for k in range(0, len(rows), 25)))
+    numbers = [b["block"][0].as_py() for b in stored]
+    assert len(stored) > len(set(numbers)) > 3 and sum(b["part"][0].as_py() == 0 for b in stored) == len(set(numbers))
+    inside = next(k for k in range(1, len(numbers)) if numbers[k] == numbers[k - 1])
+    width = 403
+    runs = [x for part in (stored[:inside], stored[inside:]) for x in substring_dedup._run_blocks(6, 0, width, True)(iter(part))]
+    shared = list(substring_dedup._shared_of_blocks(iter(runs)))
+    both = [pa.RecordBatch.from_pydict({c: x[c] if c in x.schema.names else pa.nulls(len(x)) for c in ("block", "bucket", "part", "runs", "least", "flags", *substring_dedup._WORDS[2:])}) for x in (*stored, *shared)]
+    marked = list(substring_dedup._marked(6, 0, width)(iter(both)))
+
+    held = [(i, plain_words(t)) for i, t in rows]
+    holders = {}
+    for i, w in held:
+        for run in {tuple(w[k : k + 4]) for k in range(len(w) - 3)}:
+            holders.setdefault(run, []).append(i)
+    group = lambda i: int(i / width * 256)
+    wanted = []
+    for i, w in held:
+        at = {}
+        for k in range(len(w) - 3):
+            at.setdefault(tuple(w[k : k + 4]), []).append(k)
+        for run, places in at.items():
+            if len(ids := holders[run]) > 1:
+                least = min(map(group, ids))
+                earlier = group(i) > least or sum(group(x) == least for x in ids) > 1
+                wanted.append((i, places[0], places[-1], earlier + 2 * (len(ids) > 15)))
+    got = [(int(ids[d]), int(lo), int(lo + span), int(f)) for ids, *columns in substring_dedup._parts(iter(marked), "run", substring_dedup._FOUND[1]) for _, d, lo, span, f in zip(*columns)]
+    assert sorted(got) == sorted(wanted) and {f for *_, f in got} >= {1, 3}
+    for name, k in (("short", substring_dedup.K), ("long", substring_dedup.LONG_K)):
+        seeds = [(int(ids[d]), int(at)) for ids, *columns in substring_dedup._parts(iter(marked), name, substring_dedup._FOUND[0]) for _, d, at in zip(*columns)]
+        words = dict(held)
+        assert seeds and all(len(holders[tuple(words[i][x : x + 4])]) > 1 for i, at in seeds for x in range(at, at + k - 3))
+
+
+def test_hashes_of_long_runs_are_those_of_short_steps():
+    h = np.random.default_rng(6).integers(0, 1 << 64, 5000, dtype=np.uint64)
+    for n in (5, 6, 40):
+        total = [0] * (len(h) - n + 1)
+        for j in range(n):
+            total = [(t + n * (j == 0)) * 0xD6E8FEB86659FD93 + int(x) & 0xFFFFFFFFFFFFFFFF for t, x in zip(total, h[j:])]
+        assert textbytes.run_hashes(h, n).tolist() == total
